@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from filescope.llm.bpe import op6_bpe_tree
+from filescope.llm.chat import op7_chat_format
 from filescope.llm.sharding import op1_rendezvous_sharding
+from filescope.llm.token_store import op8_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rendezvous_sharding, op6_bpe_tree)}
+    return {f.__name__: f for f in (op1_rendezvous_sharding, op6_bpe_tree, op7_chat_format, op8_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
