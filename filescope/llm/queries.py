@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from filescope.llm.bpe import op6_bpe_tree
 from filescope.llm.chat import op7_chat_format
+from filescope.llm.decontaminate import OP2_SQL, op2_decontaminate
 from filescope.llm.sharding import op1_rendezvous_sharding
 from filescope.llm.token_store import op8_token_store
 from filescope.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rendezvous_sharding, op6_bpe_tree, op7_chat_format, op8_token_store, op9_toxicity)}
+    return {f.__name__: f for f in (op1_rendezvous_sharding, op2_decontaminate, op6_bpe_tree, op7_chat_format, op8_token_store, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontaminate": OP2_SQL}
