@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from filescope.llm.common import batched, table
 
 #: Texts of more characters are encoded as a tree of leaves of so many.
-LEAF_CHARS = 16_384
+LEAF_CHARS = 65_536
 #: Pieces that a worker remembers; it starts anew beyond, which bounds its memory.
 CACHE_PIECES = 600_000
 #: Characters for which Python's and the library's classes, case and normal forms agree; other texts go to the library whole.
@@ -113,6 +114,15 @@ class Codec:
         return np.array(e.ids, "<u4"), at[:, 0], at[:, 1]
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Ascending numbers as compressed steps."""
+    return zlib.compress(np.diff(x, prepend=0).astype("<i4").tobytes(), 1)
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(b), "<i4").astype(np.int64))
+
+
 def _clean(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Tokens before which a text may be cut: no other token has a part of the same character."""
     ok = np.ones(len(start), bool)
@@ -228,14 +238,14 @@ def encode_long(docs: DataFrame, kind: str, path: str, leaf_chars: int, keep_ids
         c = codec(path, decode=True)
         for b in batches:
             got = [c.tokens(t) if s < 0 else (np.array([s], "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)) for t, s in zip(b["text"], b["special"], strict=True)]
-            yield b.assign(ids=[g[0].tobytes() for g in got], start=[g[1].astype("<i4").tobytes() for g in got], end=[g[2].astype("<i4").tobytes() for g in got])
+            yield b.assign(ids=[g[0].tobytes() for g in got], start=[_packed(g[1]) for g in got], end=[_packed(g[2]) for g in got])
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         c = codec(path, decode=True)
         out: list[np.ndarray] = []
         run: list[tuple] = []
         for r in pdf.sort_values("part").itertuples():
-            leaf = (r.text, np.frombuffer(r.ids, "<u4"), np.frombuffer(r.start, "<i4").astype(np.int64), np.frombuffer(r.end, "<i4").astype(np.int64))
+            leaf = (r.text, np.frombuffer(r.ids, "<u4"), _unpacked(r.start), _unpacked(r.end))
             if r.special != -1 and run:
                 out.append(join_all(c, run)[1])
                 run = []
