@@ -1,6 +1,6 @@
 """Benchmark decontamination with a distributed positional inverted index, in DataFrame operations only.
 
-Index: one posting (term, doc_id, pos, before, after) for each training token that a test item holds, in segments: each task
+Index: one posting (term, doc_id, pos, before, after) for each training token, terms as 64-bit hashes, that a test item holds, in segments: each task
 that tokenises writes its own, ordered by term, so nothing is shuffled to build it.  `before` and `after` are the terms of
 the neighbouring tokens (a nextword index), which intersects three adjacent lists in one read.
 Search: a phrase reads the list of the place whose triple of terms is rarest in the corpus, shifts its positions by the
@@ -19,12 +19,12 @@ BROADCAST_ROWS = 500_000
 PHRASE = 10
 NO_ID = -(2**63)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
     """Array of words, A-Z in lower case.  Null has none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(_WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _BETWEEN), "")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -50,13 +50,22 @@ class PositionalIndex:
         self.path = fresh_path(self.spark, "postings")
         vocabulary = vocabulary.select("word").distinct()
         self.terms = stored(vocabulary.select("word", F.xxhash64("word").alias("term")), "terms")
-        token = F.posexplode(F.arrays_zip(F.col("w").alias("word"), F.concat(F.array(F.lit("")), F.slice("w", 1, F.size("w") - 1)).alias("b"), F.concat(F.slice("w", 2, F.size("w")), F.array(F.lit(""))).alias("a")))
-        # null for w of no words: slice() wants a length of 0 at least
-        tokens = self.docs.select("doc_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0).select("doc_id", token.alias("pos", "t")).select("doc_id", "pos", F.col("t.word").alias("word"), F.xxhash64("t.b").alias("before"), F.xxhash64("t.a").alias("after"))
-        postings = tokens.join(_small(self.terms, self.terms.count()), "word").select("term", "doc_id", "pos", "before", "after")
+        h, n = F.col("h"), F.size("h")
+        none = F.struct(*[F.lit(None).cast("long").alias(c) for c in ("term", "before", "after")])
+        zipped = F.arrays_zip(h.alias("term"), F.concat(F.array(F.lit(0).cast("long")), F.slice(h, 1, F.greatest(n - 1, F.lit(0)))).alias("before"), F.concat(F.slice(h, 2, n + 1), F.array(F.lit(0).cast("long"))).alias("after"))
+        hashed = self.docs.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+        # a head without a term for each row of docs says how many words it has
+        tokens = hashed.select("doc_id", n.alias("n_words"), F.posexplode(F.concat(F.array(none), F.slice(zipped, 1, n))).alias("pos", "t"))
+        tokens = tokens.select("doc_id", F.when(F.col("pos") == 0, F.col("n_words")).alias("n_words"), (F.col("pos") - 1).alias("pos"), "t.*")
+        known = _small(self.terms.select("term").distinct().withColumn("known", F.lit(True)), self.terms.count())
+        postings = tokens.join(known, "term", "left").filter("known or n_words is not null").select("term", "doc_id", "pos", "before", "after", "n_words")
         postings.sortWithinPartitions("term").write.parquet(self.path)
         self.postings = self.spark.read.schema(postings.schema).parquet(self.path)
 
+    def lengths(self) -> DataFrame:
+        """(doc_id, n_words) of each row of docs."""
+        return self.postings.filter("n_words is not null").select("doc_id", "n_words")
+
     def drop(self) -> None:
         removed(self.spark, self.path)
 
@@ -105,13 +114,14 @@ class PositionalIndex:
         return left.join(own(b, "other"), ["doc_id", "cell"]).filter((F.abs(F.col("at") - F.col("other")) <= within) & (F.col("at") != F.col("other"))).select("doc_id", "at", "other")
 
 
-def matches(docs: DataFrame, items: DataFrame, n: int = PHRASE) -> tuple[DataFrame, DataFrame]:
-    """(hits, runs): hits as `search` gives them, stored, and the items' phrases."""
+def matches(docs: DataFrame, items: DataFrame, n: int = PHRASE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hits, runs, lengths): hits as `search` gives them, the items' phrases, and the words of each row of docs; all stored."""
     runs = stored(phrases(items, n), "phrases")
     index = PositionalIndex(docs, runs.select(F.explode("words").alias("word")))
     hits = stored(index.search(runs), "hits")
+    lengths = stored(index.lengths(), "lengths")
     index.drop()
-    return hits, runs
+    return hits, runs, lengths
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = PHRASE) -> DataFrame:
@@ -121,7 +131,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = PHRASE) -> DataFra
     empty benchmark hits nothing; rows of equal doc_id share their hits.  A null doc_id stands for the smallest number inside.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    hits, runs = matches(docs, items, n)
+    hits, runs, lengths = matches(docs, items, n)
     end = F.col("start") + F.col("n")
     reached = F.max(end).over(Window.partitionBy("doc_id").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1))
     spans = hits.select("doc_id", "start", "n").distinct().withColumn("reached", F.coalesce(reached, F.lit(0)))
@@ -129,7 +139,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = PHRASE) -> DataFra
     met = hits.select("doc_id", "phrase").distinct().join(_small(runs.select("phrase", "item_ids"), runs.count()), "phrase")
     listed = met.select("doc_id", F.explode("item_ids").alias("item")).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
     per_doc = stored(covered.join(listed, "doc_id"), "contaminated")
-    sized = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    sized = lengths.select("doc_id", F.col("n_words").cast("long").alias("n_words"))
     joined = sized.join(_small(per_doc, per_doc.count()), "doc_id", "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
