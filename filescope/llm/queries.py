@@ -14,10 +14,11 @@ from filescope.llm.sharding import op1_rendezvous_sharding
 from filescope.llm.suffix_dedup import op10_suffix_dedup
 from filescope.llm.token_store import op8_token_store
 from filescope.llm.toxicity import op9_toxicity
+from filescope.llm.wrapper import op4_html_wrapper
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rendezvous_sharding, op2_decontaminate, op5_ngram_jaccard, op6_bpe_tree, op7_chat_format, op8_token_store, op9_toxicity, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_rendezvous_sharding, op2_decontaminate, op4_html_wrapper, op5_ngram_jaccard, op6_bpe_tree, op7_chat_format, op8_token_store, op9_toxicity, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
