@@ -10,6 +10,7 @@ from filescope.llm.bpe import op6_bpe_tree
 from filescope.llm.chat import op7_chat_format
 from filescope.llm.decontaminate import OP2_SQL, op2_decontaminate
 from filescope.llm.jaccard import OP5_SQL, op5_ngram_jaccard
+from filescope.llm.neighbours import op3_collision_counting
 from filescope.llm.sharding import op1_rendezvous_sharding
 from filescope.llm.suffix_dedup import op10_suffix_dedup
 from filescope.llm.token_store import op8_token_store
@@ -18,7 +19,7 @@ from filescope.llm.wrapper import op4_html_wrapper
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rendezvous_sharding, op2_decontaminate, op4_html_wrapper, op5_ngram_jaccard, op6_bpe_tree, op7_chat_format, op8_token_store, op9_toxicity, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_rendezvous_sharding, op2_decontaminate, op3_collision_counting, op4_html_wrapper, op5_ngram_jaccard, op6_bpe_tree, op7_chat_format, op8_token_store, op9_toxicity, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
