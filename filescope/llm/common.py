@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch.  Texts may be long, so batches are kept small enough for two workers on a small executor.
-BATCH_ROWS = 512
+#: Bytes and rows in an Arrow batch: long texts come few at a time, narrow rows many.
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def batched(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that go to Python workers, by rows."""
+    """Bounds the Arrow batches that go to Python workers, by bytes and rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

@@ -33,7 +33,7 @@ WINDOW = LENGTH - SEED + 1
 #: Starts that are looked at in one go, and suffixes that are sorted in one go.
 PIECE, BLOCK = 1 << 20, 1 << 19
 #: A minimizer of more different stretches is split by content.
-HOT = 64
+HOT = 1_000
 BROADCAST_ROWS = 500_000
 #: A difference cover modulo V: each residue is the difference of two of its members.
 V, COVER = 32, (1, 2, 3, 4, 8, 12, 20)
@@ -125,7 +125,8 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h, c = s["h"][order], s["c"][order]
         again = np.concatenate([[False], (h[1:] == h[:-1]) & (c[1:] == c[:-1])])
         at = _pack(s["start"], s["n"], s["off"])[order]
-        yield pd.DataFrame({"h": h.view(np.int64), "c": c.view(np.int64), "ord": s["ord"][order], "at": np.where(again, -at - 1, at)})
+        apart = np.where(again, mix(s["start"][order], 15) ^ h, h)  # repeats only pass through, so they are dealt evenly
+        yield pd.DataFrame({"h": apart.view(np.int64), "c": c.view(np.int64), "ord": s["ord"][order], "at": np.where(again, -at - 1, at)})
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,8 +182,8 @@ def _dense(*keys: np.ndarray) -> np.ndarray:
 _TO_COVER = np.array([min((x - r) % V for x in COVER) for r in range(V)], np.int64)
 
 
-def repeated(pieces: list[bytes], off: np.ndarray, bucket: np.ndarray) -> list[np.ndarray]:
-    """For each piece, which of its len - 99 starts begin a string of 100 bytes that an earlier piece of its bucket has too.
+def repeated(pieces: list[bytes], off: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, first, n): runs of a piece's len - 99 starts that begin a string of 100 bytes that an earlier piece of its bucket has too.
 
     Pieces are in corpus order within a bucket; off is the minimizer's place in each.  Laid out with minimizers at
     multiples of V, suffixes that can tie have the same residue, and so the same distance to the cover.
@@ -192,8 +193,7 @@ def repeated(pieces: list[bytes], off: np.ndarray, bucket: np.ndarray) -> list[n
     room = -(-(lead + size) // V) * V
     base = np.cumsum(room) - room + lead
     t = np.zeros(int(room.sum()) + 6 * V + 8, np.uint8)
-    for p, x in zip(pieces, base.tolist(), strict=True):
-        t[x : x + len(p)] = np.frombuffer(p, np.uint8)
+    t[np.arange(int(size.sum())) + np.repeat(base - np.cumsum(size) + size, size)] = np.frombuffer(b"".join(pieces), np.uint8)
     word = _words(t)
     # cover sample: ranks over 32, 64 and 128 bytes
     sample = (np.arange(0, len(t) - 5 * V, V)[:, None] + np.array(COVER)[None, :]).ravel()
@@ -220,12 +220,10 @@ def repeated(pieces: list[bytes], off: np.ndarray, bucket: np.ndarray) -> list[n
     first = np.minimum.reduceat(piece[order], run)
     late = np.zeros(len(order), bool)
     late[order] = piece[order] > np.repeat(first, np.diff(np.concatenate([run, [len(order)]])))
-    return np.split(late, np.cumsum(n)[:-1])
-
-
-def _runs(mask: np.ndarray) -> Iterator[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-    yield from zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist(), strict=True)
+    goes_on = np.concatenate([[False], late[1:] & late[:-1] & (piece[1:] == piece[:-1])])
+    start = np.flatnonzero(late & ~goes_on)
+    end = np.flatnonzero(late & ~np.concatenate([goes_on[1:], [False]]))
+    return piece[start], at[start], end - start + 1
 
 
 def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,10 +254,8 @@ def _sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def done(held: list[dict[str, np.ndarray]]) -> pd.DataFrame:
         g = {k: np.concatenate([x[k] for x in held]) for k in ("ord", "at", "piece")}
         bucket = np.repeat(np.arange(len(held)), [len(x["ord"]) for x in held])
-        out = []
-        for o, at, late in zip(g["ord"].tolist(), g["at"].tolist(), repeated(list(g["piece"]), g["at"] & 255, bucket), strict=True):
-            out += [(o, (((at >> 16) + x) << 16) | (n << 8)) for x, n in _runs(late)]
-        return pd.DataFrame(out, columns=["ord", "at"]).astype("int64")
+        piece, first, n = repeated(list(g["piece"]), g["at"] & 255, bucket)
+        return pd.DataFrame({"ord": g["ord"][piece].astype("int64"), "at": (((g["at"][piece] >> 16) + first) << 16 | n << 8).astype("int64")})
 
     def unmarked() -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -361,6 +357,12 @@ def dedup(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     return clean, texts.mapInPandas(run, schema)
 
 
+@F.pandas_udf("string")
+def whole_characters(raw: pd.Series) -> pd.Series:
+    """Bytes as text, without the parts of characters that were cut in two."""
+    return raw.map(lambda b: b.decode("utf-8", "ignore"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     clean, changed = dedup(docs)
