@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from filescope.session import ship
+
 #: Bytes and rows in an Arrow batch: long texts come few at a time, narrow rows many.
 BATCH_BYTES, BATCH_ROWS = 2 << 20, 50_000
 
@@ -15,7 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def batched(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that go to Python workers, by bytes and rows."""
+    """Before Python runs on executors: bounds the Arrow batches that go there, by bytes and rows, and sends this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

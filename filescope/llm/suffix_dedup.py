@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from filescope.llm.common import batched, stored, table
 from filescope.llm.jaccard import _powers
@@ -292,8 +293,6 @@ def in_order(docs: DataFrame, key: str) -> DataFrame:
     if told["n"] == told["d"]:
         return docs.withColumn("ord", F.col(key).cast("long"))
     numbered = docs.orderBy(F.col(key).asc_nulls_first(), "text").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    from pyspark.sql.types import LongType, StructField, StructType
-
     return stored(docs.sparkSession.createDataFrame(numbered, StructType([*docs.schema.fields, StructField("ord", LongType())])), "ordered")
 
 
@@ -357,7 +356,7 @@ def dedup(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     return clean, texts.mapInPandas(run, schema)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def whole_characters(raw: pd.Series) -> pd.Series:
     """Bytes as text, without the parts of characters that were cut in two."""
     return raw.map(lambda b: b.decode("utf-8", "ignore"))
