@@ -23,8 +23,8 @@ from filescope.llm.common import batched, table
 
 #: Texts of more characters are encoded as a tree of leaves of so many.
 LEAF_CHARS = 65_536
-#: Pieces that a worker remembers; it starts anew beyond, which bounds its memory.
-CACHE_PIECES = 600_000
+#: Pieces that a worker remembers, with and without what they decode to; it starts anew beyond, which bounds its memory.
+SHOWN_PIECES, CACHE_PIECES = 250_000, 600_000
 #: Characters for which Python's and the library's classes, case and normal forms agree; other texts go to the library whole.
 SAFE = re.compile("[\\t\\n\\r -~¡-©«¬®-±´¶-¸»¿-įı-ňŊ-ž‐-‧‰-⁞€]*")
 
@@ -69,7 +69,7 @@ class Codec:
         """The pieces of a text that the fast path can encode, all of them known then; else None."""
         if not SAFE.fullmatch(text) or (self.split and self.split.search(text)):
             return None
-        if len(self.cache) > CACHE_PIECES:
+        if len(self.cache) > (CACHE_PIECES if self.shown is None else SHOWN_PIECES):
             self.cache.clear()
             if self.shown is not None:
                 self.shown.clear()
