@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -26,3 +27,15 @@ def ship(spark: SparkSession) -> None:
                     z.write(path, os.path.relpath(path, os.path.dirname(top)))
     sc.addPyFile(made)
     _SHIPPED.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's own, or one in the warehouse where it has none."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read again."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/filescope-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
