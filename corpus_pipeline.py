@@ -34,7 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without what strings of 100 bytes cover that start earlier as well.  A character that is cut in two goes whole."""
     clean, changed = suffix_dedup.dedup(docs)
-    changed = changed.withColumn("text", suffix_dedup.whole_characters(F.col("kept")))
+    changed = changed.withColumn("text", F.col("left"))
     return clean.select(*COLUMNS).unionByName(changed.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS))
 
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filescope.llm.common import batched, table
+from filescope.llm.common import batched, kept, table, worker
 
 #: Texts of more characters are encoded as a tree of leaves of so many.
 LEAF_CHARS = 65_536
@@ -179,14 +179,12 @@ def join_all(codec: Codec, leaves: list[tuple]) -> tuple:
     return leaves[0]
 
 
-_CODECS: dict[tuple[str, bool], Codec] = {}
-
-
 def codec(path: str, decode: bool = False) -> Codec:
     """One for each worker: it outlives the tasks."""
-    if (path, decode) not in _CODECS:
-        _CODECS[path, decode] = Codec(path, decode)
-    return _CODECS[path, decode]
+    held = kept("bpe")
+    if (path, decode) not in held:
+        held[path, decode] = Codec(path, decode)
+    return held[path, decode]
 
 
 def _finish(c: Codec, ids: bytes, shown: str | None, keep: bool) -> tuple:
@@ -215,7 +213,7 @@ def encode(docs: DataFrame, key: str, path: str, leaf_chars: int = LEAF_CHARS, k
             rows = [_finish(c, *c.encode_decode(t), keep_ids) for t in b["text"]]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"]).assign(key=b["key"].array)[["key", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]]
 
-    done = docs.filter(F.length("text") <= leaf_chars).mapInPandas(short, schema)
+    done = docs.filter(F.length("text") <= leaf_chars).mapInPandas(worker(short, "bpe"), schema)
     return done.unionByName(encode_long(docs.filter(F.length("text") > leaf_chars), kind, path, leaf_chars, keep_ids))
 
 
@@ -259,7 +257,7 @@ def encode_long(docs: DataFrame, kind: str, path: str, leaf_chars: int, keep_ids
         return pd.DataFrame([(pdf["key"].array[0], pdf["n"].array[0], *_finish(c, ids, None, keep_ids))], columns=["key", "copies", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
     once = docs.groupBy("key", "text").agg(F.count(F.lit(1)).alias("n"))
-    leaves = once.mapInPandas(cut, leaf_schema).repartition("key", "of", "part").mapInPandas(leaf, f"{leaf_schema}, ids binary, start binary, end binary")
+    leaves = once.mapInPandas(worker(cut, "bpe"), leaf_schema).repartition("key", "of", "part").mapInPandas(worker(leaf, "bpe"), f"{leaf_schema}, ids binary, start binary, end binary")
     joined = leaves.groupBy("key", "of").applyInPandas(tree, f"key {kind}, copies long, {SCHEMA}")
     return joined.select("key", "n_tokens", "ids_sha256", "decoded_sha256", "ids", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).drop("__copy")
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filescope.llm.common import batched, table
+from filescope.llm.common import batched, table, worker
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: What a model's input must never take from a text: [first character] [backslashes] [rest].
@@ -131,7 +131,7 @@ def format_conversations(turns: DataFrame, parts: bool = False) -> DataFrame:
 
     picked = turns.select("conv_id", "turn", "role", "text")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema[:3])
-    return picked.mapInPandas(run, f"{kinds}, {FORMATTED}")
+    return picked.mapInPandas(worker(run), f"{kinds}, {FORMATTED}")
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -172,7 +172,7 @@ def digests(formatted: DataFrame) -> DataFrame:
             yield pd.DataFrame([row()]).astype({"conv_id": "Int64"})
 
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
-    return ordered.select("conv_id", "formatted", "loss").mapInPandas(run, DIGEST)
+    return ordered.select("conv_id", "formatted", "loss").mapInPandas(worker(run), DIGEST)
 
 
 #: A conversation of control strings only.

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +54,37 @@ def removed(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: What Python workers keep between tasks, by operator: emptied when another operator's task begins in the same worker.
+KEPT: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    return KEPT.setdefault(operator, {})
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the machine: idle workers hold none of it."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def worker(f: Callable[[Iterator], Iterator], operator: str = "") -> Callable[[Iterator], Iterator]:
+    """f as a partition's function that leaves a worker no larger than it has to be."""
+
+    def run(batches: Iterator) -> Iterator:
+        for name, held in KEPT.items():
+            if name != operator:
+                held.clear()
+        try:
+            yield from f(batches)
+        finally:
+            _give_back()
+
+    return run

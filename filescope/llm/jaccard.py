@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filescope.llm.common import batched, stored, table
+from filescope.llm.common import batched, stored, table, worker
 from filescope.llm.components import components
 from filescope.llm.perfect_hash import mix
 from filescope.llm.streams import groups
@@ -122,7 +122,7 @@ def signatures(docs: DataFrame, key: str, hasher: MinHash) -> DataFrame:
             })
 
     picked = docs.select(F.col(key).alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return picked.mapInPandas(run, f"key {kind}, digest binary, bands binary")
+    return picked.mapInPandas(worker(run), f"key {kind}, digest binary, bands binary")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -234,7 +234,7 @@ def join(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, rec
 
     cols = "h long, lo int, hi int, band int, block int, set long, bands binary, copies long, key long"
     ordered = dealt.repartition(*task).sortWithinPartitions(*task)
-    tasks = stored(ordered.mapInPandas(pending, cols), "tasks")
+    tasks = stored(ordered.mapInPandas(worker(pending), cols), "tasks")
     asked = tasks.select("key").distinct()
     texts = docs.filter(F.col("text").isNotNull()).join(_small(asked, asked.count()), "key", "left_semi")
 
@@ -243,7 +243,7 @@ def join(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, rec
             found = shingles(b["text"].tolist())
             yield b.assign(digest=[hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found])
 
-    texts = texts.mapInPandas(numbered, "key long, text string, digest binary").select(F.xxhash64("digest").alias("set"), "key", "text").dropDuplicates(["set", "key"])
+    texts = texts.mapInPandas(worker(numbered), "key long, text string, digest binary").select(F.xxhash64("digest").alias("set"), "key", "text").dropDuplicates(["set", "key"])
     count = tasks.count()
     given = texts.join(_small(tasks, count) if count <= BROADCAST_ROWS // 4 else tasks, ["set", "key"])
 
@@ -269,7 +269,7 @@ def join(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, rec
         yield pd.DataFrame(out, columns=["a", "b", "links"]).astype("int64")  # links is -1 for an edge of the forest
 
     dealt_out = given.repartition(*task).sortWithinPartitions(*task)
-    found = stored(dealt_out.mapInPandas(verify, "a long, b long, links long"), "links")
+    found = stored(dealt_out.mapInPandas(worker(verify), "a long, b long, links long"), "links")
     links = found.filter("links >= 0").groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("links"))
     labels = components(found.filter("links < 0").select("a", "b")).withColumnRenamed("node", "set")
     classes = sets.select("set", "digest", "copies", "rep").join(labels, "set", "left").join(links, "set", "left").withColumn("label", F.coalesce("label", "set"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filescope.llm.common import batched, table
+from filescope.llm.common import batched, table, worker
 from filescope.llm.streams import groups
 
 PROJECTIONS, TAU, Z, GROWTH = 128, 0.8, 1.7, 1.08
@@ -138,7 +138,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
                     yield pd.DataFrame({"query_id": int(g["id"][i]), "id": ids, "score": scores})
 
     met = data.unionByName(asked).repartition("party", "block").sortWithinPartitions("party", "block")
-    found = met.mapInPandas(run, "query_id long, id long, score double")
+    found = met.mapInPandas(worker(run), "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
 

@@ -22,9 +22,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from filescope.llm.common import batched, stored, table
+from filescope.llm.common import batched, stored, table, worker
 from filescope.llm.jaccard import _powers
 from filescope.llm.perfect_hash import mix
 from filescope.llm.streams import groups
@@ -301,16 +301,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     batched(docs.sparkSession)
     docs = docs.select("ord", "text")
     long = docs.filter(F.octet_length("text") >= LENGTH)
-    rows = long.mapInPandas(_cut, "h long, c long, ord long, at long")
-    met = stored(rows.repartition("h").sortWithinPartitions("h", "c", "ord", "at").mapInPandas(_meet, "mixed boolean, h long, ord long, at long"), "met")
+    rows = long.mapInPandas(worker(_cut), "h long, c long, ord long, at long")
+    met = stored(rows.repartition("h").sortWithinPartitions("h", "c", "ord", "at").mapInPandas(worker(_meet), "mixed boolean, h long, ord long, at long"), "met")
     mixed = met.filter("mixed")
     hot = stored(mixed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("h", F.lit(True).alias("hot")), "hot")
     flagged = mixed.join(_small(hot, hot.count()), "h", "left").select("ord", F.struct("h", "at", F.coalesce("hot", F.lit(False)).alias("hot")).alias("f"))
     found = stored(flagged.groupBy("ord").agg(F.collect_list("f").alias("found")), "mixed")
     ids = found.select("ord")
     texts = long.join(_small(ids, ids.count()), "ord", "left_semi").join(found, "ord")
-    pieces = texts.mapInPandas(_fetch, "h long, sub long, ord long, at long, piece binary")
-    late = pieces.repartition("h", "sub").sortWithinPartitions("h", "sub", "ord", "at").mapInPandas(_sort, "ord long, at long")
+    pieces = texts.mapInPandas(worker(_fetch), "h long, sub long, ord long, at long, piece binary")
+    late = pieces.repartition("h", "sub").sortWithinPartitions("h", "sub", "ord", "at").mapInPandas(worker(_sort), "ord long, at long")
     return stored(met.filter("not mixed").select("ord", "at").unionByName(late), "repeats")
 
 
@@ -333,7 +333,8 @@ def kept(raw: bytes, removed: list[tuple[int, int]]) -> bytes:
 
 def dedup(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(clean, changed) of docs (key, text, ...): rows without a repeat as they are, and the others with `removed`,
-    array<struct<begin, end>> of bytes, and `kept`, the bytes that stay.  Both have `ord`.
+    array<struct<begin, end>> of bytes, `kept`, the bytes that stay, and `left`, these as text without the parts of characters
+    that were cut in two.  Both have `ord`.
 
     Null texts are empty; texts of less than 100 bytes have no repeats.  Rows of equal or null key are documents in order of
     key (null first) and text, so of equal rows one stays.  `kept` may cut a character in two: it is bytes.
@@ -350,16 +351,10 @@ def dedup(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
         for b in batches:
             gone = [spans(at) for at in b["__at"]]
             stays = [kept(t.encode(), g) for t, g in zip(b["text"], gone, strict=True)]
-            yield b.drop(columns="__at").assign(removed=[[{"begin": x, "end": y} for x, y in g] for g in gone], kept=stays)
+            yield b.drop(columns="__at").assign(removed=[[{"begin": x, "end": y} for x, y in g] for g in gone], kept=stays, left=[x.decode("utf-8", "ignore") for x in stays])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.drop("__at").schema) + ", removed array<struct<begin:long,end:long>>, kept binary"
-    return clean, texts.mapInPandas(run, schema)
-
-
-@F.pandas_udf(StringType())
-def whole_characters(raw: pd.Series) -> pd.Series:
-    """Bytes as text, without the parts of characters that were cut in two."""
-    return raw.map(lambda b: b.decode("utf-8", "ignore"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.drop("__at").schema) + ", removed array<struct<begin:long,end:long>>, kept binary, left string"
+    return clean, texts.mapInPandas(worker(run), schema)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filescope.llm.common import batched, table
+from filescope.llm.common import batched, kept, table, worker
 
 #: Labelled rows that a model is fitted on, at most, of either class: the bound of the sample.
 TOXIC_ROWS, ORDINARY_ROWS = 1800, 5000
@@ -183,10 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
 
     batched(docs.sparkSession)
     sample = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text").select("text", "toxic")
-    return json.loads(sample.mapInPandas(run, "model string").first()["model"])
-
-
-_SCORERS: dict[str, Scorer] = {}
+    return json.loads(sample.mapInPandas(worker(run, "toxicity"), "model string").first()["model"])
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -196,14 +193,15 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     docs = docs.drop("score", "predicted")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if said not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[said] = Scorer(model)
+        held = kept("toxicity")
+        if said not in held:
+            held.clear()
+            held[said] = Scorer(model)
         for b in batches:
-            s = _SCORERS[said].score(b["text"].fillna("").tolist())
+            s = held[said].score(b["text"].fillna("").tolist())
             yield b.assign(score=s, predicted=(s >= 0.5).astype("int32"))
 
-    return docs.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, predicted int")
+    return docs.mapInPandas(worker(run, "toxicity"), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, predicted int")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

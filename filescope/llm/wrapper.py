@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filescope.llm.common import batched, stored, table
+from filescope.llm.common import batched, kept, stored, table, worker
 from filescope.llm.html_dom import INLINE, RAW, Node, clean, parse
 
 #: Elements, class words and roles of what is not the article.
@@ -306,13 +306,10 @@ def induce(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"host": b["host"], "rule": [json.dumps(rules(Wrapper.load(json.loads(w)))) for w in b["wrapper"]]})
 
     schema = "host string, wrapper string"
-    parts = pages.mapInPandas(partial, schema).withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    parts = parts.repartition("host", "salt").sortWithinPartitions("host", "salt").select("host", "wrapper").mapInPandas(met, schema)
-    whole = parts.repartition("host").sortWithinPartitions("host").mapInPandas(met, schema)
-    return stored(whole.mapInPandas(ruled, "host string, rule string"), "wrappers")
-
-
-_RULES: dict[str, dict] = {}
+    parts = pages.mapInPandas(worker(partial, "wrapper"), schema).withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
+    parts = parts.repartition("host", "salt").sortWithinPartitions("host", "salt").select("host", "wrapper").mapInPandas(worker(met, "wrapper"), schema)
+    whole = parts.repartition("host").sortWithinPartitions("host").mapInPandas(worker(met, "wrapper"), schema)
+    return stored(whole.mapInPandas(worker(ruled, "wrapper"), "host string, rule string"), "wrappers")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -327,17 +324,18 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         wrappers = F.broadcast(wrappers)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = kept("wrapper")
         for b in batches:
             texts = []
             for said, text in zip(b["rule"], b["html"], strict=True):
-                if said not in _RULES:
-                    if len(_RULES) > 5_000:
-                        _RULES.clear()
-                    _RULES[said] = json.loads(said) if said else {"path": [], "const": []}
-                texts.append(extract(parse(text), _RULES[said]))
+                if said not in known:
+                    if len(known) > 5_000:
+                        known.clear()
+                    known[said] = json.loads(said) if said else {"path": [], "const": []}
+                texts.append(extract(parse(text), known[said]))
             yield pd.DataFrame({"page_id": b["page_id"].array, "url": b["url"].array, "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return pages.join(wrappers, "host", "left").select("page_id", "url", "html", F.coalesce("rule", F.lit("")).alias("rule")).mapInPandas(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return pages.join(wrappers, "host", "left").select("page_id", "url", "html", F.coalesce("rule", F.lit("")).alias("rule")).mapInPandas(worker(run, "wrapper"), f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
 
 
 def op4_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
