@@ -47,11 +47,13 @@ class Rule:
 
 @dataclass(frozen=True)
 class IgnoreFile:
-    """Rules for what is below `anchor` ("" is the top).  prefix is put before paths: the way from a file above the top."""
+    """Rules for what is below `anchor` ("" is the top), but not below `stops`, repositories inside.  prefix is put before
+    paths: the way from a file above the top."""
 
     anchor: str
     rules: tuple[Rule, ...]
     prefix: str = ""
+    stops: tuple[str, ...] = ()
 
     @classmethod
     def parse(cls, text: str, anchor: str = "", prefix: str = "") -> IgnoreFile:
@@ -65,6 +67,8 @@ def _decision(files: Sequence[IgnoreFile], path: Column, is_dir: Column) -> Colu
     last = F.substring_index(path, "/", -1)
     for f in sorted(files, key=lambda f: f.anchor.count("/") + bool(f.anchor), reverse=True):
         below = path.startswith(f.anchor + "/") if f.anchor else F.lit(True)
+        for stop in f.stops:
+            below = below & ~path.startswith(stop + "/")
         rel = F.substring(path, len(f.anchor) + 2, F.length(path)) if f.anchor else path
         rel = F.concat(F.lit(f.prefix + "/"), rel) if f.prefix else rel
         for r in reversed(f.rules):

@@ -1,0 +1 @@
+"""Empty on purpose: listings are batches; nothing in the surface that this engine covers is a stream."""
