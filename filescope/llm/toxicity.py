@@ -183,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
 
     batched(docs.sparkSession)
     sample = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text").select("text", "toxic")
-    return json.loads(sample.mapInPandas(worker(run, "toxicity"), "model string").first()["model"])
+    found = sample.mapInPandas(worker(run, "toxicity"), "model string").first()
+    return json.loads(found["model"]) if found else fit_sample([], [], share)
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
