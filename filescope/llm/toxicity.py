@@ -29,6 +29,7 @@ WINDOW, OVERLAP, LEVEL = 128, 12, 12
 ORDINARY_BYTES, TOXIC_BYTES = 32_768, 3_072
 GRAM, CONTEXT = 6, 16
 THRESHOLDS = (2, 3, 4, 5, 6, 8)
+LEAST_RATIO, LEAST_LIKELIHOOD = 6, 20
 #: Two labelled rows of a class are needed at least, else all scores are the share of toxic labels.
 LEAST_ROWS = 2
 
@@ -66,13 +67,14 @@ def _in_contexts(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def telling(toxic: Sequence[str], ordinary: Sequence[str]) -> list[bytes]:
-    """Stretches of the toxic texts made of grams that are several times as common there, in different contexts."""
+    """Stretches of the toxic texts made of grams that are several times as common there, in different contexts, and too often
+    to be so by chance (log-likelihood of a Poisson count)."""
     g, n = _in_contexts(toxic)
     og, on = _in_contexts(ordinary)
     at = np.searchsorted(og, g)
     other = np.where((at < len(og)) & (og[np.minimum(at, len(og) - 1)] == g), on[np.minimum(at, len(on) - 1)], 0) if len(og) else np.zeros(len(g))
-    ratio = (n / max(1, n.sum())) / ((other + 1) / max(1, on.sum()))
-    kept = g[(n >= max(3, len(toxic) / 70)) & (ratio >= 8)]
+    expected = (other + 1) * (n.sum() / max(1, on.sum()))
+    kept = g[(n >= 4) & (n >= LEAST_RATIO * expected) & (n * np.log(n / expected) - (n - expected) >= LEAST_LIKELIHOOD)]
     out = []
     for t in toxic:
         b = t.encode()
