@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filescope.functions.matching import MatchOptions, fnmatch
@@ -42,6 +42,7 @@ class Options:
     ranking: str | None = None
     no_stat: bool = False
     sort: bool = True
+    stop_on_error: bool = False
 
     def check(self) -> None:
         if not self.patterns:
@@ -94,10 +95,10 @@ def _outermost(starts: dict[str, int]) -> list[str]:
     return [s for s in starts if not any(o != s and (o in ("", "/") and s.startswith(o) and (o or not s.startswith("/")) or s.startswith(o.rstrip("/") + "/")) and not starts[o] for o in starts)]
 
 
-def run(spark: SparkSession, options: Options, catalog: DataFrame | None = None, changed: DataFrame | None = None) -> Report:
+def run(spark: SparkSession, options: Options, catalog: DataFrame | None = None, changed: DataFrame | None = None, predicate: Column | None = None) -> Report:
     """The report of a query over a catalog of entries, or over the file system where none is given.
 
-    changed (path) are the changed files of a catalog.  Counts are of all entries, whether or not a limit stopped early.
+    changed (path) are the changed files of a catalog; predicate is one more condition on entries, before limits and budgets.  Counts are of all entries, whether or not a limit stopped early.
     """
     options.check()
     patterns = [PathPattern.parse(options.rooted(x)) for p in options.patterns for x in try_expand(p)]
@@ -109,6 +110,8 @@ def run(spark: SparkSession, options: Options, catalog: DataFrame | None = None,
     entries, errors = catalog, none
     if entries is None:
         entries, errors, ignores, nested, links = _walked(spark, options, patterns)
+        if options.stop_on_error and (first := errors.head(1)):
+            raise RuntimeError(f"{first[0]['path']}: {first[0]['message']}")
     elif options.gitignore:
         ignores = []
     if options.git_changed is not None and changed is None:
@@ -117,7 +120,7 @@ def run(spark: SparkSession, options: Options, catalog: DataFrame | None = None,
     if changed is not None:
         entries = entries.join(changed.select("path", F.lit(True).alias("__changed")).distinct(), "path", "left")
         flag = F.coalesce(F.col("__changed"), F.lit(False))
-    said = prune.decision(patterns, match, options.max_depth, exclude, ignores, options.only_dirs, options.kinds, flag) if patterns else F.lit(None).cast("string")
+    said = prune.decision(patterns, match, options.max_depth, exclude, ignores, options.only_dirs, options.kinds, flag, predicate) if patterns else F.lit(None).cast("string")
     decided = entries.withColumn("decision", said).filter("decision is not null").drop("__changed")
     kept = decided.filter("decision = 'keep'").drop("decision").dropDuplicates(["path"])
     if options.ranking is not None:
