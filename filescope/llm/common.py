@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,10 +43,22 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/filescope-{what}-{uuid.uuid4().hex}"
 
 
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """What was stored between stages goes when the driver ends; lazy results may need it until then."""
+    with contextlib.suppress(Exception):  # the session may be gone already
+        for spark, path in _MADE:
+            removed(spark, path)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
+    _MADE.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

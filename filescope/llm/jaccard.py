@@ -206,9 +206,11 @@ def join(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, rec
     sets = sets.withColumn("set", F.xxhash64("digest"))
 
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(hasher.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("bands"), i * 8 + 1, F.lit(8)))))
-    rows = sets.select("set", "bands", "copies", "rep", band.alias("band", "h"))
-    full = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = rows.join(full, "h").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("set", "h"), F.col("blocks")).cast("int"))
+    thin = sets.select("set", band.alias("band", "h"))
+    full = thin.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # signatures go only with what shares a band
+    rows = thin.join(full, "h").join(sets.select("set", "bands", "copies", "rep"), "set")
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("set", "h"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
     dealt = rows.select("h", "band", "set", "bands", "copies", "rep", "block", other.alias("other"))
     dealt = dealt.select("h", "band", "set", "bands", "copies", "rep", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
