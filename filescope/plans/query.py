@@ -7,7 +7,7 @@ the counts are filters of it, so nothing disappears silently.
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from filescope.functions.matching import MatchOptions, fnmatch
 from filescope.functions.patterns import GlobError, PathPattern, Pattern, expand, try_expand
 from filescope.operators import budget, prefer, prune
+from filescope.operators.ruleset import Ruleset
 from filescope.plans import report
 from filescope.sources import filesystem, git, scores
 
@@ -108,14 +109,14 @@ def run(spark: SparkSession, options: Options, catalog: DataFrame | None = None,
     none = spark.createDataFrame([], "path string, kind string, message string")
     ignores, nested, links, gone = None, 0, 0, spark.createDataFrame([], "path string, kind string")
     entries, errors = catalog, none
+    if options.git_changed is not None and changed is None:
+        changed, gone = _changed(spark, options)
     if entries is None:
         entries, errors, ignores, nested, links = _walked(spark, options, patterns)
         if options.stop_on_error and (first := errors.head(1)):
             raise RuntimeError(f"{first[0]['path']}: {first[0]['message']}")
     elif options.gitignore:
         ignores = []
-    if options.git_changed is not None and changed is None:
-        changed, gone = _changed(spark, options)
     flag = None
     if changed is not None:
         entries = entries.join(changed.select("path", F.lit(True).alias("__changed")).distinct(), "path", "left")
@@ -201,3 +202,10 @@ def _changed(spark: SparkSession, options: Options) -> tuple[DataFrame, DataFram
     hit = prune.any_of([fnmatch(F.col("path"), Pattern.parse(options.rooted(x)), match) for p in options.patterns for x in expand(p)])
     gone = frame.filter(~F.col("there") & hit).select("path", report.paths.kind(F.col("path")).alias("kind"))
     return frame.filter("there").select("path"), gone.filter(F.col("kind").isin(*options.kinds)) if options.kinds else gone
+
+
+def walk_rules(spark: SparkSession, rules: Ruleset, root: str, options: Options | None = None) -> DataFrame:
+    """What a ruleset finds below root, most relevant first.  Limits and budgets of the options hold for the walk, so before
+    the rules decide; whether wildcards match dot-names is the rules' own option."""
+    options = replace(options or Options([]), patterns=[f"{root.rstrip('/')}/**" if root not in ("", ".") else "**"], hidden=not rules.options.literal_dot)
+    return rules.rank(run(spark, options).entries)

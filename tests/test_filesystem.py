@@ -167,3 +167,34 @@ def test_command_line(spark, tree, capfdbinary):
         assert cli.main(*bad) == 2
     assert cli.main(["*", "--prefer-from", "/nope/nope"]) == 1
     assert cli.main(["src/*.rs", "-p", "--max-output-tokens", "4"]) == 0 and out().out == b"src/lib.rs\n"
+
+
+def test_ruleset_walk(spark, tree):
+    from filescope.operators.ruleset import Ruleset
+
+    rules = Ruleset().include("**/*.rs").include("src/*.rs", 2.0).exclude("**/util/**")
+    got = [(r["path"], r["relevance"]) for r in query.walk_rules(spark, rules, "").collect()]
+    assert got == [("src/lib.rs", 3.0), ("src/main.rs", 3.0), (".hidden/secret.rs", 1.0), ("target/debug/build.rs", 1.0), ("tests/unit.rs", 1.0)]
+    assert query.walk_rules(spark, rules, "src", query.Options([], limit=1)).count() == 1
+
+
+def test_predicate_and_errors(spark, tree):
+    from pyspark.sql import functions as F
+
+    r = query.run(spark, query.Options(["docs/*"]), predicate=F.col("path").endswith("api.md"))
+    assert [x["path"] for x in r.entries.collect()] == ["docs/api.md"] and r.counts() == {"keep": 1, "predicate": 1}
+    r = query.run(spark, query.Options(["missing/*"]))
+    assert r.entries.count() == 0 and [tuple(x)[:2] for x in r.errors.collect()] == [("missing", "io")]
+    with pytest.raises(RuntimeError, match="missing"):
+        query.run(spark, query.Options(["missing/*"], stop_on_error=True))
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    from filescope.functions.matching import MatchOptions
+    from filescope.functions.patterns import PathPattern
+    from filescope.operators import prune
+
+    spark.createDataFrame([("src/a.rs", 1, False)], "path string, size bigint, is_dir boolean").write.parquet(str(tmp_path / "t"))
+    hit = prune.any_of(prune.matched([PathPattern.parse("src/**/*.rs")], MatchOptions()))
+    plan = spark.read.parquet(str(tmp_path / "t")).filter(hit).select("path")._jdf.queryExecution().toString()
+    assert "StringStartsWith(path,src/)" in plan and "ReadSchema: struct<path:string>" in plan
