@@ -24,7 +24,7 @@ from filescope.llm.common import batched, kept, table, worker
 #: Texts of more characters are encoded as a tree of leaves of so many.
 LEAF_CHARS = 65_536
 #: Pieces that a worker remembers, with and without what they decode to; it starts anew beyond, which bounds its memory.
-SHOWN_PIECES, CACHE_PIECES = 250_000, 600_000
+SHOWN_PIECES, CACHE_PIECES = 120_000, 600_000
 #: Characters for which Python's and the library's classes, case and normal forms agree; other texts go to the library whole.
 SAFE = re.compile("[\\t\\n\\r -~¡-©«¬®-±´¶-¸»¿-įı-ňŊ-ž‐-‧‰-⁞€]*")
 

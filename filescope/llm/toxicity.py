@@ -28,6 +28,8 @@ TRAINED = 0.6
 WINDOW, OVERLAP, LEVEL = 128, 12, 12
 ORDINARY_BYTES, TOXIC_BYTES = 32_768, 3_072
 GRAM, CONTEXT = 6, 16
+#: Parts in which grams are counted, one after the other (two bits of a hash).
+PARTS = 4
 THRESHOLDS = (2, 3, 4, 5, 6, 8)
 LEAST_RATIO, LEAST_LIKELIHOOD = 6, 20
 #: Two labelled rows of a class are needed at least, else all scores are the share of toxic labels.
@@ -47,17 +49,18 @@ def _grams(b: bytes) -> np.ndarray:
     return h
 
 
-def _in_contexts(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Grams and the number of different contexts in which each stands: copies of a passage count once.  A gram's 48 bits and
-    16 of its context's hash share a number, so the sample is sorted in little memory."""
+def _in_contexts(texts: Sequence[str], part: int) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of one of PARTS parts and the number of different contexts in which each stands: copies of a passage count once.
+    A gram's 48 bits and 16 of its context's hash share a number, so a part is sorted in little memory."""
     seen: list[np.ndarray] = []
     for t in texts:
         b = b" " * CONTEXT + t.encode()
         a, g = np.frombuffer(b, np.uint8).astype(np.uint64), _grams(b)[CONTEXT:]
-        h = np.zeros(len(g), np.uint64)
+        mine = np.flatnonzero((g * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(62) == part)
+        h = np.zeros(len(mine), np.uint64)
         for i in range(CONTEXT):
-            h = h * np.uint64(1099511628211) + a[i : i + len(g)]
-        seen.append(np.unique((g << np.uint64(16)) | ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48))))
+            h = h * np.uint64(1099511628211) + a[mine + i]
+        seen.append(np.unique((g[mine] << np.uint64(16)) | ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48))))
     both = np.concatenate(seen) if seen else np.zeros(0, np.uint64)
     seen.clear()
     both.sort()
@@ -69,12 +72,15 @@ def _in_contexts(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
 def telling(toxic: Sequence[str], ordinary: Sequence[str]) -> list[bytes]:
     """Stretches of the toxic texts made of grams that are several times as common there, in different contexts, and too often
     to be so by chance (log-likelihood of a Poisson count)."""
-    g, n = _in_contexts(toxic)
-    og, on = _in_contexts(ordinary)
-    at = np.searchsorted(og, g)
-    other = np.where((at < len(og)) & (og[np.minimum(at, len(og) - 1)] == g), on[np.minimum(at, len(on) - 1)], 0) if len(og) else np.zeros(len(g))
-    expected = (other + 1) * (n.sum() / max(1, on.sum()))
-    kept = g[(n >= 4) & (n >= LEAST_RATIO * expected) & (n * np.log(n / expected) - (n - expected) >= LEAST_LIKELIHOOD)]
+    found = []
+    for part in range(PARTS):
+        g, n = _in_contexts(toxic, part)
+        og, on = _in_contexts(ordinary, part)
+        at = np.searchsorted(og, g)
+        other = np.where((at < len(og)) & (og[np.minimum(at, len(og) - 1)] == g), on[np.minimum(at, len(on) - 1)], 0) if len(og) else np.zeros(len(g))
+        expected = (other + 1) * (max(1, n.sum()) / max(1, on.sum()))
+        found.append(g[(n >= 4) & (n >= LEAST_RATIO * expected) & (n * np.log(n / expected) - (n - expected) >= LEAST_LIKELIHOOD)])
+    kept = np.concatenate(found)
     out = []
     for t in toxic:
         b = t.encode()
