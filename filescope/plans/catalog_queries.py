@@ -131,10 +131,10 @@ _add("path_parts", lambda s, d: _entries(s, d).select("path", paths.name(F.col("
      _sql(" SELECT path, string_split(path, '/')[-1] AS name, regexp_extract(path, '[.]([a-z0-9]*)$', 1) AS ext, array_to_string(string_split(path, '/')[:-2], '|') AS above FROM docs"))
 _add("sif_records", lambda s, d: report.records(_entries(s, d)).select("path", "record"),
      _sql(" SELECT path, path || chr(9) || size || chr(9) || kind || chr(9) || tokens_est || chr(9) || 'false' AS record FROM docs"))
-_add("quoted_fields", lambda s, d: s.read.parquet(f"{d}/benchmark.parquet").select("item_id", paths.field(F.substring("text", 1, 40)).alias("field"), paths.attribute(F.substring("text", 1, 12)).alias("attribute")),
+_add("quoted_fields", lambda s, d: s.read.parquet(f"{d}/benchmark.parquet").select("item_id", paths.field(F.col("text")).alias("field"), paths.attribute(F.col("text")).alias("attribute")),
      r"""SELECT item_id, CASE WHEN regexp_matches(a, '^[#§ ]|[ ]$|[\x00-\x1f,\[\]{}"\\]') THEN '"' || replace(replace(replace(a, '\', '\\'), '"', '\"'), chr(10), '\n') || '"' ELSE a END AS field,
        CASE WHEN regexp_full_match(b, '[!#-<>-\[\]-~]+') THEN b ELSE '"' || replace(replace(replace(b, '\', '\\'), '"', '\"'), chr(10), '\n') || '"' END AS attribute
-       FROM (SELECT item_id, substring(text, 1, 40) AS a, substring(text, 1, 12) AS b FROM benchmark)""")
+       FROM (SELECT item_id, text AS a, text AS b FROM benchmark)""")
 _add("url_catalog", lambda s, d: tables.url_catalog(s, d).select("page_id", "path", "size", "tokens_est"),
      "SELECT page_id, regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) AS path, octet_length(encode(html))::BIGINT AS size, ((octet_length(encode(html)) * 2 + 6) // 7)::BIGINT AS tokens_est FROM pages")
 
@@ -226,14 +226,14 @@ _add("score_lines", _score_lines, _sql(""" SELECT CASE doc_id % 4 WHEN 3 THEN 'a
 
 
 def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh file, and as many that are gone."""
-    seventh = _entries(spark, sf_dir, "doc_id").filter("doc_id % 7 = 0")
-    return seventh.select("path").unionByName(seventh.select(F.concat(F.lit("gone/"), "path").alias("path")))
+    """The files whose documents are labelled, and as many that are gone."""
+    labelled = _entries(spark, sf_dir, "doc_id").join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id"), "doc_id", "left_semi")
+    return labelled.select("path").unionByName(labelled.select(F.concat(F.lit("gone/"), "path").alias("path")))
 
 
-_add("changed_semi_join", lambda s, d: _entries(s, d).join(_changed(s, d), "path", "left_semi").select("path", "kind"), _sql(" SELECT path, kind FROM docs WHERE doc_id % 7 = 0"))
-_add("deleted_anti_join", lambda s, d: report.deleted(_changed(s, d), _entries(s, d)), _sql(" SELECT 'gone/' || path AS path, kind FROM docs WHERE doc_id % 7 = 0"))
-_add("pattern_intersection", lambda s, d: _glob("**/*.rs")(s, d).join(_changed(s, d), "path", "left_semi").select("path"), _sql(f" SELECT path FROM docs WHERE doc_id % 7 = 0 AND path LIKE '%.rs' AND {VISIBLE}"))
+_add("changed_semi_join", lambda s, d: _entries(s, d).join(_changed(s, d), "path", "left_semi").select("path", "kind"), _sql(" SELECT path, kind FROM docs WHERE doc_id IN (SELECT doc_id FROM labels)"))
+_add("deleted_anti_join", lambda s, d: report.deleted(_changed(s, d), _entries(s, d)), _sql(" SELECT 'gone/' || path AS path, kind FROM docs WHERE doc_id IN (SELECT doc_id FROM labels)"))
+_add("pattern_intersection", lambda s, d: _glob("**/*.rs")(s, d).join(_changed(s, d), "path", "left_semi").select("path"), _sql(f" SELECT path FROM docs WHERE doc_id IN (SELECT doc_id FROM labels) AND path LIKE '%.rs' AND {VISIBLE}"))
 
 # rules
 
