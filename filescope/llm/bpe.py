@@ -11,7 +11,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,7 @@ LEAF_CHARS = 65_536
 SHOWN_PIECES, CACHE_PIECES = 120_000, 600_000
 #: Characters for which Python's and the library's classes, case and normal forms agree; other texts go to the library whole.
 SAFE = re.compile("[\\t\\n\\r -~¡-©«¬®-±´¶-¸»¿-įı-ňŊ-ž‐-‧‰-⁞€]*")
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ňŊ-ž"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -36,6 +39,18 @@ def _byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
 
 
+class _Learned(dict):
+    """Ids of pieces, as little-endian unsigned 32-bit integers; unknown ones are looked up when asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = ids = self.learn(piece)
+        return ids
+
+
 class Codec:
     """A tokenizer file with a cache of encoded pieces.  encode() gives what the library gives for the whole text."""
 
@@ -51,32 +66,33 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in said["added_tokens"]}
         self.split = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         self.words = bool(said["normalizer"])  # lower case, white space dropped, word ends
+        # the library's expressions for SAFE text, where letters are _LETTERS and numbers 0-9; what begins apart may come in any order
         if self.words:
-            self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+            self.pieces = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s0-9{_LETTERS}]+")
         else:
-            self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+            self.pieces = re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Learned(self._learn)
         self.shown: dict[str, str] | None = {} if decode else None
 
-    def _learn(self, piece: str) -> None:
+    def _learn(self, piece: str) -> bytes:
         tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-        self.cache[piece] = np.array([t.id for t in tokens], "<u4").tobytes()
         if self.shown is not None:
-            self.shown[piece] = " ".join(t.value for t in tokens)
+            self.shown[piece] = " ".join([t.value for t in tokens])
+        ids = array("I", [t.id for t in tokens])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def ordinary(self, text: str) -> list[str] | None:
-        """The pieces of a text that the fast path can encode, all of them known then; else None."""
+        """The pieces of a text that the fast path can encode; else None."""
         if not SAFE.fullmatch(text) or (self.split and self.split.search(text)):
             return None
         if len(self.cache) > (CACHE_PIECES if self.shown is None else SHOWN_PIECES):
             self.cache.clear()
             if self.shown is not None:
                 self.shown.clear()
-        pieces = self.pieces.findall(text.lower() if self.words else text)
-        for piece in set(pieces).difference(self.cache):
-            self._learn(piece)
-        return pieces
+        return self.pieces.findall(text.lower() if self.words else text)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
