@@ -10,6 +10,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe template".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements deeper than this stay beside what they hold, as empty ones: no text is lost, and trees can be walked recursively.
+DEPTH = 200
 #: Where an implied end must not reach beyond.
 SCOPE = frozenset("ul ol dl table article section main div body html aside nav footer header form".split())
 
@@ -48,6 +50,9 @@ def parse(text: str) -> Node:
                     break
                 if tag in INLINE and stack[i].tag not in INLINE:
                     break  # an inline end does not close the block around
+            else:
+                if len(stack) >= DEPTH and tag not in INLINE:
+                    stack[-1].children.append(Node(tag, ""))  # where a block ends that was too deep
             continue
         if tag in ENDS:
             for i in range(len(stack) - 1, 0, -1):
@@ -71,7 +76,7 @@ def parse(text: str) -> Node:
             e = re.compile(rf"</{tag}\s*>", re.I).search(text, at) if tag not in _RAW_END else _RAW_END[tag].search(text, at)
             node.children.append(text[at : e.start() if e else n])
             at = e.end() if e else n
-        elif tag not in VOID and not attrs.endswith("/"):
+        elif tag not in VOID and not attrs.endswith("/") and len(stack) < DEPTH:
             stack.append(node)
     return root
 

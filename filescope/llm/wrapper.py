@@ -33,6 +33,8 @@ LEAST_PAGES, AGREED = 5, 0.8
 #: Hosts whose wrappers may be broadcast, a few hundred bytes each.
 BROADCAST_HOSTS = 20_000
 FLUSH_HOSTS = 4_000
+#: Children of a wrapper's node; beyond, those of one signature become one node.  Bounds wrappers, not texts.
+CHILDREN = 200
 SALTS = 32
 
 
@@ -115,23 +117,43 @@ def as_wrapper(node: Node) -> Wrapper:
     folded: list[Wrapper] = []
     for c in w.children:
         if folded and folded[-1].sig == c.sig:
-            last = folded[-1]
-            merged = merge(last, c)
-            merged.n, merged.said = 1, zlib.crc32(f"{last.said} {c.said}".encode())
-            merged.same = 1
-            folded[-1] = merged
+            folded[-1] = _repeated(folded[-1], c)
         else:
             folded.append(c)
-    w.children = folded
+    w.children = _bounded(folded, _repeated)
     text = clean(own)
     w.said, w.same, w.chars = zlib.crc32(text.encode()) if text else 0, 1, len(text)
     return w
 
 
+def _repeated(a: Wrapper, b: Wrapper) -> Wrapper:
+    """Two nodes of one page as one: what it says is what they say in turn."""
+    out = merge(a, b)
+    out.n, out.same, out.said = 1, 1, zlib.crc32(f"{a.said} {b.said}".encode())
+    return out
+
+
+def _bounded(children: list[Wrapper], both) -> list[Wrapper]:
+    if len(children) <= CHILDREN:
+        return children
+    out: dict[str, Wrapper] = {}
+    for c in children:
+        out[c.sig] = both(out[c.sig], c) if c.sig in out else c
+    return list(out.values())
+
+
 def _match(a: list[Wrapper], b: list[Wrapper]) -> list[tuple[int, int]]:
     """Simple tree matching of two child lists: the order-preserving pairing of equal signatures with the most matched nodes."""
     if [x.sig for x in a] == [x.sig for x in b]:
         return [(i, i) for i in range(len(a))]
+    if len(a) * len(b) > CHILDREN * CHILDREN:  # many different signatures: each node with the next of its own
+        out, j, places = [], 0, {x.sig: i for i, x in reversed(list(enumerate(b)))}
+        for i, x in enumerate(a):
+            k = places.get(x.sig, -1)
+            if k >= j:
+                out.append((i, k))
+                j = k + 1
+        return out
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -168,8 +190,7 @@ def merge(a: Wrapper, b: Wrapper) -> Wrapper:
         said, same = a.said, a.same + b.same
     else:
         said, same = (a.said, a.same - b.same) if a.same >= b.same else (b.said, b.same - a.same)
-    # the same node may come up on both sides of a fold; at most as many children as there are signatures and places
-    return Wrapper(a.sig, a.n + b.n, said, same, a.chars + b.chars, children)
+    return Wrapper(a.sig, a.n + b.n, said, same, a.chars + b.chars, _bounded(children, merge))
 
 
 def template(w: Wrapper, pages: int) -> bool:

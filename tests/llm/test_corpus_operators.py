@@ -212,6 +212,21 @@ def test_parser_never_fails():
         wrapper.extract(html_dom.parse(text), {"path": [], "const": []})
 
 
+def test_wide_pages():
+    import time
+
+    began = time.time()
+    pages = [html_dom.parse("<main>" + "".join(f"<div class=k{chr(97 + (i * j) % 23)}{'x' * (i % 40)}>t{i}</div><p>q" for i in range(4000))) for j in (1, 2, 3)]
+    w = wrapper.merge(wrapper.merge(*map(wrapper.as_wrapper, pages[:2])), wrapper.as_wrapper(pages[2]))
+    assert wrapper.extract(pages[0], wrapper.rules(w)).startswith("t0\n\nq\n\nt1") and time.time() - began < 20
+
+
+def test_deep_pages(spark):
+    deep = "<div>" * 5000 + "<p>a</p>" + "<b>" * 3000 + "b" + "</div>" * 5000 + "<p>c"
+    rows = [(i, "http://d.example/", deep + str(i)) for i in range(3)]
+    assert {r["text"] for r in wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {f"a\n\nb\n\nc{i}" for i in range(3)}
+
+
 @data
 def test_extraction_of_pages(spark):
     import html as h
