@@ -11,11 +11,12 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from filescope.functions.patterns import CLASSES, Deep, Lit, Many, One, Part, PathPattern, Pattern, Set
+from filescope.session import ship
 
 #: Wildcards up to which a regular expression that may backtrack is used.
 FEW = 4
@@ -235,6 +236,7 @@ def _by_udf(test, column: Column) -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else test(x))
 
+    ship(SparkSession.active())
     return F.pandas_udf(run, BooleanType())(column)
 
 

@@ -6,10 +6,11 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from filescope.functions.patterns import GlobError
+from filescope.session import ship
 
 END_OF_BLOCK = "#/block"
 #: Longest line that is kept whole, and bytes at the start where a NUL means that a file is binary.
@@ -104,6 +105,7 @@ def excerpt(path: Column, text: Column, preview: Preview) -> Column:
     """struct(start, lines), or null where there is nothing to show.  A line that would end a block ends the excerpt."""
     if preview.mode == "code":
         n = preview.a
+        ship(SparkSession.active())
 
         @F.pandas_udf("start int, lines array<string>")
         def run(paths: pd.Series, found: pd.Series) -> pd.DataFrame:
