@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from filescope.session import ship
 
 #: Bytes and rows in an Arrow batch: long texts come few at a time, narrow rows many.
-BATCH_BYTES, BATCH_ROWS = 2 << 20, 50_000
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

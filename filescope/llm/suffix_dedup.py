@@ -32,7 +32,7 @@ from filescope.llm.streams import groups
 LENGTH, SEED = 100, 32
 WINDOW = LENGTH - SEED + 1
 #: Starts that are looked at in one go, and suffixes that are sorted in one go.
-PIECE, BLOCK = 1 << 20, 1 << 19
+PIECE, BLOCK = 1 << 19, 1 << 18
 #: A minimizer of more different stretches is split by content.
 HOT = 1_000
 BROADCAST_ROWS = 500_000
@@ -198,7 +198,6 @@ def repeated(pieces: list[bytes], off: np.ndarray, bucket: np.ndarray) -> tuple[
     word = _words(t)
     # cover sample: ranks over 32, 64 and 128 bytes
     sample = (np.arange(0, len(t) - 5 * V, V)[:, None] + np.array(COVER)[None, :]).ravel()
-    slot = np.zeros(len(t), np.int64)
     rank = np.zeros(len(t) + 4 * V, np.int64)
     rank[sample] = _dense(*(word[sample + i] for i in (0, 8, 16, 24)))
     for step in (32, 64):
