@@ -8,6 +8,7 @@ element, class, id or role that it is one of them is never content.  A page's te
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import zlib
@@ -277,24 +278,34 @@ def _host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
+def main_text(page: Node) -> bytes:
+    """A digest of what a page says in its articles, or in all of it where it has none: equal for copies of a page."""
+    return hashlib.blake2b("\n".join(b for n in _articles(page) or [page] for b in blocks_of(n)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, rule) of pages (host, html).  Pages of equal text count once in a batch, so copies make nothing constant.
+    """(host, rule) of pages (host, html).  Pages of equal main text on a host count once in the whole table, so copies make
+    nothing constant; of copies that differ around it the one with the smallest wrapper speaks, whichever task reads it.
 
-    Tasks merge what they hold of a host; those wrappers meet by host and salt and then by host, one after the other.
+    Tasks send one wrapper for each main text they hold, which meet by host and text.  Those tasks merge what they got of a
+    host; the wrappers meet by host and salt and then by host, one after the other.
     """
     batched(pages.sparkSession)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, Wrapper] = {}
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            seen: set[tuple[str, int]] = set()
+            least: dict[tuple[str, bytes], str] = {}
             for host, text in zip(b["host"], b["html"], strict=True):
                 page = parse(text)
-                told = (host, zlib.crc32("\n".join(blocks_of((_articles(page) or [page])[0])).encode()))
-                if told in seen:
-                    continue
-                seen.add(told)
-                w = as_wrapper(page)
+                key, said = (host, main_text(page)), _said(as_wrapper(page))
+                least[key] = min(least.get(key, said), said)
+            yield pd.DataFrame([(h, m, w) for (h, m), w in least.items()], columns=["host", "main", "wrapper"])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, Wrapper] = {}
+        for b in batches:
+            for host, said in zip(b["host"], b["wrapper"], strict=True):
+                w = Wrapper.load(json.loads(said))
                 held[host] = merge(held[host], w) if host in held else w
             if len(held) > FLUSH_HOSTS:
                 yield _rows(held)
@@ -302,8 +313,11 @@ def induce(pages: DataFrame) -> DataFrame:
         if held:
             yield _rows(held)
 
+    def _said(w: Wrapper) -> str:
+        return json.dumps(w.dump(), separators=(",", ":"))
+
     def _rows(held: dict[str, Wrapper]) -> pd.DataFrame:
-        return pd.DataFrame([(h, json.dumps(w.dump(), separators=(",", ":"))) for h, w in held.items()], columns=["host", "wrapper"])
+        return pd.DataFrame([(h, _said(w)) for h, w in held.items()], columns=["host", "wrapper"])
 
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, w = None, None
@@ -327,7 +341,9 @@ def induce(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"host": b["host"], "rule": [json.dumps(rules(Wrapper.load(json.loads(w)))) for w in b["wrapper"]]})
 
     schema = "host string, wrapper string"
-    parts = pages.mapInPandas(worker(partial, "wrapper"), schema).withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
+    # sorted aggregation, first in the task that reads: of a repeated page each task sends one row
+    distinct = pages.mapInPandas(worker(told, "wrapper"), "host string, main binary, wrapper string").groupBy("host", "main").agg(F.min("wrapper").alias("wrapper"))
+    parts = distinct.select("host", "wrapper").mapInPandas(worker(partial, "wrapper"), schema).withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
     parts = parts.repartition("host", "salt").sortWithinPartitions("host", "salt").select("host", "wrapper").mapInPandas(worker(met, "wrapper"), schema)
     whole = parts.repartition("host").sortWithinPartitions("host").mapInPandas(worker(met, "wrapper"), schema)
     return stored(whole.mapInPandas(worker(ruled, "wrapper"), "host string, rule string"), "wrappers")

@@ -205,6 +205,17 @@ def test_extraction(spark):
     assert wrapper.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_in_many_partitions_make_no_template(spark):
+    page = "<body><nav>n</nav><article><h1>{}</h1><div><p>{}</p></div></article></body>"
+    rows = [(i, "http://c.example/", page.format("Title", "The only paragraph")) for i in range(64)]
+    rows += [(100 + i, "http://c.example/", page.format(f"T{i}", f"Other {i}")) for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n in (1, 16):
+        got = {r["page_id"]: r["text"] for r in wrapper.extract_pages(df.repartition(n, "page_id")).collect()}
+        assert {got[i] for i in range(64)} == {"Title\n\nThe only paragraph"}
+        assert all(got[100 + i] == f"T{i}\n\nOther {i}" for i in range(2))
+
+
 def test_parser_never_fails():
     rng = random.Random(9)
     for _ in range(2000):
