@@ -2,7 +2,7 @@
 
 Trees of a host's pages are aligned by simple tree matching and merged into one wrapper: neighbours of the same element are
 one repeated node, and each node remembers whether its text is constant or varies.  Constant nodes are template; the
-varying slot that holds the pages' text is content.  Menus, adverts and the like vary as well, so a node that says by its
+article, or else the slot that holds all text that varies, is content.  Menus, adverts and the like vary as well, so a node that says by its
 element, class, id or role that it is one of them is never content.  A page's text is read along its alignment.
 """
 
@@ -31,6 +31,8 @@ NOISE_WORDS = re.compile(
 MAIN_TAGS = frozenset(("article", "main"))
 #: Pages of different text that a constant node needs, and the share of them that must agree, before it counts as template.
 LEAST_PAGES, AGREED = 5, 0.8
+#: The share of the varying text that a node on the way to an article holds.
+MOST = 0.7
 #: Hosts whose wrappers may be broadcast, a few hundred bytes each.
 BROADCAST_HOSTS = 20_000
 FLUSH_HOSTS = 4_000
@@ -65,7 +67,10 @@ def noise(sig: str) -> bool:
 
 
 def blocks_of(node: Node, skip=None) -> list[str]:
-    """The blocks of text below a node in page order.  Blocks end where a block element begins or ends."""
+    """The blocks of text below a node in page order.  Blocks end where a block element begins or ends.
+
+    A block that skip holds for loses its own text, not the blocks inside.
+    """
     out: list[str] = []
     run: list[str] = []
 
@@ -76,45 +81,54 @@ def blocks_of(node: Node, skip=None) -> list[str]:
                 out.append(s)
             run.clear()
 
-    def walk(x: Node) -> None:
+    def walk(x: Node, mute: bool) -> None:
         for c in x.children:
             if isinstance(c, str):
-                run.append(c)
+                if not mute:
+                    run.append(c)
             elif c.tag == "br":
                 run.append(" ")
             elif c.tag in INLINE:
-                if not noise(signature(c)) and not (skip and skip(c)):
-                    walk(c)
+                if not noise(signature(c)):
+                    walk(c, mute)
             else:
                 flush()
-                if not noise(signature(c)) and not (skip and skip(c)):
-                    walk(c)
+                if not noise(signature(c)):
+                    walk(c, bool(skip and skip(c)))
                 flush()
 
-    walk(node)
+    walk(node, False)
     flush()
     return out
 
 
-def as_wrapper(node: Node) -> Wrapper:
-    """A page as a wrapper of one page.  Neighbouring elements of one signature become one node; inline ones are text."""
-    sig = signature(node)
-    w = Wrapper(sig, 1)
-    if noise(sig):
-        return w  # whatever it says, it is not content
-    own: list[str] = []
+def _own(node: Node) -> tuple[str, list[Node]]:
+    """A node's own text, inline elements included, and the block elements that stand in it."""
+    said: list[str] = []
+    blocks: list[Node] = []
 
     def add(x: Node) -> None:
         for c in x.children:
             if isinstance(c, str):
-                own.append(c)
+                said.append(c)
             elif c.tag in INLINE:
                 if not noise(signature(c)):
                     add(c)
             else:
-                w.children.append(as_wrapper(c))
+                blocks.append(c)
 
     add(node)
+    return clean(said), blocks
+
+
+def as_wrapper(node: Node) -> Wrapper:
+    """A page as a wrapper of one page.  Neighbouring elements of one signature become one node; inline ones are text."""
+    sig = signature(node)
+    w = Wrapper(sig, 1)
+    if noise(sig):
+        return w  # whatever it says, it is not content
+    text, blocks = _own(node)
+    w.children = [as_wrapper(c) for c in blocks]
     folded: list[Wrapper] = []
     for c in w.children:
         if folded and folded[-1].sig == c.sig:
@@ -122,7 +136,6 @@ def as_wrapper(node: Node) -> Wrapper:
         else:
             folded.append(c)
     w.children = _bounded(folded, _repeated)
-    text = clean(own)
     w.said, w.same, w.chars = zlib.crc32(text.encode()) if text else 0, 1, len(text)
     return w
 
@@ -199,28 +212,38 @@ def template(w: Wrapper, pages: int) -> bool:
     return bool(w.said) and pages >= LEAST_PAGES and w.n >= AGREED * pages and w.same >= (2 * AGREED - 1) * w.n
 
 
-def _varying(w: Wrapper, pages: int) -> int:
+def _varying(w: Wrapper, pages: int, all_agree: bool = False) -> int:
+    """Characters below that are neither noise nor template; with all_agree, of template that some page says otherwise as well."""
     if noise(w.sig):
         return 0
-    return (0 if template(w, pages) else w.chars) + sum(_varying(c, pages) for c in w.children)
+    fixed = template(w, pages) and (not all_agree or w.same == w.n)
+    return (0 if fixed else w.chars) + sum(_varying(c, pages, all_agree) for c in w.children)
 
 
 def content_slot(w: Wrapper, pages: int) -> list[str]:
     """Signatures on the way from the root to the slot of the content: the article where pages have one, else the lowest
-    node that holds most of the varying text."""
-    path, total = [], _varying(w, pages)
+    node outside of which all text is noise or the same on every page."""
+    path = _descend(w, pages, MOST)
+    if any(sig.partition(".")[0] in MAIN_TAGS for sig in path):
+        return path
+    return _descend(w, pages, 1, all_agree=True)
+
+
+def _descend(w: Wrapper, pages: int, share: float, all_agree: bool = False) -> list[str]:
+    """The way to an article, through nodes that hold a share of the varying text of the page."""
+    path, total = [], _varying(w, pages, all_agree)
     at = w
     while True:
         found = [c for c in at.children if not noise(c.sig)]
-        said = [(c.sig.partition(".")[0] in MAIN_TAGS, _varying(c, pages), c) for c in found]
+        said = [(c.sig.partition(".")[0] in MAIN_TAGS, _varying(c, pages, all_agree), c) for c in found]
         mains = [x for x in said if x[0] and x[1]]
-        if mains:
+        if mains and share < 1:
             best = max(mains, key=lambda x: x[1])[2]
         else:
             best = max(said, key=lambda x: x[1], default=(0, 0, None))[2]
-            inside = _varying(best, pages) if best is not None else 0
+            inside = _varying(best, pages, all_agree) if best is not None else 0
             leaf = best is None or not best.children or best.sig.partition(".")[0] in ("p", "ul", "ol", "table", "pre", "blockquote")
-            if not total or leaf or inside < 0.7 * total or (at.sig.partition(".")[0] in MAIN_TAGS):
+            if not total or leaf or inside < share * total or (at.sig.partition(".")[0] in MAIN_TAGS):
                 return path
         path.append(best.sig)
         if best.sig.partition(".")[0] == "article":
@@ -249,12 +272,16 @@ def rules(w: Wrapper) -> dict:
 def extract(page: Node, rule: dict) -> str:
     """The page's text in its slot; of a page without it, below its own article or all of it."""
     const = {(s, h) for s, h in rule["const"]}
+    sigs = {s for s, _ in const}
 
     def same(n: Node) -> bool:
         if not const:
             return False
-        own = as_wrapper(n)
-        return (own.sig, own.said) in const
+        sig = signature(n)
+        if sig not in sigs:
+            return False
+        text = _own(n)[0]
+        return bool(text) and (sig, zlib.crc32(text.encode())) in const
 
     level = [page]
     for sig in rule["path"]:

@@ -216,6 +216,18 @@ def test_copies_in_many_partitions_make_no_template(spark):
         assert all(got[100 + i] == f"T{i}\n\nOther {i}" for i in range(2))
 
 
+def test_pages_without_an_article_keep_all_that_varies(spark):
+    long = "body {} " * 30
+    page = "<body><div class=top>Our site</div><div class=lead>Lead {i}</div><h1>{title}</h1><div class=wrap>Welcome<div class=post><p>{text}</p><p>More {i}</p></div></div><div class=tail>Tail {i}</div></body>"
+    rows = [(i, "http://d.example/", page.format(i=i, title=f"T{i}", text=long.format(*[i] * 30))) for i in range(10)]
+    other = "<body><h1>{}</h1><div class=post><p>{}</p></div></body>"  # a title that most pages share, not all
+    rows += [(100 + i, "http://e.example/", other.format("Notes" if i else "One of its own", long.format(*[i] * 30))) for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(10):
+        assert got[i] == f"Lead {i}\n\nT{i}\n\n{long.format(*[i] * 30).strip()}\n\nMore {i}\n\nTail {i}"
+    assert got[100].startswith("One of its own\n\nbody 0") and got[101].startswith("body 1")
+
+
 def test_parser_never_fails():
     rng = random.Random(9)
     for _ in range(2000):
