@@ -15,12 +15,15 @@ DEPTH = 200
 #: Where an implied end must not reach beyond.
 SCOPE = frozenset("ul ol dl table article section main div body html aside nav footer header form".split())
 
+#: Elements whose ids are anchors of what they say, and do not name a part of the page; so are those of inline elements inside.
+TEXTS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
 class Node:
-    """An element: tag, mark (class, id and role words), children: nodes and strings."""
+    """An element: tag, mark (class, id and role words; ids that are anchors begin with #), children: nodes and strings."""
 
     __slots__ = ("tag", "mark", "children")
 
@@ -69,7 +72,7 @@ def parse(text: str) -> Node:
                 if stack[i].tag in SCOPE:
                     break
         attrs = m[3]
-        mark = " ".join(dict.fromkeys(" ".join(b or c or d for _, b, c, d in _ATTR.findall(attrs)).lower().split())) if "=" in attrs else ""
+        mark = _mark(attrs, tag, stack) if "=" in attrs else ""
         node = Node(tag, mark)
         stack[-1].children.append(node)
         if tag in RAW:
@@ -81,6 +84,15 @@ def parse(text: str) -> Node:
     return root
 
 
+def _mark(attrs: str, tag: str, stack: list[Node]) -> str:
+    found = [(name.lower(), word) for name, b, c, d in _ATTR.findall(attrs) for word in (b or c or d).lower().split()]
+    if any(name == "id" for name, _ in found):
+        around = tag if tag not in INLINE else next((x.tag for x in reversed(stack) if x.tag not in INLINE), "")
+        if around in TEXTS:
+            found = [(name, "#" + word if name == "id" else word) for name, word in found]
+    return " ".join(dict.fromkeys(word for _, word in found))
+
+
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 

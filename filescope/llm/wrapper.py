@@ -22,12 +22,13 @@ from filescope.llm.common import batched, kept, stored, table, worker
 from filescope.llm.html_dom import INLINE, RAW, Node, clean, parse
 
 #: Elements, class words and roles of what is not the article.
-NOISE_TAGS = frozenset("head nav footer aside form button select option input dialog menu figcaption svg canvas audio video object map fieldset".split()) | RAW
+NOISE_TAGS = frozenset("head nav footer aside form button select option input dialog menu svg canvas".split()) | RAW
 NOISE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|newsletter|subscribe|signup|login|nav\w*|menu\w*"
     r"|breadcrumbs?|side-?bar|footer|masthead|topbar|toolbar|comments?|comment-?list|replies|disqus|related|recommend\w*|share\w*|sharing|social|widgets?|popup|modal"
     r"|navigation|contentinfo|complementary|search|dialog|pagination|pager|skip-link|copyright)(?:$|[\s_-])"
 )
+ANCHOR = re.compile(r"(?:^|\s)#\S*")
 MAIN_TAGS = frozenset(("article", "main"))
 #: Pages of different text that a constant node needs, and the share of them that must agree, before it counts as template.
 LEAST_PAGES, AGREED = 5, 0.8
@@ -63,7 +64,7 @@ def signature(node: Node) -> str:
 
 def noise(sig: str) -> bool:
     tag, _, mark = sig.partition(".")
-    return tag in NOISE_TAGS or bool(mark and NOISE_WORDS.search(mark))
+    return tag in NOISE_TAGS or bool(mark and NOISE_WORDS.search(ANCHOR.sub("", mark) if "#" in mark else mark))
 
 
 def blocks_of(node: Node, skip=None) -> list[str]:

@@ -228,6 +228,14 @@ def test_pages_without_an_article_keep_all_that_varies(spark):
     assert got[100].startswith("One of its own\n\nbody 0") and got[101].startswith("body 1")
 
 
+def test_captions_fallbacks_and_headings_of_an_article_stay():
+    page = """<article><h2 id="related-work">Related work</h2><h2><span id=Search>Search</span></h2><p id="copyright">On <a id=related>copies</a><h3 class="share-this">share</h3>
+<figure><img><figcaption>A caption</figcaption></figure><object>An object</object><video>A film</video><audio>A sound</audio><map>A map</map><fieldset>A set</fieldset>
+<p class="ad" id=x>buy<div id="comments">me</div><section id="related-posts">more</section></article>"""
+    text = wrapper.extract(html_dom.parse(page), {"path": ["article"], "const": []})
+    assert text == "\n\n".join(["Related work", "Search", "On copies", "A caption", "An object", "A film", "A sound", "A map", "A set"])
+
+
 def test_parser_never_fails():
     rng = random.Random(9)
     for _ in range(2000):
