@@ -34,7 +34,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 def phrases(items: DataFrame, n: int = PHRASE) -> DataFrame:
     """(phrase, words, item_ids): each distinct run of n words of an item; an item of fewer words, but not none, is one run.
 
-    Null and empty items have none; items of equal text share their runs.
+    Null and empty items have none; items of equal text share their runs; a null item_id is not listed.
     """
     w = items.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     runs = w.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.slice("w", i, n))).alias("words"))
@@ -129,6 +129,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = PHRASE) -> DataFra
 
     A word is hit if some occurrence of a phrase of an item covers it.  Null and empty texts have no words and no hits; an
     empty benchmark hits nothing; rows of equal doc_id share their hits.  A null doc_id stands for the smallest number inside.
+    Items with a null item_id hit words as others do, but are neither counted nor listed.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     hits, runs, lengths = matches(docs, items, n)
@@ -138,7 +139,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = PHRASE) -> DataFra
     covered = spans.groupBy("doc_id").agg(F.sum(F.greatest(end - F.greatest("start", "reached"), F.lit(0))).cast("long").alias("n_hit"))
     met = hits.select("doc_id", "phrase").distinct().join(_small(runs.select("phrase", "item_ids"), runs.count()), "phrase")
     listed = met.select("doc_id", F.explode("item_ids").alias("item")).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
-    per_doc = stored(covered.join(listed, "doc_id"), "contaminated")
+    per_doc = stored(covered.join(listed, "doc_id", "left"), "contaminated")
     sized = lengths.select("doc_id", F.col("n_words").cast("long").alias("n_words"))
     joined = sized.join(_small(per_doc, per_doc.count()), "doc_id", "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))

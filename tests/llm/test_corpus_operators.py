@@ -65,6 +65,20 @@ def test_equals_sql(spark, name):
     assert (a == b).all().all()
 
 
+def test_contamination_by_items_without_an_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(12)), " ".join(f"b{i}" for i in range(12))
+    rows, items = [(1, f"x {a} y"), (2, f"{a} {b}"), (3, "nothing here"), (4, b)], [(None, a), (7, b), (None, b)]
+    got = decontaminate.contamination(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR); CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    want = sorted(con.sql(f"SELECT {', '.join(names)} FROM ({decontaminate.OP2_SQL})").fetchall())
+    assert sorted(tuple(r[c] for c in names) for r in got) == want
+    assert [r[2:4] for r in want] == [(12, 0), (24, 1), (0, 0), (12, 1)]
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(90)]
