@@ -72,23 +72,31 @@ class SortedArrays:
         n = len(self.ids)
         unit = q / np.sqrt((q * q).sum())
         at = np.append(unit, 0.0) @ self.a
-        rough = self.flat @ q.astype(np.float32)  # of the sample at first, of candidates later
+        single = q.astype(np.float32)
+        rough = np.full(n, np.nan, np.float32)  # known of the sample, and then of those over the threshold
         step = max(1, n // SAMPLE)
+        rough[::step] = self.flat[::step] @ single
         seen = np.sort(rough[::step])[::-1]
         guess = seen[min(len(seen) - 1, max(1, round(k * len(seen) / n)))]
         top = self.norm * np.sqrt((q * q).sum())
         radius = math.sqrt(max(2 - 2 * guess / top, 1e-4))
         own = self.ids == qid
+
+        def scored(found: np.ndarray) -> np.ndarray:
+            new = found[np.isnan(rough[found])]
+            rough[new] = self.flat[new] @ single
+            return rough[found]
+
         while True:
             found = np.flatnonzero((self.counts(at, radius) >= _NEED) & ~own)
             if len(found) >= k:
-                near = rough[found]
+                near = scored(found)
                 last = np.partition(near, len(near) - k)[len(near) - k]
                 if 2 - 2 * last / top <= radius * radius or radius > 2.1:
                     break
             elif radius > 2.1:
                 found = np.flatnonzero(~own)
-                near, last = rough[found], -np.inf
+                near, last = scored(found), -np.inf
                 break
             radius *= GROWTH
         found = found[near >= last - 1e-4 * top]  # what single precision may have put behind

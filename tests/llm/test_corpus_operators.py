@@ -203,6 +203,34 @@ def test_search_odd_vectors(spark):
     assert neighbours.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+class Scored(np.ndarray):
+    """Vectors that count how many of them are multiplied with a query."""
+
+    rows = 0
+
+    def __matmul__(self, q):
+        Scored.rows += len(self)
+        return np.asarray(self) @ q
+
+
+def test_search_scores_the_sample_and_candidates_only(monkeypatch):
+    monkeypatch.setattr(neighbours, "SAMPLE", 100)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 32))
+    x = centres[rng.integers(0, 40, 4000)] + 0.2 * rng.normal(size=(4000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = neighbours.SortedArrays(np.arange(4000), x)
+    index.flat = index.flat.view(Scored)
+    for q in range(0, 4000, 400):
+        Scored.rows = 0
+        ids, scores = index.search(q, x[q], 10)
+        want = x @ x[q]
+        want[q] = -np.inf
+        best = np.lexsort((np.arange(4000), -want))[:10]
+        assert len(set(ids) & set(best)) >= 9 and np.allclose(scores, want[ids])
+        assert Scored.rows < 2000
+
+
 PAGE = """<!doctype html><html><head><title>t</title><style>p{{}}</style><script>var a="</p>";</script></head><body class=x>
 <header><a href=/>Site</a></header><nav><ul><li>{nav}<li>b</ul></nav><div class="content-wrap"><div class="side-bar">{nav} links</div>
 <div id=main-text><h1>{title} &amp; &#233;</h1><p>First <b>bold{i}<br>line<p>Second&nbsp;para {i}</p><div class="ad-box ad">Buy {i}</div><ul><li>one {i}</li><li>two</ul>
