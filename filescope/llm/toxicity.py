@@ -31,6 +31,8 @@ GRAM, CONTEXT = 6, 16
 #: Parts in which grams are counted, one after the other (two bits of a hash).
 PARTS = 4
 THRESHOLDS = (2, 3, 4, 5, 6, 8)
+#: Which feature is the largest distance of a text's windows.
+BEST = len(THRESHOLDS)
 LEAST_RATIO, LEAST_LIKELIHOOD = 6, 20
 #: Two labelled rows of a class are needed at least, else all scores are the share of toxic labels.
 LEAST_ROWS = 2
@@ -127,20 +129,43 @@ def _wide(x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones((len(x), 1)), x, np.minimum(x * x, 25)], 1)
 
 
+def _probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Newton's method with step halving: the objective is strictly concave, and a step that does not raise it is cut.  Whole
+    steps overshoot where classes are nearly separable: all curvature is gone there and the next step is thousands wide."""
+
+    def gain(w: np.ndarray) -> float:
+        z = x @ w
+        return float((weight * (y * z - np.logaddexp(0, z))).sum() - ridge / 2 * w @ w)
+
     w = np.zeros(x.shape[1])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    now = gain(w)
+    for _ in range(100):
+        p = _probability(x, w)
         hess = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(hess, x.T @ (weight * (y - p)) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-6:
+        while (new := gain(w + step)) < now and np.abs(step).max() >= 1e-6:
+            step = step / 2
+        if new < now or np.abs(step).max() < 1e-6:
             break
+        w, now = w + step, new
     return w
 
 
+def separates(p: np.ndarray, y: np.ndarray) -> bool:
+    """Whether scores tell the classes apart: both sides of 0.5 are used, and toxic rows score higher on average."""
+    return bool(np.isfinite(p).all() and (p >= 0.5).any() and (p < 0.5).any() and p[y == 1].mean() > p[y == 0].mean())
+
+
 def fit_sample(texts: Sequence[str], toxic: Sequence[int], share: float) -> dict:
-    """The model of a sample; share is that of toxic rows among all labelled rows, to which scores are calibrated."""
+    """The model of a sample; share is that of toxic rows among all labelled rows, to which scores are calibrated.
+
+    A curve over all features that does not separate the rows that calibrated it gives way to one over the largest distance;
+    where that distance is no larger in toxic rows, every score is the share.
+    """
     bad, good = [t for t, y in zip(texts, toxic, strict=True) if y], [t for t, y in zip(texts, toxic, strict=True) if not y]
     if min(len(bad), len(good)) < LEAST_ROWS:
         return {"share": share if bad and good else float(bool(bad))}
@@ -151,8 +176,15 @@ def fit_sample(texts: Sequence[str], toxic: Sequence[int], share: float) -> dict
     x = np.array([d.features(t) for t in [*bad[nb:], *good[ng:]]])
     y = np.array([1.0] * (len(bad) - nb) + [0.0] * (len(good) - ng))
     weight = np.where(y == 1, share * len(y) / max(1, y.sum()), (1 - share) * len(y) / max(1, (1 - y).sum()))
-    mean, dev = x.mean(0), x.std(0) + 1e-6
-    w = _logistic(_wide((x - mean) / dev), y, weight)
+    mean, dev = x.mean(0), np.where(x.std(0) > 1e-6, x.std(0), 1)
+    wide = _wide((x - mean) / dev)
+    w = _logistic(wide, y, weight)
+    if not separates(_probability(wide, w), y):  # the distance alone, and if that tells nothing either, the share
+        only = np.isin(np.arange(wide.shape[1]), (0, 1 + BEST))
+        w = np.zeros(wide.shape[1])
+        w[only] = _logistic(wide[:, only], y, weight)
+        if not (np.isfinite(w).all() and w[1 + BEST] > 0):
+            return {"share": share}
     return {"ordinary": ordinary.hex(), "toxic": marked.hex(), "mean": mean.tolist(), "dev": dev.tolist(), "w": w.tolist()}
 
 
@@ -165,7 +197,7 @@ class Scorer:
         if self.distance is None or not len(texts):
             return np.full(len(texts), self.model.get("share", 0.0))
         x = (np.array([self.distance.features(t) for t in texts]) - self.model["mean"]) / self.model["dev"]
-        return 1 / (1 + np.exp(-np.clip(_wide(x) @ np.array(self.model["w"]), -30, 30)))
+        return _probability(_wide(x), np.array(self.model["w"]))
 
 
 def held_out(doc_id: Column) -> Column:
