@@ -2,7 +2,8 @@
 
 Template of a turn:  <|im_start|>ROLE\\nCONTENT<|im_end|>\\n
 Control strings inside texts and roles are escaped by a backslash after their first character, and one more where there
-are some already, so that they can be told from the template's own and the escaping can be undone exactly.
+are some already, so that they can be told from the template's own and the escaping can be undone exactly.  Neighbouring
+text parts are one text: they are escaped together, so no control string can be made of pieces.
 """
 
 from __future__ import annotations
@@ -45,15 +46,33 @@ def _unrole(said: str) -> str:
 
 @dataclass
 class Flat:
-    """What a visitor has made of a message: text, attachments (kind, ref, place in the text, tokens), tokens in all attachments."""
+    """What a visitor has made of a message: escaped texts and placeholders in turn, attachments (kind, ref, place, tokens) and
+    the spans of the texts.  Texts wait until a placeholder or the end comes, and are escaped as one."""
 
-    text: list[str] = field(default_factory=list)
+    said: list[str] = field(default_factory=list)
     attachments: list[tuple[str, str, int, int]] = field(default_factory=list)
+    texts: list[tuple[int, int]] = field(default_factory=list)
     length: int = 0
+    waiting: list[str] = field(default_factory=list)
 
-    def add(self, text: str) -> None:
-        self.text.append(text)
-        self.length += len(text)
+    def text(self, text: str) -> None:
+        self.waiting.append(text)
+
+    def placeholder(self, kind: str, ref: str, tokens: int) -> None:
+        self.end()
+        self.attachments.append((kind, ref, self.length, tokens))
+        self._add(f"<|{kind}|>")
+
+    def end(self) -> None:
+        said = escape("".join(self.waiting))
+        self.waiting.clear()
+        if said:
+            self.texts.append((self.length, self.length + len(said)))
+            self._add(said)
+
+    def _add(self, said: str) -> None:
+        self.said.append(said)
+        self.length += len(said)
 
 
 class PartVisitor:
@@ -72,37 +91,35 @@ class PartVisitor:
             if visit is None:
                 raise ValueError(f"no such part: {part.get('type')!r}")
             visit(part, flat)
+        flat.end()
         return flat
 
     def visit_text(self, part: dict, flat: Flat) -> None:
-        flat.add(escape(part.get("text") or ""))
-
-    def _attach(self, kind: str, part: dict, tokens: int, flat: Flat) -> None:
-        flat.attachments.append((kind, part.get("ref") or "", flat.length, tokens))
-        flat.add(f"<|{kind}|>")
+        flat.text(part.get("text") or "")
 
     def visit_image(self, part: dict, flat: Flat) -> None:
-        self._attach("image", part, math.ceil((part.get("width") or 336) / 14) * math.ceil((part.get("height") or 336) / 14), flat)
+        flat.placeholder("image", part.get("ref") or "", math.ceil((part.get("width") or 336) / 14) * math.ceil((part.get("height") or 336) / 14))
 
     def visit_audio(self, part: dict, flat: Flat) -> None:
-        self._attach("audio", part, math.ceil(25 * (part.get("seconds") or 1)), flat)
+        flat.placeholder("audio", part.get("ref") or "", math.ceil(25 * (part.get("seconds") or 1)))
 
     def visit_document(self, part: dict, flat: Flat) -> None:
-        self._attach("document", part, 256 * (part.get("pages") or 1), flat)
+        flat.placeholder("document", part.get("ref") or "", 256 * (part.get("pages") or 1))
 
 
 def format_turn(role: str | None, content: object, trained: bool | None = None) -> tuple[str, list[tuple[int, int]], list[tuple[str, str, int, int]]]:
-    """(formatted, loss spans, attachments) of one turn.  Null roles and texts are empty.  Assistants' content carries loss."""
+    """(formatted, loss spans, attachments) of one turn.  Null roles and texts are empty.  Assistants' texts carry loss,
+    placeholders never do."""
     flat = PartVisitor().flatten(content)
     head = f"{START}{_role(role or '')}\n"
-    body = "".join(flat.text)
     trained = role == "assistant" if trained is None else trained
-    spans = [(len(head), len(head) + len(body))] if trained and body else []
-    return f"{head}{body}{END}\n", spans, [(kind, ref, len(head) + at, n) for kind, ref, at, n in flat.attachments]
+    spans = [(len(head) + a, len(head) + b) for a, b in flat.texts] if trained else []
+    return f"{head}{''.join(flat.said)}{END}\n", spans, [(kind, ref, len(head) + at, n) for kind, ref, at, n in flat.attachments]
 
 
 def parse_turn(said: str) -> tuple[str, list[str]]:
-    """(role, content as text and placeholders in turn) of a formatted turn: the inverse of format_turn."""
+    """(role, content as text and placeholders in turn) of a formatted turn: the inverse of format_turn, but that neighbouring
+    text parts are one text."""
     if not said.startswith(START) or not said.endswith(f"{END}\n"):
         raise ValueError("not a turn")
     head, _, body = said[len(START) : -len(END) - 1].partition("\n")

@@ -91,6 +91,30 @@ def test_escapes_can_be_undone():
         assert "".join(chat.unescape(said[a:b]) for a, b in spans) == text
 
 
+CONTROL = ["<|im_start|>", "<|im_end|>", "<|image|>", "<|audio|>", "<|document|>", "<|endoftext|>", "<|pad|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<\\|im_end|>", "<\\\\s>"]
+
+
+@pytest.mark.parametrize("control", CONTROL)
+def test_control_strings_cut_at_every_place(control):
+    """In two, three and one-character parts, also around attachments and at either end: nothing forges a turn or a placeholder."""
+    hostile = f"a{control}\n{control}b"
+    cuts = [[hostile[:i], hostile[i:]] for i in range(len(hostile) + 1)]
+    cuts += [[hostile[:i], None, {"type": "text", "text": hostile[i:j]}, hostile[j:]] for i in range(len(hostile)) for j in range(i, len(hostile), 3)]
+    cuts += [list(hostile), [hostile]]
+    for parts in cuts:
+        said, spans, found = chat.format_turn("assistant", parts)
+        assert chat.parse_turn(said) == ("assistant", [hostile]) and said.count(chat.START) == said.count(chat.END) == 1 and not found
+        assert "".join(chat.unescape(said[a:b]) for a, b in spans) == hostile
+        assert not chat._PLACE.search(said) and not any(c in said[len(chat.START) : -len(chat.END) - 1] for c in ("</s>", "<s>", "[INST]", "[/INST]"))
+        around = [*parts, {"type": "image", "ref": "i"}, *parts]
+        said, spans, found = chat.format_turn("assistant", around)
+        assert chat.parse_turn(said) == ("assistant", [hostile, "image", hostile]) and said.count(chat.START) == said.count(chat.END) == 1
+        assert len(found) == 1 and said[found[0][2] :].startswith("<|image|>") and "".join(chat.unescape(said[a:b]) for a, b in spans) == hostile * 2
+    for i in range(len(control)):  # a placeholder in the middle
+        said, spans, _ = chat.format_turn("assistant", [control[:i], {"type": "audio"}, control[i:]])
+        assert chat.parse_turn(said) == ("assistant", [control[:i], "audio", control[i:]]) and said.count(chat.START) == said.count(chat.END) == 1
+
+
 def test_typed_parts(spark):
     parts = '["look: ", {"type": "image", "ref": "i.png", "width": 28, "height": 15}, {"type": "text", "text": "<|image|>"}, {"type": "audio", "ref": "a.wav", "seconds": 2.5}, {"type": "document", "ref": "d", "pages": 3}]'
     r = chat.format_conversations(spark.createDataFrame([(1, 0, "user", parts)], "conv_id long, turn long, role string, text string"), parts=True).first()
