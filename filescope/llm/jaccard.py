@@ -2,10 +2,12 @@
 
 1. Each text becomes the set of its five-word shingles and a MinHash signature; equal sets are one class from here on.
 2. Signatures are cut in bands whose number and rows follow from the recall wanted at the threshold; a shuffle on band
-   hashes brings together what may be similar.  Large buckets are dealt in blocks, a task sees two blocks at most.
+   hashes brings together what may be similar.  Buckets beyond a block's sets or n-grams are dealt in several blocks.
 3. A pair belongs to the first band that its texts share.  Texts with a pair to verify go to the block's task, which
-   compares the full sets, adds up links and reports a spanning forest: pairs are never written out.
-4. Components of the forests are the classes.
+   compares the full sets, adds up links and reports each set with the least set that it is connected to: pairs are never
+   written out.
+4. Blocks are compared with themselves first.  Pairs of blocks, where there are any, then report which of the components
+   found so far they join, so what is written grows with sets and with pairs of blocks, not with pairs of sets.
 """
 
 from __future__ import annotations
@@ -26,9 +28,12 @@ from filescope.llm.streams import groups
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Rows of a band: a false candidate of similarity s passes one with probability s ** ROWS.
 ROWS = 4
-#: Texts in a block; a task compares two blocks.
-BLOCK = 256
-BROADCAST_ROWS = 500_000
+#: Sets in a block and n-grams of all its sets, on average, whichever is reached first; a task holds two blocks at most.
+BLOCK, BLOCK_GRAMS = 2_048, 1 << 19
+#: Rows of a block that are compared at once with all others, and n-grams in a slice of their incidence matrix.
+SLAB, SLICE = 256, 2_048
+#: Rows of two numbers that may be broadcast.
+BROADCAST_ROWS = 100_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -108,7 +113,8 @@ class MinHash:
 
 
 def signatures(docs: DataFrame, key: str, hasher: MinHash) -> DataFrame:
-    """(key, digest, bands): digest tells equal sets, null where a text has no words; bands is the packed signature."""
+    """(key, digest, bands, grams): digest tells equal sets, null where a text has no words; bands is the packed signature and
+    grams the size of the set."""
     batched(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
@@ -119,10 +125,11 @@ def signatures(docs: DataFrame, key: str, hasher: MinHash) -> DataFrame:
                 "key": b["key"].array,
                 "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                 "bands": [hasher.signature(s).tobytes() if len(s) else None for s in sets],
+                "grams": [len(s) for s in sets],
             })
 
     picked = docs.select(F.col(key).alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return picked.mapInPandas(worker(run), f"key {kind}, digest binary, bands binary")
+    return picked.mapInPandas(worker(run), f"key {kind}, digest binary, bands binary, grams int")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -131,43 +138,57 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 def _first_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """For each pair of rows of signatures the first band that they share, or the number of bands."""
-    out = np.full((len(x), len(y)), x.shape[1], np.int16)
+    out = np.full((len(x), len(y)), x.shape[1], np.uint8)
     for k in range(x.shape[1] - 1, -1, -1):
         out[x[:, k][:, None] == y[:, k][None, :]] = k
     return out
 
 
-def _wanted(g: dict[str, np.ndarray]) -> np.ndarray:
-    """Which pairs of a block task's rows are its own: of this band, each once, and across the two blocks of a mixed task."""
-    sig = np.frombuffer(b"".join(g["bands"]), np.uint64).reshape(len(g["rep"]), -1)
-    own = _first_shared(sig, sig) == g["band"][0]
-    own &= g["rep"][:, None] < g["rep"][None, :] if g["lo"][0] == g["hi"][0] else (g["block"][:, None] == g["lo"][0]) & (g["block"][None, :] == g["hi"][0])
-    return own
-
-
-def _common(sets: list[np.ndarray], own: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of all pairs wanted."""
-    n = len(sets)
-    out = np.zeros((n, n), np.int64)
-    if own.sum() <= 4 * n:
-        for i, j in zip(*np.nonzero(own), strict=True):
-            out[i, j] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+def _wanted(g: dict[str, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Which pairs of a block task's rows are its own: of this band, each once, and across the two blocks of a mixed task.
+    A slab of rows at a time, against all."""
+    sig = np.frombuffer(b"".join(g["bands"]), np.uint64).reshape(len(g["set"]), -1)
+    for at in range(0, len(sig), SLAB):
+        slab = slice(at, at + SLAB)
+        own = _first_shared(sig[slab], sig) == g["band"][0]
+        own &= g["set"][slab, None] < g["set"][None, :] if g["lo"][0] == g["hi"][0] else (g["block"][slab, None] == g["lo"][0]) & (g["block"][None, :] == g["hi"][0])
+        yield at, own
+
+
+class Incidence:
+    """Sets of a task by the n-grams that at least two of them hold: no others are in an intersection."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets = sets
+        grams, col, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = n > 1
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        self.width = int(shared.sum())
+        at = shared[col]
+        row, col = row[at], (np.cumsum(shared) - 1)[col[at]]
+        order = np.argsort(col, kind="stable")
+        self.row, self.col = row[order], col[order]
+
+    def common(self, at: int, own: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of a slab of sets, from the one at `at`, with all: of the pairs wanted at least."""
+        if own.sum() <= 4 * len(own):
+            out = np.zeros(own.shape, np.float32)
+            for i, j in zip(*np.nonzero(own), strict=True):
+                out[i, j] = len(np.intersect1d(self.sets[at + i], self.sets[j], assume_unique=True))
+            return out
+        out = np.zeros(own.shape, np.float32)
+        for first in range(0, self.width, SLICE):
+            x, y = np.searchsorted(self.col, [first, first + SLICE])
+            m = np.zeros((len(self.sets), min(SLICE, self.width - first)), np.float32)
+            m[self.row[x:y], self.col[x:y] - first] = 1
+            out += m[at : at + len(own)] @ m.T  # whole numbers, exact in single precision
         return out
-    grams, col = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    for at in range(0, len(grams), 8192):  # a slice of the incidence matrix at a time
-        x, y = np.searchsorted(col, [at, at + 8192])
-        m = np.zeros((n, min(8192, len(grams) - at)), np.float32)
-        m[row[x:y], col[x:y] - at] = 1
-        out += (m @ m.T).astype(np.int64)
-    return out
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest."""
-    up = list(range(n))
+def _joined(label: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """(label, least label) for labels that pairs of rows connect with a lesser one."""
+    names, at = np.unique(label, return_inverse=True)
+    up = list(range(len(names)))
 
     def top(x: int) -> int:
         while up[x] != x:
@@ -175,13 +196,11 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
             x = up[x]
         return x
 
-    out = []
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        x, y = top(a), top(b)
-        if x != y:
+    for i, j in pairs:
+        for a, b in np.unique(np.stack([at[i], at[j]], 1), axis=0).tolist():
+            x, y = top(a), top(b)
             up[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
+    return [(int(names[x]), int(names[top(x)])) for x in range(len(names)) if up[x] != x]
 
 
 def _id(c: str | Column) -> Column:
@@ -201,30 +220,58 @@ def join(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, rec
     signed = stored(signatures(docs, "key", hasher), "signatures")
     known = signed.filter("digest is not null")
     # one row for each different set; `key` and digest give its text back
-    sets = stored(known.groupBy("digest").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "sets")
+    sets = stored(known.groupBy("digest").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("grams").alias("grams")), "sets")
     # different texts of equal key may hold different sets: a set's number is its digest's
     sets = sets.withColumn("set", F.xxhash64("digest"))
 
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(hasher.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("bands"), i * 8 + 1, F.lit(8)))))
-    thin = sets.select("set", band.alias("band", "h"))
-    full = thin.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    thin = sets.select("set", "grams", band.alias("band", "h"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("grams") / BLOCK_GRAMS)).cast("int")
+    full = thin.groupBy("h").agg(F.count(F.lit(1)).alias("n"), blocks.alias("blocks")).filter("n > 1").drop("n")
     # signatures go only with what shares a band
-    rows = thin.join(full, "h").join(sets.select("set", "bands", "copies", "rep"), "set")
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("set", "h"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
-    dealt = rows.select("h", "band", "set", "bands", "copies", "rep", "block", other.alias("other"))
-    dealt = dealt.select("h", "band", "set", "bands", "copies", "rep", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    task = ["h", "lo", "hi"]
+    rows = thin.drop("grams").join(full, "h").join(sets.select("set", "bands", "copies", "key"), "set")
+    rows = stored(rows.withColumn("block", F.pmod(F.xxhash64("set", "h"), F.col("blocks")).cast("int")), "rows")
+
+    alone = rows.withColumn("lo", F.col("block")).withColumn("hi", F.col("block")).withColumn("label", F.col("set"))
+    links, joined = _verified(docs, alone, threshold)
+    labels = components(joined)
+    if not rows.filter("blocks > 1").isEmpty():
+        split = rows.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other <> block")
+        split = split.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other")
+        split = split.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
+        more, joined = _verified(docs, split, threshold)
+        links = links.unionByName(more)
+        further = components(joined).select(F.col("node").alias("label"), F.col("label").alias("least"))
+        every = labels.unionByName(further.select(F.col("label").alias("node"), "label").join(labels.select("node"), "node", "left_anti"))
+        labels = every.join(further, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+    links = links.groupBy("set").agg(F.sum("links").alias("links"))
+    classes = sets.select("set", "digest", "copies", "key").join(labels.withColumnRenamed("node", "set"), "set", "left").join(links, "set", "left").withColumn("label", F.coalesce("label", "set"))
+    least = classes.groupBy("label").agg(F.min("key").alias("class"))
+    per_set = stored(classes.join(least, "label").select("digest", "class", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "classes")
+    every = signed.select("key", "digest").join(per_set, "digest", "left")
+    no_id = F.lit(-(2**63))
+    return every.select(F.nullif("key", no_id).alias(key), F.nullif(F.coalesce("class", "key"), no_id).alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+
+
+TASK = ["h", "lo", "hi"]
+CARRIED = {"h": "long", "lo": "int", "hi": "int", "band": "int", "block": "int", "set": "long", "bands": "binary", "copies": "long", "key": "long", "label": "long"}
+
+
+def _verified(docs: DataFrame, rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Compares rows (h, lo, hi: the task; band, block, set, bands, copies, key, label) on the full sets of docs (key, text).
+
+    Gives (set, links): rows that a task links to a set, and (a, b): labels and the least label that a task connects them to.
+    """
 
     def pending(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[dict] = []
-        for g in groups(batches, task):
-            g["rep"], key_of = g["set"], g["rep"]
-            own = _wanted(g)
-            need = own.any(0) | own.any(1)
+        for g in groups(batches, TASK):
+            need = np.zeros(len(g["set"]), bool)
+            for at, own in _wanted(g):
+                need |= own.any(0)
+                need[at : at + len(own)] |= own.any(1)
             if need.any():
-                g["key"] = key_of
-                held.append({c: v[need] for c, v in g.items()})
+                held.append({c: g[c][need] for c in CARRIED})
             if len(held) >= 256:
                 yield _table(held)
                 held = []
@@ -232,11 +279,10 @@ def join(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, rec
             yield _table(held)
 
     def _table(held: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame({c: np.concatenate([g[o] for g in held]) for c, o in {"h": "h", "lo": "lo", "hi": "hi", "band": "band", "block": "block", "set": "set", "bands": "bands", "copies": "copies", "key": "key"}.items()})
+        return pd.DataFrame({c: np.concatenate([g[c] for g in held]) for c in CARRIED})
 
-    cols = "h long, lo int, hi int, band int, block int, set long, bands binary, copies long, key long"
-    ordered = dealt.repartition(*task).sortWithinPartitions(*task)
-    tasks = stored(ordered.mapInPandas(worker(pending), cols), "tasks")
+    met = rows.select(*CARRIED).repartition(*TASK).sortWithinPartitions(*TASK)
+    tasks = stored(met.mapInPandas(worker(pending), ", ".join(f"{c} {t}" for c, t in CARRIED.items())), "tasks")
     asked = tasks.select("key").distinct()
     texts = docs.filter(F.col("text").isNotNull()).join(_small(asked, asked.count()), "key", "left_semi")
 
@@ -246,40 +292,32 @@ def join(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, rec
             yield b.assign(digest=[hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found])
 
     texts = texts.mapInPandas(worker(numbered), "key long, text string, digest binary").select(F.xxhash64("digest").alias("set"), "key", "text").dropDuplicates(["set", "key"])
-    count = tasks.count()
-    given = texts.join(_small(tasks, count) if count <= BROADCAST_ROWS // 4 else tasks, ["set", "key"])
+    given = texts.join(tasks, ["set", "key"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
-        for g in groups(batches, task):
-            g["rep"] = g["set"]
-            own = _wanted(g)
-            found = shingles(g["text"].tolist())
-            size = np.array([len(s) for s in found])
-            both = _common(found, own)
-            linked = own & (both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9)
-            i, j = np.nonzero(linked)
-            if len(i):
-                weight = np.zeros(len(size), np.int64)
-                np.add.at(weight, i, g["copies"][j])
-                np.add.at(weight, j, g["copies"][i])
-                out += [(int(s), 0, int(w)) for s, w in zip(g["set"], weight, strict=True) if w]
-                out += [(int(g["set"][a]), int(g["set"][b]), -1) for a, b in _forest(len(size), i, j)]
+        for g in groups(batches, TASK):
+            sets = Incidence(shingles(g["text"].tolist()))
+            size = np.array([len(s) for s in sets.sets])
+            weight = np.zeros(len(size), np.int64)
+            pairs = []
+            for at, own in _wanted(g):
+                both = sets.common(at, own)
+                i, j = np.nonzero(own & (both >= threshold * (size[at : at + len(own), None] + size[None, :] - both) - 1e-9))
+                if len(i):
+                    np.add.at(weight, i + at, g["copies"][j])
+                    np.add.at(weight, j, g["copies"][i + at])
+                    pairs.append((i + at, j))
+            out += [(int(s), 0, int(w)) for s, w in zip(g["set"], weight, strict=True) if w]
+            out += [(a, b, -1) for a, b in _joined(g["label"], pairs)]  # -1 tells these from links
             if len(out) >= 20_000:
                 yield pd.DataFrame(out, columns=["a", "b", "links"])
                 out = []
-        yield pd.DataFrame(out, columns=["a", "b", "links"]).astype("int64")  # links is -1 for an edge of the forest
-
-    dealt_out = given.repartition(*task).sortWithinPartitions(*task)
-    found = stored(dealt_out.mapInPandas(worker(verify), "a long, b long, links long"), "links")
-    links = found.filter("links >= 0").groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("links"))
-    labels = components(found.filter("links < 0").select("a", "b")).withColumnRenamed("node", "set")
-    classes = sets.select("set", "digest", "copies", "rep").join(labels, "set", "left").join(links, "set", "left").withColumn("label", F.coalesce("label", "set"))
-    least = classes.groupBy("label").agg(F.min("rep").alias("class"))
-    per_set = stored(classes.join(least, "label").select("digest", "class", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "classes")
-    every = signed.select("key", "digest").join(per_set, "digest", "left")
-    no_id = F.lit(-(2**63))
-    return every.select(F.nullif("key", no_id).alias(key), F.nullif(F.coalesce("class", "key"), no_id).alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+        yield pd.DataFrame(out, columns=["a", "b", "links"]).astype("int64")
+
+    dealt = given.select(*CARRIED, "text").repartition(*TASK).sortWithinPartitions(*TASK)
+    found = stored(dealt.mapInPandas(worker(verify), "a long, b long, links long"), "links")
+    return found.filter("links >= 0").select(F.col("a").alias("set"), "links"), found.filter("links < 0").select("a", "b").distinct()
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,6 +119,39 @@ def test_jaccard_classes(spark, monkeypatch):
     assert 1 - (1 - 0.8**jaccard.ROWS) ** jaccard.bands_for() >= jaccard.RECALL
 
 
+def test_jaccard_large_group(spark, monkeypatch):
+    """3,000 near copies of one text in six blocks and as one: every link counts, and edges do not grow with pairs of texts."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(3000):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    names = {g: i for i, g in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(rows), len(names)), np.float32)
+    for i, g in enumerate(sets):
+        m[i, [names[x] for x in g]] = 1
+    both = m @ m.T
+    size = m.sum(1)
+    linked = 5 * both >= 4 * (size[:, None] + size[None, :] - both)
+    want = dict(enumerate((linked.sum(1) - 1).tolist()))
+    seen = []
+    plain = jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda edges: seen.append(edges.count()) or plain(edges))
+    for block in (500, 2048):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        seen.clear()
+        got = jaccard.join(docs(spark, rows)).collect()
+        found = {r["doc_id"]: r["n_links"] for r in got}
+        assert {r["class_id"] for r in got} == {0} and all(found[i] <= n for i, n in want.items())
+        assert sum(found.values()) >= jaccard.RECALL * sum(want.values())  # of 3.7 million pairs banding may miss a few at just 0.8
+        assert len(seen) == (2 if block == 500 else 1) and sum(seen) < 20 * len(rows), seen
+        assert block != 500 or seen[1] < 18 * 6 * 5, seen
+
+
 def plain_removed(texts):
     """Bytes covered by 100-byte strings that start earlier, by document in order."""
     seen, out = set(), []
