@@ -3,8 +3,13 @@
 Each block of vectors has m arrays, each sorted by one random projection.  A query opens a window around its own place in
 each array; a vector that lies in enough of the windows is a candidate and is verified by its exact inner product.  The
 windows belong to a radius: with half width TAU x radius a vector within the radius is in a window with probability P, so
-it fails the threshold m P - Z sqrt(m P (1 - P)) rarely.  A query whose k-th verified neighbour is within the radius is
-done; for the others the radius grows by GROWTH, which widens the same windows (virtual rehashing).
+it fails the threshold m P - Z sqrt(m P (1 - P)) rarely.
+
+1. A bounded sample of all vectors tells each query within which radius its k nearest should lie.
+2. All blocks look within that radius.  A query that has k verified neighbours within it, over all blocks, is done.
+3. For the others each block widens the same windows by GROWTH (virtual rehashing), and counts only the entries that the
+   windows gain, until its own k-th verified neighbour is within the radius.
+
 Inner products become distances by one more coordinate that gives all vectors the norm of the block's longest.
 """
 
@@ -12,20 +17,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filescope.llm.common import batched, table, worker
-from filescope.llm.streams import groups
+from filescope.llm.common import batched, stored, table, worker
 
-PROJECTIONS, TAU, Z, GROWTH = 128, 0.8, 1.7, 1.08
-#: Vectors of a block (at most 65,535: places are 16 bits) and queries that a task takes to it, on average.
-BLOCK, QUERIES = 50_000, 512
-#: Vectors of a block that a query is compared with to choose its first radius.
+PROJECTIONS, TAU, Z, GROWTH = 64, 2.0, 1.7, 1.05
+#: Numbers in the vectors of a block, and the vectors that it has at least: what bounds a task's arrays.
+NUMBERS, LEAST_BLOCK = 1 << 20, 1_024
+#: Vectors of the table (those whose keys hash lowest) from which first radii are guessed; they go to every task.
 SAMPLE = 2_048
+#: A radius at which every vector is a candidate, and the least one.
+WHOLE, LEAST_RADIUS = 2.1, 0.01
 _P = math.erf(TAU / math.sqrt(2))
 _NEED = math.floor(PROJECTIONS * _P - Z * math.sqrt(PROJECTIONS * _P * (1 - _P)))
 
@@ -37,8 +44,17 @@ def _projections(dim: int, m: int = PROJECTIONS, seed: int = 7) -> np.ndarray:
     return np.concatenate(parts, 1)[:, :m]
 
 
+def guessed(q: np.ndarray, sample: np.ndarray, k: int, n: int) -> np.ndarray:
+    """For each query the inner product that its k-th nearest of n vectors should reach, from a sample of them: what a normal
+    tail promises, but between the sample's best and its own rank for four times as many neighbours."""
+    said = np.sort(q @ sample.T, 1)[:, ::-1]
+    tail = said.mean(1) + said.std(1) * NormalDist().inv_cdf(1 - min(0.5, (k + 3) / max(n, 1)))
+    rank = min(said.shape[1] - 1, math.ceil(4 * (k + 1) * said.shape[1] / max(n, 1)) - 1)
+    return np.maximum(said[:, rank], np.minimum(tail, said[:, 0]))
+
+
 class SortedArrays:
-    """A block of vectors, sorted by each projection, and their places in each array."""
+    """A block of vectors, sorted by each projection."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")  # ties go to smaller ids
@@ -49,62 +65,65 @@ class SortedArrays:
         more = np.sqrt(np.maximum(self.norm**2 - norm**2, 0))
         self.a = _projections(x.shape[1] + 1)
         p = (np.column_stack([self.x, more]) / self.norm) @ self.a
-        by = np.argsort(p, axis=0, kind="stable")
-        self.values = np.ascontiguousarray(np.take_along_axis(p, by, 0).T)
-        place = np.empty(p.T.shape, np.uint16)
-        np.put_along_axis(place, np.ascontiguousarray(by.T), np.arange(len(p), dtype=np.uint16)[None, :], 1)
-        self.place = place
-
-    def counts(self, at: np.ndarray, radius: float) -> np.ndarray:
-        """In how many windows of the radius around a query's projections each vector lies."""
-        out, d, hit = np.zeros(len(self.ids), np.uint8), np.empty(len(self.ids), np.uint16), np.empty(len(self.ids), bool)
-        as_int = hit.view(np.uint8)
-        for k in range(len(self.values)):
-            lo, hi = np.searchsorted(self.values[k], (at[k] - TAU * radius, at[k] + TAU * radius))
-            if hi > lo:
-                np.subtract(self.place[k], np.uint16(lo), out=d)  # below lo it wraps around and is large
-                np.less_equal(d, np.uint16(hi - lo - 1), out=hit)
-                np.add(out, as_int, out=out)
-        return out
-
-    def search(self, qid: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best found, best first, ties to smaller ids, without the query itself."""
+        self.by = np.ascontiguousarray(np.argsort(p, axis=0, kind="stable").T)
+        self.values = np.take_along_axis(p.T, self.by, 1)
+
+    def _ends(self, at: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each query's window begins and ends in each array: (query, array)."""
+        lo, hi = np.empty(at.shape, np.int64), np.empty(at.shape, np.int64)
+        for j, values in enumerate(self.values):
+            lo[:, j] = np.searchsorted(values, at[:, j] - TAU * radius)
+            hi[:, j] = np.searchsorted(values, at[:, j] + TAU * radius, side="right")
+        return lo, hi
+
+    def _counted(self, spans: list[tuple[np.ndarray, int, int]]) -> np.ndarray:
+        """How often each vector stands in the spans of arrays."""
+        parts = [by[x:y] for by, x, y in spans if y > x]
+        return np.bincount(np.concatenate(parts), minlength=len(self.ids)) if parts else np.zeros(len(self.ids), np.int64)
+
+    def opened(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """In how many of a query's windows each vector lies.  Only the smaller part is counted, inside windows or outside."""
         n = len(self.ids)
-        unit = q / np.sqrt((q * q).sum())
-        at = np.append(unit, 0.0) @ self.a
-        single = q.astype(np.float32)
-        rough = np.full(n, np.nan, np.float32)  # known of the sample, and then of those over the threshold
-        step = max(1, n // SAMPLE)
-        rough[::step] = self.flat[::step] @ single
-        seen = np.sort(rough[::step])[::-1]
-        guess = seen[min(len(seen) - 1, max(1, round(k * len(seen) / n)))]
-        top = self.norm * np.sqrt((q * q).sum())
-        radius = math.sqrt(max(2 - 2 * guess / top, 1e-4))
-        own = self.ids == qid
-
-        def scored(found: np.ndarray) -> np.ndarray:
-            new = found[np.isnan(rough[found])]
-            rough[new] = self.flat[new] @ single
-            return rough[found]
-
-        while True:
-            found = np.flatnonzero((self.counts(at, radius) >= _NEED) & ~own)
-            if len(found) >= k:
-                near = scored(found)
-                last = np.partition(near, len(near) - k)[len(near) - k]
-                if 2 - 2 * last / top <= radius * radius or radius > 2.1:
+        if 2 * int((hi - lo).sum()) <= n * len(self.by):
+            return self._counted([(by, x, y) for by, x, y in zip(self.by, lo.tolist(), hi.tolist(), strict=True)])
+        return len(self.by) - self._counted([part for by, x, y in zip(self.by, lo.tolist(), hi.tolist(), strict=True) for part in ((by, 0, x), (by, y, n))])
+
+    def widened(self, counts: np.ndarray, lo: np.ndarray, hi: np.ndarray, lo2: np.ndarray, hi2: np.ndarray) -> None:
+        """Adds what windows gain between their old ends and their new ones."""
+        counts += self._counted([part for by, a, b, c, d in zip(self.by, lo2.tolist(), lo.tolist(), hi.tolist(), hi2.tolist(), strict=True) for part in ((by, a, b), (by, c, d))])
+
+    def search(self, qids: np.ndarray, qs: np.ndarray, reach: np.ndarray, k: int, grow: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each query (id, ids, scores, whether they reach), the k best found, best first, ties to smaller ids, without rows of
+        its own id.  reach is the inner product that the first radius stands for; without grow that radius is the last."""
+        length = np.sqrt((qs * qs).sum(1))
+        top = self.norm * length
+        radius = np.sqrt(np.maximum(2 - 2 * reach / top, LEAST_RADIUS**2))
+        at = np.column_stack([qs / length[:, None], np.zeros(len(qs))]) @ self.a
+        lo, hi = self._ends(at, radius)
+        for i, q in enumerate(qs):
+            own = self.ids == qids[i]
+            counts = self.opened(lo[i], hi[i])
+            r, x, y = radius[i], lo[i], hi[i]
+            single = q.astype(np.float32)
+            known = np.full(len(own), np.nan, np.float32)
+            while True:
+                found = np.flatnonzero(((counts >= _NEED) | (r > WHOLE)) & ~own)
+                new = found[np.isnan(known[found])]
+                known[new] = self.flat[new] @ single
+                near = known[found]
+                last = np.partition(near, len(near) - k)[len(near) - k] if len(near) >= k else -np.inf
+                if not grow or r > WHOLE or 2 - 2 * last / top[i] <= r * r:
                     break
-            elif radius > 2.1:
-                found = np.flatnonzero(~own)
-                near, last = scored(found), -np.inf
-                break
-            radius *= GROWTH
-        found = found[near >= last - 1e-4 * top]  # what single precision may have put behind
-        score = np.zeros(len(found))
-        for d in range(self.x.shape[1]):  # one order of summation, so equal vectors have equal scores
-            score += self.x[found, d] * q[d]
-        best = np.lexsort((self.ids[found], -score))[:k]
-        return self.ids[found][best], score[best]
+                r *= GROWTH
+                x2, y2 = (e[0] for e in self._ends(at[i : i + 1], np.array([r])))
+                self.widened(counts, x, y, x2, y2)
+                x, y = x2, y2
+            found = found[near >= last - 1e-4 * top[i]]  # what single precision may have put behind
+            score = np.zeros(len(found))
+            for d in range(self.x.shape[1]):  # one order of summation, so equal vectors have equal scores
+                score += self.x[found, d] * q[d]
+            best = np.lexsort((self.ids[found], -score))[:k]
+            yield int(qids[i]), self.ids[found][best], score[best], score[best] >= reach[i] - 1e-9 * top[i]
 
 
 def usable(v: Column) -> Column:
@@ -116,37 +135,53 @@ def usable(v: Column) -> Column:
 def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, key, score): for each query the k vectors found with the largest inner product, itself left out.
 
-    Queries and candidates are dealt in blocks, and each pair of blocks is one task's; what blocks find of a query is merged
-    by score.  Unusable vectors and those of another than the commonest dimension take no part; fewer vectors than k give
-    fewer rows; null keys take no part; of repeated keys each row is a candidate of its own, but none of its own key.
+    Vectors are dealt in blocks, once; each query visits all blocks and what they find of it is merged by score.  Unusable
+    vectors and those of another than the commonest dimension take no part; fewer vectors than k give fewer rows; null keys
+    take no part; of repeated keys each row is a candidate of its own, but none of its own key;
+    of a repeated query key the least vector asks.
     """
     spark = vectors.sparkSession
     batched(spark)
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("asks")).filter(F.col("id").isNotNull() & usable(F.col("v")))
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    n, asking, dim = (sizes[0]["n"], sizes[0]["q"], sizes[0]["dim"]) if sizes else (0, 0, 1)
-    blocks, parties = max(1, -(-n // BLOCK)), max(1, -(-asking // QUERIES))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter(F.col("id").isNotNull() & usable(F.col("v")))
+    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    n, dim = (sizes[0]["n"], sizes[0]["dim"]) if sizes else (0, 1)
     rows = rows.filter(F.size("v") == dim)
-    block = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")
-    party = F.pmod(F.xxhash64("id", F.lit("party")), F.lit(parties)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    data = rows.select("id", "v", F.lit(False).alias("asks"), block.alias("block"), every(parties).alias("party"))
-    asked = rows.filter("asks").select("id", "v", "asks", every(blocks).alias("block"), party.alias("party"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in groups(batches, ["party", "block"]):
-            asks = g["asks"].astype(bool)
-            x = np.stack(g["v"]).astype(np.float64)
-            if asks.all() or not asks.any():
-                continue
-            for part in np.array_split(np.flatnonzero(~asks), -(-int((~asks).sum()) // 65_000)):
-                index = SortedArrays(g["id"][part], x[part])
-                for i in np.flatnonzero(asks):
-                    ids, scores = index.search(int(g["id"][i]), x[i], k)
-                    yield pd.DataFrame({"query_id": int(g["id"][i]), "id": ids, "score": scores})
-
-    met = data.unionByName(asked).repartition("party", "block").sortWithinPartitions("party", "block")
-    found = met.mapInPandas(worker(run), "query_id long, id long, score double")
+    order = F.xxhash64("id", F.lit("sample"))
+    sample = np.array([r["v"] for r in rows.select("id", "v").orderBy(order, "id").limit(SAMPLE).collect()], np.float64).reshape(-1, dim)  # at most SAMPLE rows
+    blocks = max(1, -(-n // max(LEAST_BLOCK, NUMBERS // dim)))
+    data = rows.select(F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "id", "v")
+    asking = rows.filter("asks").groupBy("id").agg(F.min("v").alias("v"))
+
+    def looked(queries: DataFrame, grow: bool) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            block, held, index = None, [], None
+            for b in batches:
+                out = []
+                for _, g in b.groupby("block", sort=True):
+                    if block != g["block"].iloc[0]:
+                        block, held, index = g["block"].iloc[0], [], None
+                    mine, asked = g[~g["asks"]], g[g["asks"]]
+                    if len(mine):
+                        held.append((mine["id"].to_numpy(), np.stack(mine["v"].to_numpy())))
+                    if len(asked) and held:
+                        index = index or SortedArrays(np.concatenate([i for i, _ in held]), np.concatenate([x for _, x in held]))
+                        held = held[:1]
+                        q = np.stack(asked["v"].to_numpy())
+                        for qid, ids, scores, near in index.search(asked["id"].to_numpy(), q, guessed(q, sample, k, n), k, grow):
+                            out.append(pd.DataFrame({"query_id": qid, "id": ids, "score": scores, "near": near}))
+                if out:
+                    yield pd.concat(out)
+
+        asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "id", "v")
+        met = data.unionByName(asked).repartition("block").sortWithinPartitions("block", "asks")  # a block's vectors come before its queries
+        return met.mapInPandas(worker(run), "query_id long, id long, score double, near boolean")
+
+    first = stored(looked(asking, grow=False), "neighbours")
+    done = first.filter("near").groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select("query_id")
+    left = stored(asking.join(done.withColumnRenamed("query_id", "id"), "id", "left_anti"), "queries")
+    found = first.join(done, "query_id", "left_semi")
+    if not left.isEmpty():
+        found = found.unionByName(looked(left, grow=True))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
 

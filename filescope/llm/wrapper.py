@@ -1,9 +1,13 @@
 """HTML extraction by wrapper induction over pages of the same host.
 
 Trees of a host's pages are aligned by simple tree matching and merged into one wrapper: neighbours of the same element are
-one repeated node, and each node remembers whether its text is constant or varies.  Constant nodes are template; the
-article, or else the slot that holds all text that varies, is content.  Menus, adverts and the like vary as well, so a node that says by its
-element, class, id or role that it is one of them is never content.  A page's text is read along its alignment.
+one repeated node, and each node remembers whether its text is constant or varies.  Constant nodes are template.  The slot of
+the content is the lowest node outside of which all text is template or says by its element, class, id or role that it is a
+menu, an advert or the like, for these vary as well; where several nodes vary, the one with the article is it.
+
+Inside the slot little is left out: what is template, elements that hold no text of an article (SLOT_TAGS), blocks whose whole
+class, id or role is such a name, and blocks that have one as a part of theirs only if the alignment finds them on most
+pages of the host and they consist of links.  A page's text is read along its alignment.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ import hashlib
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,24 +25,37 @@ from pyspark.sql import functions as F
 from filescope.llm.common import batched, kept, stored, table, worker
 from filescope.llm.html_dom import INLINE, RAW, Node, clean, parse
 
-#: Elements, class words and roles of what is not the article.
-NOISE_TAGS = frozenset("head nav footer aside form button select option input dialog menu svg canvas".split()) | RAW
+#: Elements, class words and roles of what is not the article.  Headers are a site's outside of the slot only.
+SLOT_TAGS = frozenset("head nav footer aside form button select option input dialog menu svg canvas".split()) | RAW
+NOISE_TAGS = SLOT_TAGS | {"header"}
 NOISE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|newsletter|subscribe|signup|login|nav\w*|menu\w*"
     r"|breadcrumbs?|side-?bar|footer|masthead|topbar|toolbar|comments?|comment-?list|replies|disqus|related|recommend\w*|share\w*|sharing|social|widgets?|popup|modal"
     r"|navigation|contentinfo|complementary|search|dialog|pagination|pager|skip-link|copyright)(?:$|[\s_-])"
 )
+#: Whole names that say what a block inside an article is.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements adsense adsbygoogle ad-box ad-slot ad-banner ad-container ad-wrapper sponsor sponsored promo promotion banner"
+    " cookie cookies cookie-banner cookie-notice cookie-consent consent gdpr notice alert newsletter newsletter-signup subscribe signup login nav navbar navigation menu"
+    " breadcrumb breadcrumbs sidebar side-bar footer site-footer site-header masthead topbar toolbar comment comments comment-list comment-section comments-section user-comments"
+    " reader-comments replies disqus disqus_thread related-posts related-articles recommended share-this share-buttons share-bar social social-links widget popup modal pagination pager"
+    " contentinfo complementary search dialog skip-link".split()
+)
 ANCHOR = re.compile(r"(?:^|\s)#\S*")
 MAIN_TAGS = frozenset(("article", "main"))
+#: Elements that are text of the content and never all of it.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote".split())
 #: Pages of different text that a constant node needs, and the share of them that must agree, before it counts as template.
 LEAST_PAGES, AGREED = 5, 0.8
-#: The share of the varying text that a node on the way to an article holds.
-MOST = 0.7
+#: Of the characters of a block that are links, from which on it is a list of links.
+LINKS = 0.5
 #: Hosts whose wrappers may be broadcast, a few hundred bytes each.
 BROADCAST_HOSTS = 20_000
 FLUSH_HOSTS = 4_000
 #: Children of a wrapper's node; beyond, those of one signature become one node.  Bounds wrappers, not texts.
 CHILDREN = 200
+#: Levels of a wrapper; what is deeper is text of its lowest node.  Bounds wrappers: pages are read to any depth.
+DEPTH = 200
 SALTS = 32
 
 
@@ -63,14 +80,25 @@ def signature(node: Node) -> str:
 
 
 def noise(sig: str) -> bool:
+    """Whether a node outside of the slot is no content, whatever it says."""
     tag, _, mark = sig.partition(".")
     return tag in NOISE_TAGS or bool(mark and NOISE_WORDS.search(ANCHOR.sub("", mark) if "#" in mark else mark))
 
 
-def blocks_of(node: Node, skip=None) -> list[str]:
+def noise_inside(sig: str) -> bool:
+    """Whether a node inside an article is no part of it, by its element or by a whole name."""
+    tag, _, mark = sig.partition(".")
+    return tag in SLOT_TAGS or any(word in NAMES for word in mark.split())
+
+
+def noisy(node: Node) -> bool:
+    return noise(signature(node))
+
+
+def blocks_of(node: Node, dropped: Callable[[Node], bool], muted: Callable[[Node], bool] | None = None) -> list[str]:
     """The blocks of text below a node in page order.  Blocks end where a block element begins or ends.
 
-    A block that skip holds for loses its own text, not the blocks inside.
+    A block that dropped holds for is left out; one that muted holds for loses its own text, not the blocks inside.
     """
     out: list[str] = []
     run: list[str] = []
@@ -82,62 +110,83 @@ def blocks_of(node: Node, skip=None) -> list[str]:
                 out.append(s)
             run.clear()
 
-    def walk(x: Node, mute: bool) -> None:
-        for c in x.children:
+    below = [(iter(node.children), False, True)]
+    while below:
+        rest, mute, block = below[-1]
+        for c in rest:
             if isinstance(c, str):
                 if not mute:
                     run.append(c)
             elif c.tag == "br":
                 run.append(" ")
             elif c.tag in INLINE:
-                if not noise(signature(c)):
-                    walk(c, mute)
+                below.append((iter(c.children), mute, False))
+                break
             else:
                 flush()
-                if not noise(signature(c)):
-                    walk(c, bool(skip and skip(c)))
+                if not dropped(c):
+                    below.append((iter(c.children), bool(muted and muted(c)), True))
+                    break
+        else:
+            below.pop()
+            if block:
                 flush()
-
-    walk(node, False)
-    flush()
     return out
 
 
-def _own(node: Node) -> tuple[str, list[Node]]:
-    """A node's own text, inline elements included, and the block elements that stand in it."""
+def _own(node: Node, whole: bool = False) -> tuple[str, list[Node]]:
+    """A node's own text, inline elements included, and the block elements that stand in it; or whole: all text below."""
     said: list[str] = []
     blocks: list[Node] = []
-
-    def add(x: Node) -> None:
-        for c in x.children:
+    below = [iter(node.children)]
+    while below:
+        for c in below[-1]:
             if isinstance(c, str):
                 said.append(c)
-            elif c.tag in INLINE:
-                if not noise(signature(c)):
-                    add(c)
+            elif c.tag in INLINE or whole and c.tag not in RAW:
+                below.append(iter(c.children))
+                break
             else:
                 blocks.append(c)
-
-    add(node)
+        else:
+            below.pop()
     return clean(said), blocks
 
 
-def as_wrapper(node: Node) -> Wrapper:
+def links(node: Node) -> bool:
+    """Whether links make up the better part of what a node says."""
+    inside, every = 0, 0
+    below = [(iter(node.children), node.tag == "a")]
+    while below:
+        for c in below[-1][0]:
+            if isinstance(c, str):
+                n = sum(map(len, c.split()))
+                every += n
+                inside += n if below[-1][1] else 0
+            elif c.tag not in RAW:
+                below.append((iter(c.children), below[-1][1] or c.tag == "a"))
+                break
+        else:
+            below.pop()
+    return inside >= LINKS * every
+
+
+def as_wrapper(node: Node, level: int = 0) -> Wrapper:
     """A page as a wrapper of one page.  Neighbouring elements of one signature become one node; inline ones are text."""
     sig = signature(node)
     w = Wrapper(sig, 1)
     if noise(sig):
-        return w  # whatever it says, it is not content
-    text, blocks = _own(node)
-    w.children = [as_wrapper(c) for c in blocks]
+        return w  # it tells nothing about where the content is
+    text, blocks = _own(node, whole=level >= DEPTH)
     folded: list[Wrapper] = []
-    for c in w.children:
-        if folded and folded[-1].sig == c.sig:
-            folded[-1] = _repeated(folded[-1], c)
+    for c in blocks if level < DEPTH else []:
+        x = as_wrapper(c, level + 1)
+        if folded and folded[-1].sig == x.sig:
+            folded[-1] = _repeated(folded[-1], x)
         else:
-            folded.append(c)
+            folded.append(x)
     w.children = _bounded(folded, _repeated)
-    w.said, w.same, w.chars = zlib.crc32(text.encode()) if text else 0, 1, len(text)
+    w.said, w.same, w.chars = zlib.crc32(text.encode("utf-8", "surrogatepass")) if text else 0, 1, len(text)
     return w
 
 
@@ -222,57 +271,63 @@ def _varying(w: Wrapper, pages: int, all_agree: bool = False) -> int:
 
 
 def content_slot(w: Wrapper, pages: int) -> list[str]:
-    """Signatures on the way from the root to the slot of the content: the article where pages have one, else the lowest
-    node outside of which all text is noise or the same on every page."""
-    path = _descend(w, pages, MOST)
-    if any(sig.partition(".")[0] in MAIN_TAGS for sig in path):
-        return path
-    return _descend(w, pages, 1, all_agree=True)
+    """Signatures on the way from the root to the slot of the content.
 
-
-def _descend(w: Wrapper, pages: int, share: float, all_agree: bool = False) -> list[str]:
-    """The way to an article, through nodes that hold a share of the varying text of the page."""
-    path, total = [], _varying(w, pages, all_agree)
-    at = w
-    while True:
-        found = [c for c in at.children if not noise(c.sig)]
-        said = [(c.sig.partition(".")[0] in MAIN_TAGS, _varying(c, pages, all_agree), c) for c in found]
-        mains = [x for x in said if x[0] and x[1]]
-        if mains and share < 1:
-            best = max(mains, key=lambda x: x[1])[2]
+    Alignment leads: to the child that holds all text which is neither noise nor the same on every page.  Where several hold
+    some, the one that has an article below is taken, and else the slot is their parent.  An article is never left for a part
+    of it.
+    """
+    path, at = [], w
+    while at.sig.partition(".")[0] != "article":
+        said = [(_varying(c, pages, all_agree=True), c) for c in at.children if not noise(c.sig)]
+        said = [x for x in said if x[0]]
+        own = at.chars if not (template(at, pages) and at.same == at.n) else 0
+        main = [x for x in said if _has_article(x[1], pages)]
+        if len(main) == 1:
+            best = main[0][1]
+        elif len(said) == 1 and not own and at.sig.partition(".")[0] != "main" and said[0][1].sig.partition(".")[0] not in TEXT_TAGS:
+            best = said[0][1]
         else:
-            best = max(said, key=lambda x: x[1], default=(0, 0, None))[2]
-            inside = _varying(best, pages, all_agree) if best is not None else 0
-            leaf = best is None or not best.children or best.sig.partition(".")[0] in ("p", "ul", "ol", "table", "pre", "blockquote")
-            if not total or leaf or inside < share * total or (at.sig.partition(".")[0] in MAIN_TAGS):
-                return path
-        path.append(best.sig)
-        if best.sig.partition(".")[0] == "article":
             return path
+        path.append(best.sig)
         at = best
+    return path
+
+
+def _has_article(w: Wrapper, pages: int) -> bool:
+    """Whether half of the pages have an article there."""
+    return not noise(w.sig) and 2 * w.n >= pages and (w.sig.partition(".")[0] in MAIN_TAGS or any(_has_article(c, pages) for c in w.children))
 
 
 def rules(w: Wrapper) -> dict:
-    """What extraction needs of a wrapper: the slot's path, and hashes of constant blocks inside."""
+    """What extraction needs of a wrapper: the slot's path, hashes of constant blocks inside, and signatures there that have
+    a name of noise as part of theirs and stand on most pages."""
     path = content_slot(w, w.n)
     at = w
     for sig in path:
         at = next(c for c in at.children if c.sig == sig)
     const: list[tuple[str, int]] = []
-
-    def walk(x: Wrapper) -> None:
-        for c in x.children:
-            if template(c, w.n) and not noise(c.sig):
-                const.append((c.sig, c.said))
-            walk(c)
-
-    walk(at)
-    return {"path": path, "const": const}
+    marked: set[str] = set()
+    below = list(at.children)
+    while below:
+        x = below.pop()
+        if noise(x.sig):
+            if w.n >= LEAST_PAGES and x.n >= AGREED * w.n:
+                marked.add(x.sig)
+            continue
+        if template(x, w.n):
+            const.append((x.sig, x.said))
+        below += x.children
+    return {"path": path, "const": sorted(const), "marked": sorted(marked)}
 
 
 def extract(page: Node, rule: dict) -> str:
-    """The page's text in its slot; of a page without it, below its own article or all of it."""
-    const = {(s, h) for s, h in rule["const"]}
+    """The page's text in its slot; of a page without it, below its own article or all of it.
+
+    Outside of articles what has a name of noise is left out as well: children of a slot that is no article, and all of a page
+    that has neither a slot nor an article.
+    """
+    const, marked = {(s, h) for s, h in rule["const"]}, set(rule.get("marked", ()))
     sigs = {s for s, _ in const}
 
     def same(n: Node) -> bool:
@@ -282,23 +337,39 @@ def extract(page: Node, rule: dict) -> str:
         if sig not in sigs:
             return False
         text = _own(n)[0]
-        return bool(text) and (sig, zlib.crc32(text.encode())) in const
+        return bool(text) and (sig, zlib.crc32(text.encode("utf-8", "surrogatepass"))) in const
 
-    level = [page]
+    level = [page] if rule["path"] else _articles(page) or [page]
     for sig in rule["path"]:
         below = [c for n in level for c in n.children if isinstance(c, Node) and signature(c) == sig]
         if not below:
             level = _articles(page) or [page]
             break
         level = below
-    return "\n\n".join(b for n in level for b in blocks_of(n, same))
+    whole = level == [page]
+    outer = set() if whole else {id(c) for n in level if n.tag not in MAIN_TAGS for c in n.children if isinstance(c, Node)}
+
+    def dropped(n: Node) -> bool:
+        sig = signature(n)
+        return (noise(sig) if whole or id(n) in outer else noise_inside(sig)) or (sig in marked and links(n))
+
+    return "\n\n".join(b for n in level for b in blocks_of(n, dropped, same))
 
 
-def _articles(n: Node) -> list[Node]:
+def _articles(page: Node) -> list[Node]:
+    """The outermost articles of a page, in its order."""
     out = []
-    for c in n.children:
-        if isinstance(c, Node) and not noise(signature(c)):
-            out += [c] if c.tag in MAIN_TAGS else _articles(c)
+    below = [iter(page.children)]
+    while below:
+        for c in below[-1]:
+            if isinstance(c, Node) and not noisy(c):
+                if c.tag in MAIN_TAGS:
+                    out.append(c)
+                else:
+                    below.append(iter(c.children))
+                    break
+        else:
+            below.pop()
     return out
 
 
@@ -308,7 +379,7 @@ def _host(url: Column) -> Column:
 
 def main_text(page: Node) -> bytes:
     """A digest of what a page says in its articles, or in all of it where it has none: equal for copies of a page."""
-    return hashlib.blake2b("\n".join(b for n in _articles(page) or [page] for b in blocks_of(n)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return hashlib.blake2b("\n".join(b for n in _articles(page) or [page] for b in blocks_of(n, noisy)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def induce(pages: DataFrame) -> DataFrame:

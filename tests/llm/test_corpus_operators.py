@@ -246,22 +246,70 @@ class Scored(np.ndarray):
         return np.asarray(self) @ q
 
 
-def test_search_scores_the_sample_and_candidates_only(monkeypatch):
-    monkeypatch.setattr(neighbours, "SAMPLE", 100)
+def test_windows_count_what_they_gain():
+    """Opened and widened windows hold what a plain count says, and widening reads the gained entries only."""
+    rng = np.random.default_rng(6)
+    index = neighbours.SortedArrays(np.arange(900), rng.normal(size=(900, 12)))
+    place = np.empty_like(index.values)
+    np.put_along_axis(place, index.by, index.values, 1)
+    read = []
+    plain = index._counted
+    index._counted = lambda spans: read.append(sum(max(0, y - x) for _, x, y in spans)) or plain(spans)
+    for _ in range(20):
+        at = rng.normal(size=(1, neighbours.PROJECTIONS))
+        counts, ends = None, None
+        for r in (0.05, 0.3, 0.31, 0.9, 2.5):
+            new = [e[0] for e in index._ends(at, np.array([r]))]
+            read.clear()
+            if counts is None:
+                counts = index.opened(*new)
+            else:
+                index.widened(counts, *ends, *new)
+                assert read == [int((new[1] - new[0]).sum() - (ends[1] - ends[0]).sum())]
+            ends = new
+            want = (np.abs(place - at[0][:, None]) <= neighbours.TAU * r).sum(0)
+            assert counts.tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("grow", [False, True])
+def test_search_scores_candidates_only(grow):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(40, 32))
     x = centres[rng.integers(0, 40, 4000)] + 0.2 * rng.normal(size=(4000, 32))
     x /= np.linalg.norm(x, axis=1)[:, None]
     index = neighbours.SortedArrays(np.arange(4000), x)
     index.flat = index.flat.view(Scored)
-    for q in range(0, 4000, 400):
-        Scored.rows = 0
-        ids, scores = index.search(q, x[q], 10)
+    asked = np.arange(0, 4000, 400)
+    reach = np.full(len(asked), 0.999) if grow else neighbours.guessed(x[asked], x[1:4000:20], 10, 4000)
+    Scored.rows = 0
+    for q, ids, scores, _ in index.search(asked, x[asked], reach, 10, grow):
         want = x @ x[q]
         want[q] = -np.inf
         best = np.lexsort((np.arange(4000), -want))[:10]
         assert len(set(ids) & set(best)) >= 9 and np.allclose(scores, want[ids])
-        assert Scored.rows < 2000
+    assert Scored.rows < 4000 * len(asked) / 4
+
+
+def test_search_of_many_copies_in_blocks(spark, monkeypatch):
+    """A vector that a third of the rows share, longer and shorter ones, several blocks and a bad sample: the exact neighbours."""
+    monkeypatch.setattr(neighbours, "NUMBERS", 100)
+    monkeypatch.setattr(neighbours, "LEAST_BLOCK", 100)
+    monkeypatch.setattr(neighbours, "SAMPLE", 30)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 8)) * rng.uniform(0.5, 2, (600, 1))
+    x[::3] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0, k=7).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    same = 0
+    for q, ids in got.items():
+        s = np.array([sum(a * b for a, b in zip(v, x[q], strict=True)) for v in x])
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(600), -s))[:7].tolist()
+        same += len(set(best) & set(ids))
+        assert len(ids) == 7 and (q % 3 or ids == best)
+    assert len(got) == 30 and same >= 0.97 * 210
 
 
 PAGE = """<!doctype html><html><head><title>t</title><style>p{{}}</style><script>var a="</p>";</script></head><body class=x>
@@ -311,6 +359,69 @@ def test_captions_fallbacks_and_headings_of_an_article_stay():
     assert text == "\n\n".join(["Related work", "Search", "On copies", "A caption", "An object", "A film", "A sound", "A map", "A set"])
 
 
+HOST = """<html><body><div class="top"><a href=/>Our site</a></div><nav><a href=/a>N {i}</a></nav><div class="teaser">Tip {i}</div>{open}<h1>Title {i}</h1>
+<p>Body {i}: shares cost <span class="share-price">{i} dollars</span> and <b id="comments">more</b>.</p><div class='related-work'>Earlier work {i}</div>
+<figure><img><figcaption>Figure {i}</figcaption></figure>{extra}<div class="share-tools"><a href=/s>Post {i}</a> <a href=/t>Mail {i}</a></div>
+<div class="comments">Reader {i} says no</div><div class="note">The same note on every page</div>{close}<footer>About {i}</footer></body></html>"""
+
+
+def hosted(n, tag, start=0):
+    return [(start + i, f"http://h{start}.example/{i}", HOST.format(i=start + i, open=f"<{tag}>", close=f"</{tag.split()[0]}>", extra=f"<div class='notes-menu'>Point {i}</div>" if i == 2 else "")) for i in range(n)]
+
+
+def said(i, *more):
+    return "\n\n".join([f"Title {i}", f"Body {i}: shares cost {i} dollars and more.", f"Earlier work {i}", f"Figure {i}", *more])
+
+
+def test_words_of_an_article_stay(spark):
+    """Names count as parts of words only where pages align on a list of links; inline elements are text; what all say goes."""
+    rows = hosted(8, "article") + hosted(3, "article", 100) + hosted(1, "main", 200)
+    got = {r["page_id"]: r["text"] for r in wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i] == said(i, *(["Point 2"] if i == 2 else []))
+    for i in (100, 101, 102, 200):  # too few pages to align: no template, and no list of links is known as one
+        assert got[i] == said(i, *(["Point 2"] if i == 102 else []), f"Post {i} Mail {i}", "The same note on every page")
+
+
+def test_slot_without_an_article(spark):
+    """A <div> that holds the article is found by alignment, and a host with too few pages says all that has no name of noise."""
+    rows = [(i, u, h.replace('<div class="teaser">', '<div class="promo-teaser">')) for i, u, h in hosted(9, "div id=story") + hosted(2, "div id=story", 50)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    outer = lambda i, *more: "\n\n".join([f"Title {i}", f"Body {i}: shares cost {i} dollars and more.", f"Figure {i}", *more])
+    for i in range(9):  # children of a slot that is no article lose what has a name of noise
+        assert got[i] == outer(i)
+    for i in (50, 51):
+        assert got[i] == "\n\n".join(["Our site", said(i), f"Post {i} Mail {i}", "The same note on every page"])
+
+
+def test_alignment_comes_before_tags(spark):
+    """An <article> on one page of ten does not make it the slot of the host; on most it does, whatever stands beside it."""
+    page = "<body><div class=lead>Lead {i}</div><div class=text><p>Words {i}</p>{more}</div></body>"
+    rows = [(i, "http://t.example/", page.format(i=i, more="<article>Aside</article>" if i == 0 else "")) for i in range(10)]
+    rows += [(100 + i, "http://u.example/", f"<body><div class=lead>Lead {i}</div><article><p>Words {i}</p></article></body>") for i in range(10)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "Lead 0\n\nWords 0\n\nAside" and got[3] == "Lead 3\n\nWords 3" and got[103] == "Words 3"
+
+
+@pytest.mark.parametrize("unit", ["<a b ", "<a x='", '<a x="', "<a x='>'", "<a x='y' ", "<!", "<!--", "<![CDATA[", "<div>", "</x>", "<p><b>", "<li><i>", "<", "<i></div>", "<b><div></b>", "<script>", "&amp", "<td><table><i><tr></tr>"])
+def test_parser_is_linear(unit):
+    import time
+
+    for end in ("", ">", "'>", '">x'):
+        page = unit * (100_000 // len(unit)) + end
+        began = time.time()
+        wrapper.extract(html_dom.parse(page), {"path": [], "const": []})
+        assert time.time() - began < 3
+
+
+def test_quotes_of_attributes():
+    text = lambda page: wrapper.extract(html_dom.parse(page), {"path": [], "const": []})
+    assert text("<p title='a > b'>x<p data-x=it's>y<p title = \"c>d\" class=ad>z") == "x\n\ny"
+    assert text("<p title='never closed>x</p><p>y") == "x\n\ny"
+    assert text("a < b <3 <p>c</p> d <") == "a < b <3\n\nc\n\nd <"
+    assert html_dom.parse('<div title="x class=ad" CLASS=\'One two\' id=n>').children[0].mark == "one two n"
+
+
 def test_parser_never_fails():
     rng = random.Random(9)
     for _ in range(2000):
