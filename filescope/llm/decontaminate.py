@@ -3,8 +3,9 @@
 Index: one posting (term, doc_id, pos, before, after) for each training token, terms as 64-bit hashes, that a test item holds, in segments: each task
 that tokenises writes its own, ordered by term, so nothing is shuffled to build it.  `before` and `after` are the terms of
 the neighbouring tokens (a nextword index), which intersects three adjacent lists in one read.
-Search: a phrase reads the list of the place whose triple of terms is rarest in the corpus, shifts its positions by the
-place's offset, and each candidate is verified term by term against the text.
+Search: a phrase reads the list of the place whose triple of terms is rarest in the corpus and shifts its positions by the
+place's offset.  What that leaves is intersected with the offset-adjusted lists of as few other places as cover the phrase,
+three terms each.  Hits are looked up in the text once more, so that no collision of hashed terms makes one.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from filescope.llm.common import fresh_path, removed, stored, table
 
-#: Rows of a side that may be broadcast, counted before; beyond, the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Rows of a few numbers that may be broadcast, counted before; beyond, the join shuffles.
+BROADCAST_ROWS = 200_000
 PHRASE = 10
 NO_ID = -(2**63)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,6 +32,25 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _phrase(w: Column) -> Column:
+    return F.xxhash64(F.array_join(w, " "))
+
+
+def _text_id() -> Column:
+    """What tells texts of rows of equal doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")), F.lit("text"))
+
+
+def _places(phrases: DataFrame, offsets: Column) -> DataFrame:
+    """(phrase, words, offset, term, before, after) for each of some offsets into each phrase; no term stands beyond its ends."""
+    h = lambda x: F.xxhash64(x)
+    return phrases.select("phrase", "words", F.explode(offsets).alias("offset")).select(
+        "phrase", "words", "offset", h(F.element_at("words", F.col("offset") + 1)).alias("term"),
+        F.when(F.col("offset") > 0, h(F.get("words", F.col("offset") - 1))).alias("before"),
+        F.when(F.col("offset") + 1 < F.size("words"), h(F.get("words", F.col("offset") + 1))).alias("after"),
+    )
+
+
 def phrases(items: DataFrame, n: int = PHRASE) -> DataFrame:
     """(phrase, words, item_ids): each distinct run of n words of an item; an item of fewer words, but not none, is one run.
 
@@ -38,24 +58,24 @@ def phrases(items: DataFrame, n: int = PHRASE) -> DataFrame:
     """
     w = items.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     runs = w.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.slice("w", i, n))).alias("words"))
-    return runs.groupBy("words").agg(F.collect_set("item_id").alias("item_ids")).select(F.xxhash64(F.array_join("words", " ")).alias("phrase"), "words", "item_ids")
+    return runs.groupBy("words").agg(F.collect_set("item_id").alias("item_ids")).select(_phrase(F.col("words")).alias("phrase"), "words", "item_ids")
 
 
 class PositionalIndex:
     """Postings of the corpus for the vocabulary of the test items."""
 
     def __init__(self, docs: DataFrame, vocabulary: DataFrame):
-        """docs (doc_id, text), vocabulary (word).  Null texts have no postings; ids may repeat (see `search`)."""
+        """docs (doc_id, text), vocabulary (word).  Null texts have no postings; ids may repeat (see `search` and `near`)."""
         self.spark, self.docs = docs.sparkSession, docs.select("doc_id", "text")
         self.path = fresh_path(self.spark, "postings")
         vocabulary = vocabulary.select("word").distinct()
         self.terms = stored(vocabulary.select("word", F.xxhash64("word").alias("term")), "terms")
         h, n = F.col("h"), F.size("h")
-        none = F.struct(*[F.lit(None).cast("long").alias(c) for c in ("term", "before", "after")])
         zipped = F.arrays_zip(h.alias("term"), F.concat(F.array(F.lit(0).cast("long")), F.slice(h, 1, F.greatest(n - 1, F.lit(0)))).alias("before"), F.concat(F.slice(h, 2, n + 1), F.array(F.lit(0).cast("long"))).alias("after"))
-        hashed = self.docs.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-        # a head without a term for each row of docs says how many words it has
-        tokens = hashed.select("doc_id", n.alias("n_words"), F.posexplode(F.concat(F.array(none), F.slice(zipped, 1, n))).alias("pos", "t"))
+        hashed = self.docs.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"), _text_id().alias("text_id"))
+        # a head without a term for each row of docs says how many words it has, and which text that is
+        head = F.struct(F.lit(None).cast("long").alias("term"), F.col("text_id").alias("before"), F.lit(None).cast("long").alias("after"))
+        tokens = hashed.select("doc_id", n.alias("n_words"), F.posexplode(F.concat(F.array(head), F.slice(zipped, 1, n))).alias("pos", "t"))
         tokens = tokens.select("doc_id", F.when(F.col("pos") == 0, F.col("n_words")).alias("n_words"), (F.col("pos") - 1).alias("pos"), "t.*")
         known = _small(self.terms.select("term").distinct().withColumn("known", F.lit(True)), self.terms.count())
         postings = tokens.join(known, "term", "left").filter("known or n_words is not null").select("term", "doc_id", "pos", "before", "after", "n_words")
@@ -63,23 +83,17 @@ class PositionalIndex:
         self.postings = self.spark.read.schema(postings.schema).parquet(self.path)
 
     def lengths(self) -> DataFrame:
-        """(doc_id, n_words) of each row of docs."""
-        return self.postings.filter("n_words is not null").select("doc_id", "n_words")
+        """(doc_id, text_id, n_words) of each row of docs."""
+        return self.postings.filter("n_words is not null").select("doc_id", F.col("before").alias("text_id"), "n_words")
 
     def drop(self) -> None:
         removed(self.spark, self.path)
 
-    def _places(self, phrases: DataFrame) -> DataFrame:
+    def _rarest(self, phrases: DataFrame) -> DataFrame:
         """(phrase, words, offset, term, before, after): of each phrase the inner place whose triple is rarest in the corpus."""
-        h = lambda x: F.xxhash64(x)
         n = F.size("words")
         inner = F.when(n >= 3, F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)))).otherwise(F.array(F.lit(0)))
-        places = phrases.select("phrase", "words", F.explode(inner).alias("offset")).select(
-            "phrase", "words", "offset", h(F.element_at("words", F.col("offset") + 1)).alias("term"),
-            F.when(F.col("offset") > 0, h(F.get("words", F.col("offset") - 1))).alias("before"),
-            F.when(F.col("offset") + 1 < n, h(F.get("words", F.col("offset") + 1))).alias("after"),
-        )
-        places = stored(places, "places")
+        places = stored(_places(phrases, inner), "places")
         key = ["term", "before", "after"]
         triples = places.filter("before is not null and after is not null").select(*key).distinct()
         count = self.postings.join(_small(triples, triples.count()), key, "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
@@ -89,26 +103,43 @@ class PositionalIndex:
         return first.filter("n > 0").select("phrase", "x.*")  # a place that the corpus lacks: so is the phrase
 
     def candidates(self, phrases: DataFrame) -> DataFrame:
-        """(doc_id, start, phrase, words) where the rarest place of a phrase stands; start counts words from 0."""
-        places = stored(self._places(phrases), "rarest")
+        """(doc_id, start, phrase) where the rarest place of a phrase stands; start counts words from 0."""
+        places = stored(self._rarest(phrases), "rarest")
         rows = places.count()
-        long = places.filter(F.size("words") >= 3)
-        short = places.filter(F.size("words") < 3).select("phrase", "words", "offset", "term", F.col("after").alias("next"))
-        hit = self.postings.join(_small(long, rows), ["term", "before", "after"]).select("doc_id", "pos", "offset", "phrase", "words")
-        brief = self.postings.join(_small(short, rows), "term").filter("next is null or next = after").select("doc_id", "pos", "offset", "phrase", "words")
-        return hit.unionByName(brief).select("doc_id", (F.col("pos") - F.col("offset")).alias("start"), "phrase", "words").filter("start >= 0")
+        long = places.filter(F.size("words") >= 3).drop("words")
+        short = places.filter(F.size("words") < 3).select("phrase", "offset", "term", F.col("after").alias("next"))
+        hit = self.postings.join(_small(long, rows), ["term", "before", "after"]).select("doc_id", "pos", "offset", "phrase")
+        brief = self.postings.join(_small(short, rows), "term").filter("next is null or next = after").select("doc_id", "pos", "offset", "phrase")
+        return hit.unionByName(brief).select("doc_id", (F.col("pos") - F.col("offset")).alias("start"), "phrase").filter("start >= 0").distinct()
+
+    def intersected(self, phrases: DataFrame) -> DataFrame:
+        """(doc_id, start, n, phrase) that all lists of a phrase, shifted by their places, have in common."""
+        found = stored(self.candidates(phrases), "candidates")
+        n = F.size("words")
+        cover = F.array_distinct(F.concat(F.when(n >= 3, F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)), F.lit(3))).otherwise(F.array(F.lit(0))), F.array(F.greatest(n - 2, F.lit(0)))))
+        lists = _places(phrases, cover).select("phrase", n.alias("n"), F.size(cover).alias("lists"), "offset", "term", "before", "after")
+        wanted = found.join(_small(lists, lists.count()), "phrase").withColumns({"pos": F.col("start") + F.col("offset"), "left": F.col("before"), "right": F.col("after")}).drop("before", "after")
+        ids = found.select("doc_id").distinct()
+        own = self.postings.filter("term is not null").join(_small(ids, ids.count()), "doc_id", "left_semi").drop("n_words")
+        met = own.join(_small(wanted, wanted.count()), ["doc_id", "pos", "term"]).filter("(left is null or left = before) and (right is null or right = after)")
+        return met.groupBy("doc_id", "start", "n", "phrase").agg(F.max("lists").alias("lists"), F.count_distinct("offset").alias("held")).filter("held = lists").select("doc_id", "start", "n", "phrase")
 
     def search(self, phrases: DataFrame) -> DataFrame:
-        """(doc_id, start, n, phrase): exactly the places where a phrase stands.  Rows of equal doc_id are one document."""
-        found = stored(self.candidates(phrases).groupBy("doc_id").agg(F.collect_set(F.struct("start", "phrase", "words")).alias("found")), "candidates")
+        """(doc_id, text_id, start, n, phrase): exactly the places where a phrase stands.  Rows of equal doc_id have hits of their
+        own, by their texts; equal rows share them."""
+        found = stored(self.intersected(phrases).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "phrase")).alias("found")), "hits")
         ids = found.select("doc_id")
-        texts = self.docs.filter(F.col("text").isNotNull()).join(_small(ids, ids.count()), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
+        texts = self.docs.filter(F.col("text").isNotNull()).join(_small(ids, ids.count()), "doc_id", "left_semi").select("doc_id", _text_id().alias("text_id"), words(F.col("text")).alias("w"))
         both = texts.join(found, "doc_id")
-        right = F.filter("found", lambda c: F.slice("w", c["start"] + 1, F.size(c["words"])) == c["words"])
-        return both.select("doc_id", F.explode(right).alias("c")).select("doc_id", "c.start", F.size("c.words").alias("n"), "c.phrase").distinct()
+        right = F.filter("found", lambda c: _phrase(F.slice("w", c["start"] + 1, c["n"])) == c["phrase"])
+        return both.select("doc_id", "text_id", F.explode(right).alias("c")).select("doc_id", "text_id", "c.start", "c.n", "c.phrase").distinct()
 
     def near(self, a: str, b: str, within: int) -> DataFrame:
-        """(doc_id, at, other): places of two words of the vocabulary at most `within` words apart."""
+        """(doc_id, at, other): places of two words of the vocabulary at most `within` words apart.
+
+        Null texts and words outside of the vocabulary have no places; a word is never near itself at one place.  Rows of equal
+        or null doc_id count as one document each, whose places are those of all its rows.
+        """
         own = lambda w, name: self.postings.filter(F.col("term") == F.xxhash64(F.lit(w))).select("doc_id", F.col("pos").alias(name), F.floor(F.col("pos") / (within + 1)).alias("cell"))
         left = own(a, "at").withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
         return left.join(own(b, "other"), ["doc_id", "cell"]).filter((F.abs(F.col("at") - F.col("other")) <= within) & (F.col("at") != F.col("other"))).select("doc_id", "at", "other")
@@ -128,20 +159,21 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = PHRASE) -> DataFra
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one row for each row of docs.
 
     A word is hit if some occurrence of a phrase of an item covers it.  Null and empty texts have no words and no hits; an
-    empty benchmark hits nothing; rows of equal doc_id share their hits.  A null doc_id stands for the smallest number inside.
-    Items with a null item_id hit words as others do, but are neither counted nor listed.
+    empty benchmark hits nothing; rows of equal doc_id each have the hits of their own text.  A null doc_id stands for the
+    smallest number inside.  Items with a null item_id hit words as others do, but are neither counted nor listed.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     hits, runs, lengths = matches(docs, items, n)
+    row = ["doc_id", "text_id"]
     end = F.col("start") + F.col("n")
-    reached = F.max(end).over(Window.partitionBy("doc_id").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1))
-    spans = hits.select("doc_id", "start", "n").distinct().withColumn("reached", F.coalesce(reached, F.lit(0)))
-    covered = spans.groupBy("doc_id").agg(F.sum(F.greatest(end - F.greatest("start", "reached"), F.lit(0))).cast("long").alias("n_hit"))
-    met = hits.select("doc_id", "phrase").distinct().join(_small(runs.select("phrase", "item_ids"), runs.count()), "phrase")
-    listed = met.select("doc_id", F.explode("item_ids").alias("item")).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
-    per_doc = stored(covered.join(listed, "doc_id", "left"), "contaminated")
-    sized = lengths.select("doc_id", F.col("n_words").cast("long").alias("n_words"))
-    joined = sized.join(_small(per_doc, per_doc.count()), "doc_id", "left")
+    reached = F.max(end).over(Window.partitionBy(*row).orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1))
+    spans = hits.select(*row, "start", "n").distinct().withColumn("reached", F.coalesce(reached, F.lit(0)))
+    covered = spans.groupBy(*row).agg(F.sum(F.greatest(end - F.greatest("start", "reached"), F.lit(0))).cast("long").alias("n_hit"))
+    met = hits.select(*row, "phrase").distinct().join(_small(runs.select("phrase", "item_ids"), runs.count()), "phrase")
+    listed = met.select(*row, F.explode("item_ids").alias("item")).groupBy(*row).agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
+    per_doc = stored(covered.join(listed, row, "left"), "contaminated")
+    sized = lengths.select(*row, F.col("n_words").cast("long").alias("n_words"))
+    joined = sized.join(_small(per_doc, per_doc.count()), row, "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
         F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_of).cast("long").alias("n_items"),
