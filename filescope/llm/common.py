@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filescope.session import ship
+from filescope import session
+from filescope.session import freed, made, removed, ship
+
+__all__ = ["batched", "fresh_path", "freed", "kept", "made", "removed", "shared_dir", "stored", "table", "unclaimed", "worker"]
 
 #: Bytes and rows in an Arrow batch: long texts come few at a time, narrow rows many.
 BATCH_BYTES, BATCH_ROWS = 1 << 20, 50_000
@@ -28,46 +28,43 @@ def batched(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.  The session's setting rules; one's own is set only where there is none."""
+    """The folder that the driver and all executors share.  The session's setting rules; one's own is set only where there is none,
+    which only local mode may do."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = held.get() if held.isDefined() else "file:///tmp/checkpoints"
-        if not held.isDefined():
-            spark.sparkContext.setCheckpointDir(where)
+        if held.isDefined():
+            return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file:///tmp/checkpoints"
+        spark.sparkContext.setCheckpointDir(where)
     return where
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that nobody else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/filescope-{what}-{uuid.uuid4().hex}"
-
-
-_MADE: list[tuple[SparkSession, str]] = []
-
-
-@atexit.register
-def _clear() -> None:
-    """What was stored between stages goes when the driver ends; lazy results may need it until then."""
-    with contextlib.suppress(Exception):  # the session may be gone already
-        for spark, path in _MADE:
-            removed(spark, path)
+    """A path in the shared folder that nobody else uses, and that goes when the driver ends."""
+    return session.fresh_path(spark, shared_dir(spark), what)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    _MADE.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a path of ours in the shared folder."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def unclaimed(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns that df has none of, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 #: What Python workers keep between tasks, by operator: emptied when another operator's task begins in the same worker.

@@ -167,10 +167,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
                         index = index or SortedArrays(np.concatenate([i for i, _ in held]), np.concatenate([x for _, x in held]))
                         held = held[:1]
                         q = np.stack(asked["v"].to_numpy())
-                        for qid, ids, scores, near in index.search(asked["id"].to_numpy(), q, guessed(q, sample, k, n), k, grow):
-                            out.append(pd.DataFrame({"query_id": qid, "id": ids, "score": scores, "near": near}))
+                        out += index.search(asked["id"].to_numpy(), q, guessed(q, sample, k, n), k, grow)
                 if out:
-                    yield pd.concat(out)
+                    ids, scores, near = (np.concatenate([x[i] for x in out]) for i in (1, 2, 3))
+                    yield pd.DataFrame({"query_id": np.repeat([x[0] for x in out], [len(x[1]) for x in out]), "id": ids, "score": scores, "near": near})
 
         asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "id", "v")
         met = data.unionByName(asked).repartition("block").sortWithinPartitions("block", "asks")  # a block's vectors come before its queries

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filescope.llm.common import stored, table
+from filescope.llm.common import stored, table, unclaimed
 
 #: Each shard's rows are numbered within so many buckets of their key, so that no shard has to be sorted by one task.
 SLOT_BUCKETS = 1024
@@ -39,32 +39,31 @@ def shard(df: DataFrame, key: str, weights: Sequence[float], grown_weight: float
     Columns named shard or grown_shard are replaced.
     """
     n = len(weights)
-    best = rendezvous(F.col(key), weights)
+    df = df.drop("shard", "grown_shard")
+    (won,) = unclaimed(df, "won")
+    best, mine = rendezvous(F.col(key), weights), (-F.col(f"{won}.minus")).cast("int")
     late = _score(F.col(key), F.lit(n), F.lit(float(grown_weight)))
-    return (
-        df.drop("shard", "grown_shard")
-        .withColumn("__best", best)
-        .withColumns({"shard": (-F.col("__best.minus")).cast("int"), "grown_shard": F.when(late > F.col("__best.score"), F.lit(n)).otherwise(-F.col("__best.minus")).cast("int")})
-        .drop("__best")
-    )
+    return df.withColumn(won, best).withColumns({"shard": mine, "grown_shard": F.when(late > F.col(f"{won}.score"), F.lit(n)).otherwise(mine)}).drop(won)
 
 
 def slotted(df: DataFrame, key: str) -> DataFrame:
     """df (with `shard`) plus `slot`, gapless from 0 in each shard and the same in each run.
 
     Wholly equal rows are counted before they are numbered and unfolded afterwards, so a hot key is no hot task.
-    The bucket totals are at most shards x SLOT_BUCKETS rows, which bounds the broadcast.
+    The bucket totals are at most shards x SLOT_BUCKETS rows, which bounds the broadcast.  Null keys and empty tables are
+    numbered like others; a column named slot is replaced, any other names may stand in df.
     """
     cols = [c for c in df.columns if c != "slot"]
-    rows = stored(df.select(*cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("__n")), "sharded")  # read twice below
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(F.col(key), F.lit("slot")), F.lit(SLOT_BUCKETS)).cast("int"))
-    totals = rows.groupBy("shard", "__bucket").agg(F.sum("__n").alias("__total"))
-    before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("shard", "__bucket", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy("shard", "__bucket").orderBy(*[c for c in cols if c != "shard"]).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = rows.withColumn("__in", F.coalesce(F.sum("__n").over(within), F.lit(0)))
-    first = F.col("__start") + F.col("__in")
-    return numbered.join(F.broadcast(starts), ["shard", "__bucket"]).select(*cols, F.explode(F.sequence(first, first + F.col("__n") - 1)).alias("slot"))
+    n, bucket, total, start, inside = unclaimed(df, "n", "bucket", "total", "start", "inside")
+    rows = stored(df.select(*cols).groupBy(*cols).agg(F.count(F.lit(1)).alias(n)), "sharded")  # read twice below
+    rows = rows.withColumn(bucket, F.pmod(F.xxhash64(F.col(key), F.lit("slot")), F.lit(SLOT_BUCKETS)).cast("int"))
+    totals = rows.groupBy("shard", bucket).agg(F.sum(n).alias(total))
+    before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("shard", bucket, F.coalesce(F.sum(total).over(before), F.lit(0)).alias(start))
+    within = Window.partitionBy("shard", bucket).orderBy(*[c for c in cols if c != "shard"]).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = rows.withColumn(inside, F.coalesce(F.sum(n).over(within), F.lit(0)))
+    first = F.col(start) + F.col(inside)
+    return numbered.join(F.broadcast(starts), ["shard", bucket]).select(*cols, F.explode(F.sequence(first, first + F.col(n) - 1)).alias("slot"))
 
 
 def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

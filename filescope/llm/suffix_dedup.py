@@ -22,9 +22,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from filescope.llm.common import batched, stored, table, worker
+from filescope.llm.common import batched, stored, table, unclaimed, worker
 from filescope.llm.jaccard import _powers
 from filescope.llm.perfect_hash import mix
 from filescope.llm.streams import groups
@@ -286,13 +285,14 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def in_order(docs: DataFrame, key: str) -> DataFrame:
-    """docs with `ord`: the key where it tells rows apart; else numbers in order of key (null first) and text."""
-    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    """docs with `ord`: the key where it tells rows apart; else numbers that rise with key (null first) and text.  A column of
+    that name is replaced."""
+    docs = docs.drop("ord").withColumn("text", F.coalesce("text", F.lit("")))
     told = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("d")).first()
     if told["n"] == told["d"]:
         return docs.withColumn("ord", F.col(key).cast("long"))
-    numbered = docs.orderBy(F.col(key).asc_nulls_first(), "text").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return stored(docs.sparkSession.createDataFrame(numbered, StructType([*docs.schema.fields, StructField("ord", LongType())])), "ordered")
+    # of sorted rows these numbers rise from partition to partition and inside; stored at once, so they never change
+    return stored(docs.orderBy(F.col(key).asc_nulls_first(), "text").withColumn("ord", F.monotonically_increasing_id()), "ordered")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -336,11 +336,13 @@ def dedup(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     that were cut in two.  Both have `ord`.
 
     Null texts are empty; texts of less than 100 bytes have no repeats.  Rows of equal or null key are documents in order of
-    key (null first) and text, so of equal rows one stays.  `kept` may cut a character in two: it is bytes.
+    key (null first) and text, so of equal rows one stays.  `kept` may cut a character in two: it is bytes.  Columns of these four
+    names are replaced, others may have any name.
     """
-    docs = in_order(docs, key)
+    docs = in_order(docs.drop("ord", "removed", "kept", "left"), key)
+    (marked,) = unclaimed(docs, "marked")
     marks = repeats(docs)
-    by_doc = stored(marks.groupBy("ord").agg(F.collect_list("at").alias("__at")), "marked")
+    by_doc = stored(marks.groupBy("ord").agg(F.collect_list("at").alias(marked)), "marked")
     n = by_doc.count()
     ids = _small(by_doc.select("ord"), n)
     clean = docs.join(ids, "ord", "left_anti")
@@ -348,11 +350,11 @@ def dedup(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            gone = [spans(at) for at in b["__at"]]
+            gone = [spans(at) for at in b[marked]]
             stays = [kept(t.encode(), g) for t, g in zip(b["text"], gone, strict=True)]
-            yield b.drop(columns="__at").assign(removed=[[{"begin": x, "end": y} for x, y in g] for g in gone], kept=stays, left=[x.decode("utf-8", "ignore") for x in stays])
+            yield b.drop(columns=marked).assign(removed=[[{"begin": x, "end": y} for x, y in g] for g in gone], kept=stays, left=[x.decode("utf-8", "ignore") for x in stays])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.drop("__at").schema) + ", removed array<struct<begin:long,end:long>>, kept binary, left string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.drop(marked).schema) + ", removed array<struct<begin:long,end:long>>, kept binary, left string"
     return clean, texts.mapInPandas(worker(run), schema)
 
 
