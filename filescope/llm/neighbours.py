@@ -188,3 +188,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
 
 def op3_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+#: The exact neighbours, which the operator finds all of where the table is no larger than its sample; products are summed in
+#: the vectors' order, in double precision.
+OP3_SQL = r"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, len(embedding) AS d FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+w AS (SELECT vec_id, e FROM v WHERE d = (SELECT d FROM v GROUP BY d ORDER BY count(*) DESC, d LIMIT 1)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]), lambda a, b: a + b) AS score
+      FROM w q JOIN w c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""

@@ -10,8 +10,8 @@ from filescope.llm.bpe import op6_bpe_tree
 from filescope.llm.chat import OP7_SQL, op7_chat_format
 from filescope.llm.decontaminate import OP2_SQL, op2_decontaminate
 from filescope.llm.jaccard import OP5_SQL, op5_ngram_jaccard
-from filescope.llm.neighbours import op3_collision_counting
-from filescope.llm.sharding import op1_rendezvous_sharding
+from filescope.llm.neighbours import OP3_SQL, op3_collision_counting
+from filescope.llm.sharding import OP1_SQL, op1_rendezvous_sharding
 from filescope.llm.suffix_dedup import OP10_SQL, op10_suffix_dedup
 from filescope.llm.token_store import op8_token_store
 from filescope.llm.toxicity import op9_toxicity
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_chat_format": OP7_SQL, "op10_suffix_dedup": OP10_SQL}
+    return {"op1_rendezvous_sharding": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_collision_counting": OP3_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_chat_format": OP7_SQL, "op10_suffix_dedup": OP10_SQL}

@@ -71,3 +71,31 @@ def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     return slotted(shard(docs, "doc_id", [1.0] * SHARDS), "doc_id").select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+#: The same from first principles: XXH64 of eight bytes and of four in 128-bit numbers, CRC-32 by its table, the largest score.
+OP1_SQL = r"""
+WITH p AS (SELECT 11400714785074694791::UHUGEINT AS p1, 14029467366897019727::UHUGEINT AS p2, 1609587929392839161::UHUGEINT AS p3, 9650029242287828579::UHUGEINT AS p4, 2870177450012600261::UHUGEINT AS p5, 18446744073709551616::UHUGEINT AS m),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+k0 AS (SELECT DISTINCT doc_id, CASE WHEN doc_id < 0 THEN (doc_id::HUGEINT + 18446744073709551616)::UHUGEINT ELSE doc_id::UHUGEINT END AS v FROM d),
+k1 AS (SELECT doc_id, v * p2 % m AS k FROM k0, p),
+k2 AS (SELECT doc_id, (k * 2147483648 % m + k // 8589934592) * p1 % m AS k FROM k1, p),
+k3 AS (SELECT doc_id, xor((42 + p5 + 8) % m, k) AS h FROM k2, p),
+k4 AS (SELECT doc_id, ((h * 134217728 % m + h // 137438953472) * p1 + p4) % m AS h FROM k3, p),
+k5 AS (SELECT doc_id, xor(h, h // 8589934592) * p2 % m AS h FROM k4, p),
+k6 AS (SELECT doc_id, xor(h, h // 536870912) * p3 % m AS h FROM k5, p),
+k7 AS (SELECT doc_id, coalesce(xor(h, h // 4294967296), 42) AS seed FROM k6),
+s1 AS (SELECT doc_id, v, xor((seed + p5 + 4) % m, v::UHUGEINT * p1 % m) AS h FROM k7, p, (SELECT unnest(range(41)) AS v UNION ALL SELECT 1953459315)),
+s2 AS (SELECT doc_id, v, ((h * 8388608 % m + h // 2199023255552) * p2 + p3) % m AS h FROM s1, p),
+s3 AS (SELECT doc_id, v, xor(h, h // 8589934592) * p2 % m AS h FROM s2, p),
+s4 AS (SELECT doc_id, v, xor(h, h // 536870912) * p3 % m AS h FROM s3, p),
+s5 AS (SELECT doc_id, v, xor(h, h // 4294967296) AS h FROM s4),
+s6 AS (SELECT doc_id, v, h, 1 / -ln(((h // 4096)::DOUBLE + 0.5) / 4503599627370496) AS score FROM s5),
+o AS (SELECT doc_id, arg_max(v, (score, -v)) FILTER (v < 40) AS shard, arg_max(v, (score, -v)) FILTER (v < 41) AS grown_shard, any_value(h % 1024) FILTER (v > 41) AS bucket FROM s6 GROUP BY doc_id),
+e AS (SELECT list(list_reduce(range(8), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, n) ORDER BY n) AS t FROM range(256) r(n)),
+x AS (SELECT doc_id, strlen(text) AS n, hex(encode(text)) AS x FROM d),
+c AS (SELECT doc_id, (n + 16)::BIGINT AS size,
+        xor(list_reduce([('0x' || substr(x, 2 * i + 1, 2))::BIGINT for i in range(n)], lambda a, v: xor(a // 256, t[xor(a % 256, v) + 1]), 4294967295::BIGINT), 4294967295)::BIGINT AS text_crc32 FROM x, e)
+SELECT c.doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, (row_number() OVER (PARTITION BY shard ORDER BY bucket, c.doc_id NULLS FIRST, size, text_crc32) - 1)::BIGINT AS slot, grown_shard::INT AS grown_shard
+FROM c JOIN o ON c.doc_id IS NOT DISTINCT FROM o.doc_id
+"""
