@@ -113,16 +113,24 @@ class PositionalIndex:
         return hit.unionByName(brief).select("doc_id", (F.col("pos") - F.col("offset")).alias("start"), "phrase").filter("start >= 0").distinct()
 
     def intersected(self, phrases: DataFrame) -> DataFrame:
-        """(doc_id, start, n, phrase) that all lists of a phrase, shifted by their places, have in common."""
+        """(doc_id, start, n, phrase) that all lists of a phrase, shifted by their places, have in common.
+
+        Lists are narrowed to the triples that some place asks for and to documents with a candidate before they are shuffled.
+        """
         found = stored(self.candidates(phrases), "candidates")
-        n = F.size("words")
-        cover = F.array_distinct(F.concat(F.when(n >= 3, F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)), F.lit(3))).otherwise(F.array(F.lit(0))), F.array(F.greatest(n - 2, F.lit(0)))))
-        lists = _places(phrases, cover).select("phrase", n.alias("n"), F.size(cover).alias("lists"), "offset", "term", "before", "after")
-        wanted = found.join(_small(lists, lists.count()), "phrase").withColumns({"pos": F.col("start") + F.col("offset"), "left": F.col("before"), "right": F.col("after")}).drop("before", "after")
+        n, key = F.size("words"), ["term", "before", "after"]
+        cover = F.array_distinct(F.concat(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)), F.lit(3)), F.array(F.greatest(n - 2, F.lit(1)))))
+        lists = _places(phrases.filter(n >= 3), cover).select("phrase", n.alias("n"), F.size(cover).alias("lists"), "offset", *key)
+        rows = lists.count()
+        wanted = found.join(_small(lists, rows), "phrase").withColumn("pos", F.col("start") + F.col("offset"))
         ids = found.select("doc_id").distinct()
-        own = self.postings.filter("term is not null").join(_small(ids, ids.count()), "doc_id", "left_semi").drop("n_words")
-        met = own.join(_small(wanted, wanted.count()), ["doc_id", "pos", "term"]).filter("(left is null or left = before) and (right is null or right = after)")
-        return met.groupBy("doc_id", "start", "n", "phrase").agg(F.max("lists").alias("lists"), F.count_distinct("offset").alias("held")).filter("held = lists").select("doc_id", "start", "n", "phrase")
+        asked = self.postings.join(_small(lists.select(*key).distinct(), rows), key, "left_semi")
+        own = asked.join(_small(ids, ids.count()), "doc_id", "left_semi").select("doc_id", "pos", *key)
+        met = own.join(wanted, ["doc_id", "pos", *key]).groupBy("doc_id", "start", "n", "phrase").agg(F.max("lists").alias("lists"), F.count_distinct("offset").alias("held"))
+        # of phrases of one or two words the candidates' list is the only one
+        brief = phrases.filter(n < 3).select("phrase", n.alias("n"))
+        whole = found.join(_small(brief, brief.count()), "phrase").select("doc_id", "start", "n", "phrase")
+        return met.filter("held = lists").select("doc_id", "start", "n", "phrase").unionByName(whole)
 
     def search(self, phrases: DataFrame) -> DataFrame:
         """(doc_id, text_id, start, n, phrase): exactly the places where a phrase stands.  Rows of equal doc_id have hits of their
