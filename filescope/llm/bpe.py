@@ -15,6 +15,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from filescope.llm.common import batched, kept, table, worker
 #: Texts of more characters are encoded as a tree of leaves of so many.
 LEAF_CHARS = 65_536
 #: Pieces that a worker remembers, with and without what they decode to; it starts anew beyond, which bounds its memory.
-SHOWN_PIECES, CACHE_PIECES = 120_000, 600_000
+SHOWN_PIECES, CACHE_PIECES = 120_000, 250_000
 #: Characters for which Python's and the library's classes, case and normal forms agree; other texts go to the library whole.
 SAFE = re.compile("[\\t\\n\\r -~¡-©«¬®-±´¶-¸»¿-įı-ňŊ-ž‐-‧‰-⁞€]*")
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ňŊ-ž"
@@ -51,16 +52,19 @@ class _Learned(dict):
         return ids
 
 
+def _tokenizer(said: dict):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(json.dumps(said | {"truncation": None, "padding": None}))
+
+
 class Codec:
     """A tokenizer file with a cache of encoded pieces.  encode() gives what the library gives for the whole text."""
 
     def __init__(self, path: str, decode: bool = False):
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as f:
-            said = json.load(f)
-        self.whole = Tokenizer.from_str(json.dumps(said | {"truncation": None, "padding": None}))
-        self.segment = Tokenizer.from_str(json.dumps(said | {"truncation": None, "padding": None, "normalizer": None, "added_tokens": []}))
+        self.path = path
+        said = self._file()
+        self.whole = _tokenizer(said)
         self.model, self.normalizer = self.whole.model, self.whole.normalizer
         specials = sorted((t["content"] for t in said["added_tokens"]), key=len, reverse=True)
         self.special = {t["content"]: t["id"] for t in said["added_tokens"]}
@@ -75,6 +79,15 @@ class Codec:
         self.cache = _Learned(self._learn)
         self.shown: dict[str, str] | None = {} if decode else None
 
+    def _file(self) -> dict:
+        with open(self.path, encoding="utf-8") as f:
+            return json.load(f)
+
+    @cached_property
+    def segment(self):
+        """The tokenizer of what is normalised and holds no special tokens; only long texts need it."""
+        return _tokenizer(self._file() | {"normalizer": None, "added_tokens": []})
+
     def _learn(self, piece: str) -> bytes:
         tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
         if self.shown is not None:

@@ -143,7 +143,7 @@ def lookup(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
             h = _hashed(b["key"].fillna(0).to_numpy("int64"), b["key"].isna().to_numpy(), b["occurrence"].to_numpy("int64"))
             yield b.assign(h=h.view(np.int64))
 
-    asked = keys.select(F.col("key").cast("long").alias("key"), F.col("occurrence").cast("long").alias("occurrence")).mapInPandas(worker(hashes, "bpe"), "key long, occurrence long, h long").withColumn("bucket", _bucket(F.col("h"), buckets))
+    asked = keys.select(F.col("key").cast("long").alias("key"), F.col("occurrence").cast("long").alias("occurrence")).mapInPandas(worker(hashes, "store"), "key long, occurrence long, h long").withColumn("bucket", _bucket(F.col("h"), buckets))
 
     def find(asked: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"key": pd.array([], "Int64"), "occurrence": pd.array([], "int64"), "file": pd.array([], "object"), "begin": pd.array([], "int64"), "n": pd.array([], "int64"), "width": pd.array([], "int32")})
@@ -189,7 +189,7 @@ def read(places: DataFrame, root: str) -> DataFrame:
 
     # whole runs of a file together, so that each is opened seldom; a large file may be read by many tasks
     spread = places.repartition("file", F.floor(F.col("begin") / (1 << 22))).sortWithinPartitions("file", "begin")
-    return spread.mapInPandas(worker(fetch, "bpe"), schema)
+    return spread.mapInPandas(worker(fetch, "store"), schema)
 
 
 def placed(spark: SparkSession, root: str) -> DataFrame:
