@@ -46,9 +46,10 @@ def _projections(dim: int, m: int = PROJECTIONS, seed: int = 7) -> np.ndarray:
 
 def guessed(q: np.ndarray, sample: np.ndarray, k: int, n: int) -> np.ndarray:
     """For each query the inner product that its k-th nearest of n vectors should reach, from a sample of them: what a normal
-    tail promises, but between the sample's best and its own rank for four times as many neighbours."""
+    tail promises for three times as many neighbours, since few queries should have to look again, but between the sample's
+    best and its own rank for four times as many."""
     said = np.sort(q @ sample.T, 1)[:, ::-1]
-    tail = said.mean(1) + said.std(1) * NormalDist().inv_cdf(1 - min(0.5, (k + 3) / max(n, 1)))
+    tail = said.mean(1) + said.std(1) * NormalDist().inv_cdf(1 - min(0.5, 3 * (k + 1) / max(n, 1)))
     rank = min(said.shape[1] - 1, math.ceil(4 * (k + 1) * said.shape[1] / max(n, 1)) - 1)
     return np.maximum(said[:, rank], np.minimum(tail, said[:, 0]))
 
