@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import argparse
-import os
 import re
 import sys
+import time
 
 from filescope.functions.patterns import GlobError, Pattern, try_expand
 
@@ -83,6 +83,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _glob(argv: list[str]) -> int:
+    began = time.monotonic()
     # -G takes the next word as its ref unless that is a flag or looks like a pattern
     for i, a in enumerate(argv):
         if a in ("-G", "--git-changed") and (i + 1 == len(argv) or argv[i + 1].startswith("-") or re.search(r"[*?\[]", argv[i + 1])):
@@ -119,7 +120,7 @@ def _glob(argv: list[str]) -> int:
     if not a.paths:
         cap = 25_000 if a.max_output_tokens is None else _positive(size)(a.max_output_tokens)
         source = "stdin" if a.prefer_from == "-" else a.prefer_from or "scores"
-        sys.stdout.write(document.build(found, options, a.summary, preview, rows, cap, source).fitted())
+        sys.stdout.write(document.build(found, options, a.summary, preview, rows, cap, source, began).fitted())
         return 0
     for name, said in (("summary", a.summary), ("preview", a.preview)):
         if said:
@@ -138,16 +139,22 @@ def _print_paths(found, options, cap: int | None) -> int:
     if gone:
         more = f" (and {len(gone) - 5} more)" if len(gone) > 5 else ""
         print(f"note: {len(gone)} matching file(s) changed since {options.git_changed} were deleted: {', '.join(gone[:5])}{more}", file=sys.stderr)
-    lines = [bytes(r["path_bytes"]) + b"\n" for r in found.entries.select("path_bytes").collect()]
-    total, shown = 0, len(lines)
-    for i, line in enumerate(lines):
-        total += len(line)
-        if cap is not None and total > cap * 7 // 2:
-            shown = i
-            print(f"note: output truncated to {shown} of {len(lines)} paths by --max-output-tokens {cap}; use --max-output-tokens unlimited", file=sys.stderr)
-            break
+    listed = found.entries.select("path_bytes")
+    sys.stdout.flush()
+    if cap is None:
+        for r in listed.toLocalIterator(prefetchPartitions=True):
+            sys.stdout.buffer.write(bytes(r["path_bytes"]) + b"\n")
+        sys.stdout.flush()
+        return 0
+    most = cap * 7 // 2
+    lines = [bytes(r["path_bytes"]) + b"\n" for r in listed.limit(most // 2 + 1).collect()]  # a line has two bytes at least
+    total, shown = 0, 0
+    while shown < len(lines) and (total := total + len(lines[shown])) <= most:
+        shown += 1
+    if shown < len(lines):
+        print(f"note: output truncated to {shown} of {found.entries.count()} paths by --max-output-tokens {cap}; use --max-output-tokens unlimited", file=sys.stderr)
+    sys.stdout.buffer.write(b"".join(lines[:shown]))
     sys.stdout.flush()
-    os.write(sys.stdout.fileno(), b"".join(lines[:shown])) if lines[:shown] else None
     return 0
 
 

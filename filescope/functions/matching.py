@@ -1,15 +1,18 @@
 """Patterns as Spark predicates.
 
 A pattern becomes, in this order of preference: an equality; a regular expression whose stars cannot backtrack; one with few
-wildcards; else a set of live positions moved along each string in a pandas UDF, whose time is linear in pattern and input.
+wildcards; else a set of live positions moved along all strings of a batch at once in a pandas UDF, whose time is linear in
+pattern and input.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -232,14 +235,99 @@ def walk_matches(pattern: PathPattern, path: str, o: MatchOptions = MatchOptions
     return done
 
 
-def _by_udf(test, column: Column) -> Column:
+#: Characters of a batch that are looked at in one go.
+CELLS = 1 << 22
+
+
+class Automaton:
+    """A pattern of less than 64 parts over many strings at once: bit i of a string's number says that part i is live there.
+
+    For each part a character either moves on, stays (stars) or ends it.  Whether a component begins is the same for all parts,
+    so a character has two rows of masks.
+    """
+
+    def __init__(self, pattern: Pattern, o: MatchOptions):
+        self.parts, self.o = pattern.parts, o
+        self.stars = self._bits(lambda p: p == Many())
+        self.deep = self._bits(lambda p: p == Deep())
+        self.longest = max((len(list(run)) for star, run in groupby(self.parts, lambda p: p in (Many(), Deep())) if star), default=0)
+
+    def _bits(self, test) -> np.uint64:
+        return np.uint64(sum(1 << i for i, p in enumerate(self.parts) if test(p)))
+
+    def masks(self, c: str, fresh: bool) -> tuple[np.uint64, np.uint64]:
+        """(parts that c moves on, parts that it leaves where they are)."""
+        fold = not self.o.case_sensitive
+        same = lambda p: isinstance(p, Lit) and (p.char == c or (fold and c.isascii() and p.char.isascii() and p.char.lower() == c.lower()))
+        if fresh and self.o.literal_dot and c == ".":
+            return self._bits(same), np.uint64(0)
+        if self.o.literal_separator and c == "/":
+            return self._bits(same), self.deep
+        one = lambda p: same(p) or p == One() or (isinstance(p, Set) and _holds(p, c, fold))
+        return self._bits(one), self.stars | self.deep
+
+    def _closed(self, live: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """With the parts behind stars that match nothing; ** only where `ends` says that a component begins or the string ends."""
+        through = np.where(ends, self.stars | self.deep, self.stars)
+        for _ in range(self.longest):
+            live = live | ((live & through) << np.uint64(1))
+        return live
+
+    def matches(self, texts: list[str]) -> np.ndarray:
+        """Which of the texts match whole."""
+        out = np.zeros(len(texts), bool)
+        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+        while order:  # of about the same length at a time
+            width = len(texts[order[-1]])
+            n = max(1, min(len(order), CELLS // max(1, width)))
+            rows, order = np.array(order[-n:]), order[:-n]
+            out[rows] = self._block([texts[i] for i in rows], width)
+        return out
+
+    def _block(self, texts: list[str], width: int) -> np.ndarray:
+        length = np.array([len(t) for t in texts])
+        codes = np.frombuffer("".join(t.ljust(width, "\0") for t in texts).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(texts), width)
+        known, at = np.unique(codes, return_inverse=True)
+        at = at.reshape(codes.shape)
+        said = [[self.masks(chr(c), fresh) for c in known] for fresh in (False, True)]
+        table = np.array(said, np.uint64).reshape(2, len(known), 2)
+        end, slash = np.uint64(1 << len(self.parts)), np.append(known == ord("/"), False)
+        fresh = np.ones(len(texts), bool)
+        live = self._closed(np.ones(len(texts), np.uint64), fresh)
+        hit = (length == 0) & ((self._closed(live, length == 0) & end) != 0)
+        rows = np.flatnonzero(length > 0)
+        for j in range(width):
+            rows = rows[(length[rows] > j) & (live[rows] != 0)]
+            if not len(rows):
+                break
+            c = at[rows, j]
+            step = table[fresh[rows].astype(int), c]
+            fresh[rows] = slash[c]
+            last = length[rows] == j + 1
+            now = self._closed(((live[rows] & step[:, 0]) << np.uint64(1)) | (live[rows] & step[:, 1]), fresh[rows] | last)
+            live[rows] = now
+            hit[rows[last]] = (now[last] & end) != 0
+        return hit
+
+
+def _by_udf(tests: Callable[[list[str]], Sequence[bool]], column: Column) -> Column:
+    """A predicate over whole batches.  Null stays null."""
+
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else test(x))
+        there = s.notna()
+        return pd.Series(np.asarray(tests(s[there].tolist()), bool), s.index[there], dtype="boolean").reindex(s.index)
 
     ship(SparkSession.active())
     return F.pandas_udf(run, BooleanType())(column)
 
 
+def all_matches(pattern: Pattern, o: MatchOptions) -> Callable[[list[str]], Sequence[bool]]:
+    """A test of many strings: the automaton where the pattern's parts fit a machine word."""
+    if len(pattern.parts) < 64:
+        return Automaton(pattern, o).matches
+    return lambda texts: [matches(pattern, t, o) for t in texts]
+
+
 def fnmatch(column: Column, pattern: str | Pattern, options: MatchOptions = MatchOptions()) -> Column:  # noqa: B008
     """Predicate: the whole string matches.  Null stays null."""
     p = Pattern.parse(pattern) if isinstance(pattern, str) else pattern
@@ -247,7 +335,7 @@ def fnmatch(column: Column, pattern: str | Pattern, options: MatchOptions = Matc
     if literal is not None and options.case_sensitive:
         return column == F.lit(literal)
     said = regex(p, options)
-    return _by_udf(lambda x: matches(p, x, options), column) if said is None else column.rlike(said)
+    return _by_udf(all_matches(p, options), column) if said is None else column.rlike(said)
 
 
 def walk_match(column: Column, is_dir: Column, pattern: PathPattern, options: MatchOptions, max_depth: int | None = None) -> Column:
@@ -258,7 +346,7 @@ def walk_match(column: Column, is_dir: Column, pattern: PathPattern, options: Ma
     if None not in literal and options.case_sensitive:
         hit = column == F.lit(pattern.root + "/".join(literal))
     elif said is None:
-        hit = _by_udf(lambda x: walk_matches(pattern, x, options), rel)
+        hit = _by_udf(lambda texts: [walk_matches(pattern, t, options) for t in texts], rel)
     else:
         hit = rel.rlike(said)
     lead = pattern.root + "".join(f"{x}/" for x in literal[: pattern.literal_prefix])

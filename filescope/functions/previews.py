@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from filescope.functions import paths
 from filescope.functions.patterns import GlobError
 from filescope.session import ship
 
@@ -43,6 +47,15 @@ def family(path: str) -> str:
     return "hash" if last in HASH_NAMES else _FAMILY.get(m[1] if m else "", "generic")
 
 
+def family_of(path: Column) -> Column:
+    """The same as a column."""
+    ext = paths.extension(F.rtrim(path, F.lit("/")))
+    known = F
+    for name, exts in FAMILY_EXTS.items():
+        known = known.when(ext.isin(exts.split()), F.lit(name))
+    return F.when(paths.name(path).isin(HASH_NAMES), F.lit("hash")).otherwise(known.otherwise(F.lit("generic")))
+
+
 @dataclass(frozen=True)
 class Preview:
     """mode is head (first `a` lines), range (lines a to b, from 1) or code (`a` lines from the first line of code on)."""
@@ -74,31 +87,72 @@ def lines(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"\r?\n"))
 
 
-def code_lines(texts: list[str], syntax: str, n: int) -> tuple[int, list[str]]:
-    """(number of the first line, lines): n lines from the first that is neither blank nor comment nor #!, without blank ones at
-    the end; the first n lines of a text that has no such line."""
-    marks, pairs = FAMILIES[syntax]
-    until: str | None = None
-    for i, line in enumerate(texts):
-        rest = line.strip()
-        if until is None:
-            if not rest or (i == 0 and rest.startswith("#!") and not rest.startswith("#![")) or rest.startswith(tuple(marks)):
-                continue
-            found = next(((o, c) for o, c in pairs if rest.startswith(o)), None)
-            if found:
-                until, rest = found[1], rest[len(found[0]) :]
-        if until is not None:
-            before, closed, rest = rest.partition(until)
-            if not closed:
-                continue
-            until = None
-            if not rest.strip():
-                continue
-        out = texts[i : i + n]
-        while len(out) > 1 and not out[-1].strip():
-            out.pop()
-        return i + 1, out
-    return 1, texts[:n]
+class CodeStart:
+    """Takes lines one by one and says when code begins: at the first that is neither blank nor comment nor #!."""
+
+    def __init__(self, syntax: str):
+        self.marks, self.pairs = FAMILIES[syntax]
+        self.until: str | None = None
+        self.first = True
+
+    def begins(self, line: str) -> bool:
+        rest, first, self.first = line.strip(), self.first, False
+        if self.until is None:
+            if not rest or (first and rest.startswith("#!") and not rest.startswith("#![")) or rest.startswith(tuple(self.marks)):
+                return False
+            self.until, opened = next(((close, opens) for opens, close in self.pairs if rest.startswith(opens)), (None, ""))
+            if self.until is None:
+                return True
+            rest = rest[len(opened) :]
+        _, closed, rest = rest.partition(self.until)
+        if not closed:
+            return False
+        self.until = None
+        return bool(rest.strip())
+
+
+def code_lines(texts: Iterable[str], syntax: str, n: int) -> tuple[int, list[str]]:
+    """(number of the first line, lines): n lines from the first line of code on, without blank ones at the end; the first n
+    lines of a text that has no such line.  Reads no further than it has to."""
+    start, head = CodeStart(syntax), []
+    texts = iter(texts)
+    for i, line in enumerate(texts, 1):
+        if start.begins(line):
+            out = [line, *islice(texts, n - 1)]
+            while len(out) > 1 and not out[-1].strip():
+                out.pop()
+            return i, out
+        if len(head) < n:
+            head.append(line)
+    return 1, head
+
+
+def file_lines(stream: BinaryIO) -> Iterator[str]:
+    """Lines of an open file without their ends, very long ones in pieces."""
+    while line := stream.readline(LINE_BYTES):
+        yield (line.removesuffix(b"\n").removesuffix(b"\r") if line.endswith(b"\n") else line).decode("utf-8", "replace")
+
+
+def file_excerpt(stream: BinaryIO, path: str, preview: Preview, most: int | None = None) -> tuple[int, list[str]] | None:
+    """(number of the first line, lines) of an open file, or None if it looks binary.  A line that would end a block ends the
+    excerpt; with most, lines stop behind so many bytes."""
+    if b"\0" in stream.read(SNIFF_BYTES):
+        return None
+    stream.seek(0)
+    found = file_lines(stream)
+    if preview.mode == "code":
+        start, lines = code_lines(found, family(path), preview.a)
+    elif preview.mode == "range":
+        start, lines = preview.a, list(islice(found, preview.a - 1, preview.b))
+    else:
+        start, lines = 1, list(islice(found, preview.a))
+    out, size = [], 0
+    for line in lines:
+        if line == END_OF_BLOCK or (most is not None and size > most):
+            break
+        out.append(line)
+        size += len(line.encode()) + 1
+    return start, out
 
 
 def excerpt(path: Column, text: Column, preview: Preview) -> Column:

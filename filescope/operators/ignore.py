@@ -91,32 +91,37 @@ def ignored(files: Sequence[IgnoreFile], path: Column, is_dir: Column) -> Column
     return F.exists(ancestors(path), lambda a: _decision(files, a["path"], ~a["last"] | is_dir))
 
 
-RULES = "anchor string, depth int, seq int, regex string, negated boolean, dir_only boolean, anchored boolean"
+RULES = "anchor string, depth int, seq int, regex string, negated boolean, dir_only boolean, anchored boolean, prefix string, stops array<string>"
 
 
-def rule_table(spark, files: Sequence[IgnoreFile]) -> DataFrame:
-    """Rules as a table: precedence is (depth, seq), the largest decides."""
+def rule_table(spark, files: Sequence[IgnoreFile]) -> DataFrame | None:
+    """Rules as a table: precedence is (depth, seq), the largest decides.  None if some rule is no regular expression."""
     rows = [
-        (f.anchor, f.anchor.count("/") + bool(f.anchor), i * 10_000 + j, regex(r.pattern, _OPTIONS), r.negated, r.directories, r.anchored)
+        (f.anchor, f.anchor.count("/") + bool(f.anchor), i * 10_000 + j, regex(r.pattern, _OPTIONS), r.negated, r.directories, r.anchored, f.prefix, list(f.stops))
         for i, f in enumerate(files)
         for j, r in enumerate(f.rules)
     ]
-    return spark.createDataFrame(rows, RULES)
+    return None if any(r[3] is None for r in rows) else spark.createDataFrame(rows, RULES)
 
 
-def decide_by_table(entries: DataFrame, rules: DataFrame) -> DataFrame:
-    """(path, ignored) where rules are a table too large for one expression: the last match by precedence, on each ancestor.
+def decide_by_table(entries: DataFrame, rules: DataFrame, spared: Column | None = None) -> DataFrame:
+    """(path, ignored) where rules are a table too large for one expression: the last match by precedence, on each ancestor
+    but the first `spared` ones.
 
     Rules are broadcast if they are few; beyond, each ancestor meets the rules of the directories above it by an equal join.
     """
-    steps = entries.select("path", "is_dir", F.explode(ancestors(F.col("path"))).alias("a")).select("path", F.col("a.path").alias("at"), (~F.col("a.last") | F.col("is_dir")).alias("dir"))
+    spared = F.lit(0) if spared is None else spared
+    steps = entries.select("path", "is_dir", spared.alias("spared"), F.posexplode(ancestors(F.col("path"))).alias("nth", "a")).filter("nth >= spared")
+    steps = steps.select("path", F.col("a.path").alias("at"), (~F.col("a.last") | F.col("is_dir")).alias("dir"))
     up = F.concat(F.array(F.lit("")), F.transform(F.filter(ancestors(F.col("at")), lambda a: ~a["last"]), lambda a: a["path"]))
     steps = steps.select("path", "at", "dir", F.explode(up).alias("anchor"))
     few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
     met = steps.join(F.broadcast(rules) if few else rules, "anchor")
     rel = F.when(F.col("anchor") == "", F.col("at")).otherwise(F.expr("substring(at, length(anchor) + 2)"))
+    rel = F.when(F.col("prefix") == "", rel).otherwise(F.concat("prefix", F.lit("/"), rel))
     text = F.when(F.col("anchored"), rel).otherwise(F.substring_index("at", "/", -1))
-    hit = met.withColumn("text", text).filter("rlike(text, regex) AND (dir OR NOT dir_only)")
+    inside = F.exists("stops", lambda s: F.col("at").startswith(F.concat(s, F.lit("/"))))
+    hit = met.withColumn("text", text).filter("rlike(text, regex) AND (dir OR NOT dir_only)").filter(~inside)
     each = hit.groupBy("path", "at").agg(F.max_by("negated", F.struct("depth", "seq")).alias("back"))
     lost = each.filter("not back").select("path").distinct().withColumn("ignored", F.lit(True))
     return entries.select("path").join(lost, "path", "left").select("path", F.coalesce("ignored", F.lit(False)).alias("ignored"))

@@ -50,37 +50,54 @@ def ignored_below(files: Sequence[IgnoreFile], path: Column, is_dir: Column, spa
     return F.exists(F.slice(steps, spared + 1, F.greatest(F.size(steps) - spared, F.lit(0))), lambda a: _decision(list(files)[::-1], a["path"], ~a["last"] | is_dir))
 
 
+def spared_by(patterns: Sequence[PathPattern], hits: Sequence[Column]) -> Column:
+    """How many components of a path the patterns that hit it name literally: the fewest of them."""
+    if len(hits) < 2:
+        return F.lit(patterns[0].literal_prefix if patterns else 0)
+    return F.least(*[F.when(h, F.lit(p.literal_prefix)) for h, p in zip(hits, patterns, strict=True)])
+
+
 def decision(
     patterns: Sequence[PathPattern],
     options: MatchOptions,
     max_depth: int | None = None,
     exclude: Sequence[Pattern] = (),
-    ignores: Sequence[IgnoreFile] | None = None,
+    ignores: Sequence[IgnoreFile] | Column | None = None,
     only_dirs: bool = False,
     kinds: Sequence[str] = (),
     changed: Column | None = None,
     predicate: Column | None = None,
+    tracked: Column | None = None,
+    whole: Column | None = None,
 ) -> Column:
     """keep, hidden, gitignore, exclude, kind, git_changed, predicate, or null for what the patterns do not ask for.
 
-    ignores None means that ignore rules are off; a list, even an empty one, also leaves out .git.  Rules apply in this
-    order, and each entry counts for the first that leaves it out.
+    ignores None means that ignore rules are off; a list, even an empty one, also leaves out .git, and so does a column that
+    says which entries rules ignore.  Dot-names that are tracked are not hidden.  Where `whole` is false, names are no text
+    and no exclude pattern matches.  Rules apply in this order, and each entry counts for the first that leaves it out.
     """
     path, is_dir = F.col("path"), F.col("is_dir")
     hits = matched(patterns, options, max_depth)
     hit = any_of(hits)
     out = F
     if options.literal_dot:
-        shown = any_of(matched(patterns, MatchOptions(options.case_sensitive, options.literal_separator, False), max_depth))
+        bare = matched(patterns, MatchOptions(options.case_sensitive, options.literal_separator, False), max_depth)
+        shown = any_of(bare)
+        if tracked is not None:
+            known = F.coalesce(tracked, F.lit(False))
+            hits = [h | (known & b) for h, b in zip(hits, bare, strict=True)]
+            hit = any_of(hits)
         out = out.when(~hit & shown & ~path.rlike(r"(^|/)\.git(/|\z)"), F.lit("hidden"))
     out = out.when(~hit, F.lit(None).cast("string"))
     if ignores is not None:
-        spared = F.least(*[F.when(h, F.lit(p.literal_prefix)) for h, p in zip(hits, patterns, strict=True)]) if len(hits) > 1 else F.lit(patterns[0].literal_prefix if patterns else 0)
+        spared = spared_by(patterns, hits)
         names = F.split(path, "/")
         git = F.array_contains(F.slice(names, spared + 1, F.greatest(F.size(names) - spared, F.lit(0))), ".git")
-        out = out.when(git, F.lit(None).cast("string")).when(ignored_below(ignores, path, is_dir, spared), F.lit("gitignore"))
+        lost = F.coalesce(ignores, F.lit(False)) if isinstance(ignores, Column) else ignored_below(ignores, path, is_dir, spared)
+        out = out.when(git, F.lit(None).cast("string")).when(lost, F.lit("gitignore"))
     if exclude:
-        out = out.when(excluded(exclude, path, is_dir, options.case_sensitive), F.lit("exclude"))
+        left = excluded(exclude, path, is_dir, options.case_sensitive)
+        out = out.when(left if whole is None else left & whole, F.lit("exclude"))
     if only_dirs:
         out = out.when(~is_dir, F.lit(None).cast("string"))
     if kinds:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filescope.functions import paths, previews
@@ -275,7 +275,7 @@ _add("budget_remaining", lambda s, d: budget.stop(_entries(s, d), prefer.keys("p
      _sql(" SELECT greatest(80000 - sum(tokens_est), 0)::BIGINT AS remaining FROM run WHERE run_tokens <= 80000", RUN))
 _add("skipped_section", lambda s, d: report.skipped(budget.fit(_entries(s, d), prefer.keys("path"), tokens=80_000).filter("decision = 'skip'"), 50).select("path", "size", "kind", "tokens_est"),
      _sql(" SELECT path, size, kind, docs.tokens_est FROM docs JOIN f USING (path) WHERE NOT kept AND i > 0 ORDER BY docs.tokens_est DESC, string_split(path, '/') LIMIT 50", FIT).replace("WITH ", "WITH RECURSIVE ", 1))
-_add("path_order", lambda s, d: _entries(s, d).select("path", F.row_number().over(Window.orderBy(paths.order_key(F.col("path")))).alias("i")), _sql(" SELECT path, row_number() OVER (ORDER BY string_split(path, '/'))::INT AS i FROM docs"))
+_add("path_order", lambda s, d: budget.running(_entries(s, d).select("path"), prefer.keys("path"), {}).select("path", F.col("position").cast("bigint").alias("i")), _sql(" SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS i FROM docs"))
 _add("output_cap", lambda s, d: report.capped_paths(_entries(s, d), 2_000).select("path"), _sql(" SELECT path FROM (SELECT path, sum(octet_length(encode(path)) + 1) OVER (ORDER BY string_split(path, '/') ROWS UNBOUNDED PRECEDING) AS b FROM docs) WHERE b <= 7000"))
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filescope.functions import paths, previews
 from filescope.plans import report as accounts
 from filescope.plans.query import Options, Report
+from filescope.session import ship
 
 #: Fixed values of the format.
 KIND_TYPE = f"enum({','.join(paths.KINDS)})"
@@ -30,6 +35,8 @@ LEFT_OUT = (
     ("non_utf8_names", "paths that aren't UTF-8, shown with U+FFFD here; -p prints the exact bytes"),
 )
 LEAST_LINES = 3
+#: Bytes that a record line has at least: a name, a kind, a flag, what is between and its end.
+LEAST_RECORD = 10
 
 
 def tokens_of(text: str) -> int:
@@ -84,6 +91,9 @@ class Document:
     blocks: list[Block] | None = None
     binaries: int = 0
     cap: int | None = None
+    #: Records and excerpts that are over the cap in any case and were never read.
+    beyond: int = 0
+    blocks_beyond: int = 0
 
     def _lost(self, n: int, more: str = "") -> list[str]:
         return [f"#truncated reason=output_budget{more} dropped={n} budget={self.cap or 0} {RECOVER}"]
@@ -94,10 +104,10 @@ class Document:
         out += [f"#sort {SORTS[self.order]}"] if self.order else []
         out += [f"#limit {self.limit}"] if self.limit is not None else []
         out += [f"#truncated reason={self.stopped}"] if self.stopped else []
-        out += self._lost(cuts.records) if cuts.records else []
+        out += self._lost(cuts.records + self.beyond) if cuts.records else []
         out += self.records[: len(self.records) - cuts.records]
         if self.summary is not None:
-            cut = [n for n, on in (("records", cuts.records), ("skipped", cuts.skipped), ("preview", cuts.lines is not None or cuts.blocks)) if on]
+            cut = [n for n, on in (("records", cuts.records), ("skipped", cuts.skipped), ("preview", cuts.lines is not None or cuts.blocks or self.blocks_beyond)) if on]
             note = [("output_truncated", ",".join(cut), f"output capped at --max-output-tokens {self.cap}; use --max-output-tokens unlimited")] if cut else []
             at = next((i for i, r in enumerate(self.summary) if r[0] in {k for k, _ in LEFT_OUT}), len(self.summary))
             out += ["---", "§summary", "#schema key:str:id value:str note:str?", *("\t".join(r) for r in [*self.summary[:at], *note, *self.summary[at:], *self.kinds])]
@@ -111,8 +121,8 @@ class Document:
         said = "".join(f"{x}\n" for x in out)
         if self.blocks is not None:
             head = ["---", "§preview", *([f"#context {self.binaries} binary file(s) not previewed"] if self.binaries else [])]
-            if cuts.lines is not None or cuts.blocks:
-                head += self._lost(cuts.blocks, f" lines_per_file={cuts.lines}" if cuts.lines is not None else "")
+            if cuts.lines is not None or cuts.blocks or self.blocks_beyond:
+                head += self._lost(cuts.blocks + self.blocks_beyond, f" lines_per_file={cuts.lines}" if cuts.lines is not None else "")
             said += "".join(f"{x}\n" for x in head) + "".join(b.text(cuts.lines) for b in self.blocks[: len(self.blocks) - cuts.blocks])
         return said
 
@@ -138,56 +148,59 @@ class Document:
         return self.text(cuts)
 
 
-def _blocks(rows: list, preview: previews.Preview, quoted: dict[str, str], languages: dict[str, str]) -> tuple[list[Block], int]:
-    """Excerpts of files, read line by line up to what is shown; files that are or look binary are counted."""
-    out, binaries = [], 0
-    for r in rows:
-        if r["is_dir"]:
-            continue
-        if r["kind"] == "binary":
-            binaries += 1
-            continue
-        try:
-            with open(bytes(r["path_bytes"]), "rb") as f:
-                if b"\0" in f.read(previews.SNIFF_BYTES):
-                    binaries += 1
-                    continue
-                f.seek(0)
-                most = {"head": preview.a, "range": preview.b}.get(preview.mode)
-                found = []
-                while (most is None or len(found) < most) and (line := f.readline(previews.LINE_BYTES)):
-                    line = line.removesuffix(b"\n").removesuffix(b"\r") if line.endswith(b"\n") else line
-                    found.append(line.decode("utf-8", "replace"))
-        except OSError:
-            continue
-        start, lines = (preview.a, found[preview.a - 1 :]) if preview.mode == "range" else (1, found)
-        if preview.mode == "code":
-            start, lines = previews.code_lines(found, previews.family(r["path"]), preview.a)
-        if previews.END_OF_BLOCK in lines:
-            lines = lines[: lines.index(previews.END_OF_BLOCK)]
-        if lines:
-            out.append(Block(quoted[r["path"]], languages.get(r["path"]), start, tuple(lines)))
-    return out, binaries
-
-
-def build(found: Report, options: Options, summary: bool = False, preview: previews.Preview | None = None, skipped_rows: int | None = 50, cap: int | None = 25_000, source: str = "scores") -> Document:
-    """The document of a report.  Only listed rows come to the driver."""
+def excerpts(entries: DataFrame, preview: previews.Preview, most: int | None = None) -> DataFrame:
+    """(path, start, lines, binary) of the files of entries, read where the entries are; nothing of files that cannot be read.
+    Each is read up to what is shown, and with most no further than so many bytes behind its first line shown."""
+    ship(entries.sparkSession)
+    base = os.fsencode(os.getcwd())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path, raw, kind in zip(b["path"], b["path_bytes"], b["kind"], strict=True):
+                found = None
+                if kind != "binary":
+                    try:
+                        with open(os.path.join(base, bytes(raw)), "rb") as f:
+                            found = previews.file_excerpt(f, path, preview, most)
+                    except OSError:
+                        continue
+                if found is None or found[1]:
+                    out.append((path, *(found or (None, None)), found is None))
+            yield pd.DataFrame(out, columns=["path", "start", "lines", "binary"]).astype({"start": "Int32"})
+
+    return entries.filter(~F.col("is_dir")).select("path", "path_bytes", "kind").mapInPandas(run, "path string, start int, lines array<string>, binary boolean")
+
+
+def build(found: Report, options: Options, summary: bool = False, preview: previews.Preview | None = None, skipped_rows: int | None = 50, cap: int | None = 25_000, source: str = "scores", started: float | None = None) -> Document:
+    """The document of a report.  Of listed rows and excerpts only what can be within the cap comes to the driver."""
     order = "scores" if options.ranking is not None else options.prefer
     extra = {"recent": lambda: paths.datetime_text(F.col("modified")), "scores": lambda: paths.number_text(F.col("score"))}.get(order)
     stat = not options.no_stat
+    most = None if cap is None else cap * 7 // 2
     lined = accounts.records(found.entries, stat, extra() if extra else None)
-    names = [F.col("path"), F.col("is_dir"), F.col("kind"), *([F.col("path_bytes")] if "path_bytes" in lined.columns else [])]
-    rows = lined.select("record", *names, paths.attribute(F.col("path")).alias("quoted"), paths.language(F.col("path")).alias("language")).collect()
-    left = accounts.skipped(found.skipped, skipped_rows).select(F.concat_ws("\t", paths.field(F.col("path")), *([F.col("size").cast("string")] if stat else []), "kind", *([F.col("tokens_est").cast("string")] if stat else [])).alias("line"))
+    shown = lined.select("record", "path", paths.attribute(F.col("path")).alias("quoted"), paths.language(F.col("path")).alias("language"))
+    rows = (shown if most is None else shown.limit(most // LEAST_RECORD + 1)).collect()
+    total = len(rows) if most is None or len(rows) <= most // LEAST_RECORD else found.entries.count()
+    left = accounts.skipped(found.skipped, skipped_rows if most is None else min(skipped_rows or most, most // LEAST_RECORD + 1)).select(F.concat_ws("\t", paths.field(F.col("path")), *([F.col("size").cast("string")] if stat else []), "kind", *([F.col("tokens_est").cast("string")] if stat else [])).alias("line"))
     fitting = options.fit and bool(options.token_budget or options.byte_budget)
     lost = found.skipped.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("tokens_est"), F.lit(0)).alias("t"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first() if fitting else {"n": 0, "t": 0, "b": 0}
     gone = [r[0] for r in found.deleted.orderBy("path").select(F.concat_ws("\t", paths.field(F.col("path")), "kind")).collect()]
-    doc = Document(stat, order if options.sort or order != "path" else None, options.limit, found.stopped_early, [r["record"] for r in rows], cap=cap, deleted=gone, since=options.git_changed or "the ref")
-    doc.skipped, doc.skipped_total, doc.show_skipped = [r[0] for r in left.collect()] if lost["n"] else [], lost["n"], skipped_rows != 0
+    doc = Document(stat, order if options.sort or order != "path" else None, options.limit, found.stopped_early, [r["record"] for r in rows], cap=cap, deleted=gone, since=options.git_changed or "the ref", beyond=total - len(rows))
+    doc.skipped, doc.skipped_total, doc.show_skipped = [r[0] for r in left.collect()] if lost["n"] and skipped_rows != 0 else [], lost["n"], skipped_rows != 0
     if preview is not None:
-        doc.blocks, doc.binaries = _blocks(rows, preview, {r["path"]: r["quoted"] for r in rows}, {r["path"]: r["language"] for r in rows})
+        read = excerpts(found.entries, preview, most)
+        if doc.beyond:  # the listing alone is over the cap: of excerpts only their numbers are told
+            counts = read.agg(F.count_if("binary").alias("binaries"), F.count_if(~F.col("binary")).alias("blocks")).first()
+            doc.blocks, doc.binaries, doc.blocks_beyond = [], counts["binaries"], counts["blocks"]
+        else:
+            got = {r["path"]: r for r in read.collect()}
+            doc.blocks = [Block(r["quoted"], r["language"], x["start"], tuple(x["lines"])) for r in rows if (x := got.get(r["path"])) and not x["binary"]]
+            doc.binaries = sum(r["binary"] for r in got.values())
     if summary:
         doc.summary, doc.kinds = _summary(found, options, order, lost, fitting, len(gone), doc.binaries, source)
+        if started is not None and (took := int((time.monotonic() - started) * 1000)) > 0:
+            doc.summary.append(("wall_time_ms", str(took)))
     return doc
 
 

@@ -15,10 +15,14 @@ from pyspark.sql import functions as F
 from filescope.functions.matching import MatchOptions, fnmatch
 from filescope.functions.patterns import GlobError, PathPattern, Pattern, expand, try_expand
 from filescope.operators import budget, prefer, prune
+from filescope.operators.ignore import decide_by_table, rule_table
 from filescope.operators.ruleset import Ruleset
 from filescope.plans import report
 from filescope.sources import filesystem, git, scores
 
+#: Ignore rules up to which they are one expression; more become a table that entries are joined with.
+EXPRESSION_RULES = 64
+
 
 @dataclass
 class Options:
@@ -86,9 +90,9 @@ class Report:
         return {r["decision"]: r["n"] for r in report.decision_counts(self.decided).collect()}
 
 
-def _start(p: PathPattern) -> tuple[str, int]:
+def _start(p: PathPattern, case_sensitive: bool = True) -> tuple[str, int]:
     """The directory a walk of the pattern begins in, and how deep it goes below; 0 is all the way."""
-    lead = [c.literal() for c in p.components[: min(p.literal_prefix, len(p.components) - 1)]]
+    lead = [c.literal() for c in p.components[: min(p.literal_prefix, len(p.components) - 1)]] if case_sensitive else []
     return p.root + "/".join(lead), 0 if any(c.recursive for c in p.components) else max(1, len(p.components) - len(lead))
 
 
@@ -109,24 +113,29 @@ def run(spark: SparkSession, options: Options, catalog: DataFrame | None = None,
     none = spark.createDataFrame([], "path string, kind string, message string")
     ignores, nested, links, gone = None, 0, 0, spark.createDataFrame([], "path string, kind string")
     entries, errors = catalog, none
-    if options.git_changed is not None and changed is None:
-        changed, gone = _changed(spark, options)
     if entries is None:
         entries, errors, ignores, nested, links = _walked(spark, options, patterns)
         if options.stop_on_error and (first := errors.head(1)):
             raise RuntimeError(f"{first[0]['path']}: {first[0]['message']}")
+        if options.git_changed is not None and changed is None:
+            changed, gone = _changed(spark, options, entries)
     elif options.gitignore:
         ignores = []
+    tracked = F.col("tracked") if "tracked" in entries.columns else None
+    whole = F.encode("path", "UTF-8") == F.col("path_bytes") if "path_bytes" in entries.columns else None
+    if ignores and sum(len(f.rules) for f in ignores) > EXPRESSION_RULES and (table := rule_table(spark, ignores)) is not None:
+        hits = prune.matched(patterns, MatchOptions(options.case_sensitive), options.max_depth)
+        told = decide_by_table(entries.select("path", "is_dir").filter(prune.any_of(hits)), table, prune.spared_by(patterns, hits)).distinct()
+        entries, ignores = entries.join(told.withColumnRenamed("ignored", "__ignored"), "path", "left"), F.col("__ignored")
     flag = None
     if changed is not None:
         entries = entries.join(changed.select("path", F.lit(True).alias("__changed")).distinct(), "path", "left")
         flag = F.coalesce(F.col("__changed"), F.lit(False))
-    said = prune.decision(patterns, match, options.max_depth, exclude, ignores, options.only_dirs, options.kinds, flag, predicate) if patterns else F.lit(None).cast("string")
-    decided = entries.withColumn("decision", said).filter("decision is not null").drop("__changed")
+    said = prune.decision(patterns, match, options.max_depth, exclude, ignores, options.only_dirs, options.kinds, flag, predicate, tracked, whole) if patterns else F.lit(None).cast("string")
+    decided = entries.withColumn("decision", said).filter("decision is not null").drop("__changed", "__ignored", "tracked")
     kept = decided.filter("decision = 'keep'").drop("decision").dropDuplicates(["path"])
     if options.ranking is not None:
-        lines = spark.createDataFrame([(x,) for x in options.ranking.split("\n")], "value string")
-        kept = prefer.scored(kept, scores.ranking(scores.checked(scores.parse(lines)), options.root or None))
+        kept = _ranked(spark, kept, options, catalog is None)
     order = prefer.keys("scores" if options.ranking is not None else options.prefer)
     budgets = {"tokens": options.token_budget, "size": options.byte_budget, "limit": options.limit}
     skipped, reason = kept.limit(0), None
@@ -144,64 +153,77 @@ def run(spark: SparkSession, options: Options, catalog: DataFrame | None = None,
     return Report(ordered, skipped, decided, errors, gone, reason, links, nested)
 
 
+def _ranked(spark: SparkSession, kept: DataFrame, options: Options, on_disk: bool) -> DataFrame:
+    """kept with the ranking's score.  Relative paths of the ranking count as given and below the root; on disk, absolute ones
+    are those of the same file, however the walk and the ranking spell it."""
+    found = scores.checked(scores.parse(scores.numbered(spark, options.ranking)))
+    out = prefer.scored(kept, scores.ranking(found, options.root or None))
+    absolute = found.filter(F.col("path").startswith("/"))
+    if not on_disk or absolute.isEmpty():
+        return out
+    files = filesystem.real(absolute, "path").groupBy("real").agg(F.max("score").alias("same"))
+    named = filesystem.real(kept.select("path", "path_bytes")).join(files, "real").select("path", "same")
+    return out.join(named, "path", "left").withColumn("score", F.coalesce("score", "same")).drop("same")
+
+
 def _walked(spark: SparkSession, options: Options, patterns: list[PathPattern]):
-    """(entries, errors, ignore files, nested repositories left out, links not entered) of the file system."""
+    """(entries, errors, ignore files, nested repositories left out, links not entered) of the file system.
+
+    Patterns without a wildcard are looked up by name; only the others need a listing.
+    """
+    named = [p.root + "/".join(x) for p in patterns if None not in (x := [c.literal() for c in p.components])] if options.case_sensitive and not options.git_files else []
     starts: dict[str, int] = {}
     for p in patterns:
-        at, depth = _start(p)
+        if named and all(c.literal() is not None for c in p.components):
+            continue
+        at, depth = _start(p, options.case_sensitive)
         starts[at] = 0 if not depth or not starts.get(at, 1) else max(depth, starts.get(at, 0))
     roots = _outermost(starts)
     if options.git_files:
         return _git_listed(spark, options, roots)
     levels = 0 if not all(starts[r] for r in roots) else max((starts[r] for r in roots), default=0)
     wanted = any(c.literal() == ".git" for p in patterns for c in p.components)
-    entries, errors = filesystem.listing(spark, roots, not options.no_stat, options.follow, () if wanted or not options.gitignore else (".git",), levels)
-    entries = entries.cache()
+    errors = spark.createDataFrame([], "path string, kind string, message string")
+    entries = filesystem.named(spark, named, not options.no_stat) if named else None
+    if roots:
+        listed, errors = filesystem.listing(spark, roots, not options.no_stat, options.follow, () if wanted or not options.gitignore else (".git",), levels, not options.skip_nested_repos)
+        entries = listed if entries is None else listed.unionByName(entries).dropDuplicates(["path_bytes"])
+    entries = (filesystem.named(spark, []) if entries is None else entries).cache()
     ignores, nested = None, 0
-    repos = {r["path"] for r in entries.filter("repo").select("path").collect()}
-    if options.skip_nested_repos and repos:
+    repos = {r["path"] for r in entries.filter("repo").select("path").collect()} if options.gitignore or options.skip_nested_repos else set()
+    if options.skip_nested_repos:
         nested = len(repos)
-        inside = F.lit(False)
-        for r in repos:
-            inside = inside | F.col("path").startswith(r + "/")
-        entries = entries.filter(~inside)
     if options.gitignore:
-        folders = [r["path"] for r in entries.filter(F.col("is_dir") & (~F.col("is_symlink") | F.lit(options.follow))).select("path").collect()]
+        # only directories that hold rules, or begin a repository, come to the driver
+        ruled = entries.filter(F.col("path").rlike(r"(^|/)\.gitignore\z")).select(F.regexp_replace("path", r"/?\.gitignore\z", "").alias("at"))
+        folders = sorted({r["at"] for r in ruled.collect()} | repos)
         ignores = [f for root in roots or [""] for f in git.ignore_files(root, [d for d in folders if not root or d.startswith(root.rstrip("/") + "/")], repos)]
     links = 0 if options.follow or levels else entries.filter("is_symlink and is_dir").count()
     return entries, errors, ignores, nested, links
 
 
 def _git_listed(spark: SparkSession, options: Options, roots: list[str]):
-    rows = []
-    for root in roots:
-        for path, _ in git.files(root or ".", not options.skip_nested_repos):
-            rows.append((os.path.join(root, path),))
-    listed = spark.createDataFrame(rows, "path string").distinct()
-    errors = spark.createDataFrame([], "path string, kind string, message string")
-    sized = []
-    for (path,) in {r for r in rows}:
-        found = os.stat(path) if os.path.exists(path) else None
-        sized.append((path, found.st_size if found and not options.no_stat else 0, os.path.islink(path), found.st_mtime if found and not options.no_stat else None))
-    frame = spark.createDataFrame(sized, "path string, size bigint, is_symlink boolean, mtime double")
-    entries = listed.join(frame, "path").select(
-        "path", F.encode("path", "UTF-8").alias("path_bytes"), "size", report.paths.tokens(F.col("size")).alias("tokens_est"), F.lit(False).alias("is_dir"), "is_symlink",
-        F.col("mtime").cast("timestamp").alias("modified"), report.paths.kind(F.col("path")).alias("kind"), F.lit(False).alias("repo"),
-    )
-    return entries, errors, None, 0, 0
-
-
-def _changed(spark: SparkSession, options: Options) -> tuple[DataFrame, DataFrame]:
-    """(path) of changed files and (path, kind) of those that are gone, spelled as the walk spells paths."""
+    found = {os.path.join(root, path): tracked for root in roots for path, tracked in git.files(root or ".", not options.skip_nested_repos)}
+    listed = spark.createDataFrame([(os.fsencode(p), t) for p, t in found.items()], "path_bytes binary, tracked boolean")
+    entries = filesystem.named(spark, list(found), not options.no_stat).filter("not is_dir or is_symlink").withColumn("is_dir", F.lit(False))
+    return entries.join(listed, "path_bytes").cache(), spark.createDataFrame([], "path string, kind string, message string"), None, 0, 0
+
+
+def _changed(spark: SparkSession, options: Options, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path) of entries that changed, spelled as the walk spells them, and (path, kind) of changed files that are gone."""
     found = git.changed(options.root or ".", options.git_changed)
     here = os.path.realpath(".")
     absolute = any(options.rooted(p).startswith("/") for p in options.patterns)
-    spelled = [(p if absolute else os.path.relpath(p, here), os.path.lexists(p)) for p in found]
-    frame = spark.createDataFrame(spelled or [("", False)], "path string, there boolean").filter("path <> ''")
+    there = [(os.path.basename(p).encode("utf-8", "replace").decode(), os.fsencode(os.path.realpath(p))) for p in found if os.path.lexists(p)]
+    files = spark.createDataFrame(there, "name string, real binary")
+    alike = entries.withColumn("name", F.substring_index("path", "/", -1)).join(files.select("name").distinct(), "name", "left_semi").select("path", "path_bytes")
+    same = filesystem.real(alike).join(files, "real", "left_semi").select("path")
+    lost = [p if absolute else os.path.relpath(p, here) for p in found if not os.path.lexists(p)]
+    gone = spark.createDataFrame([(p,) for p in lost], "path string")
     match = MatchOptions(literal_separator=True, literal_dot=not options.hidden)
     hit = prune.any_of([fnmatch(F.col("path"), Pattern.parse(options.rooted(x)), match) for p in options.patterns for x in expand(p)])
-    gone = frame.filter(~F.col("there") & hit).select("path", report.paths.kind(F.col("path")).alias("kind"))
-    return frame.filter("there").select("path"), gone.filter(F.col("kind").isin(*options.kinds)) if options.kinds else gone
+    gone = gone.filter(hit).select("path", report.paths.kind(F.col("path")).alias("kind"))
+    return same, gone.filter(F.col("kind").isin(*options.kinds)) if options.kinds else gone
 
 
 def walk_rules(spark: SparkSession, rules: Ruleset, root: str, options: Options | None = None) -> DataFrame:

@@ -6,15 +6,18 @@
 Unlike Spark's file sources it lists directories, dot-names and names that are not UTF-8.  Options: roots (one a line, "" is
 the working directory), stat (false leaves sizes and times out), follow (true enters symbolic links to directories),
 skip (names that are neither listed nor entered, one a line), levels (how deep to list below a root, 0 for all), depth (of
-parallel subtrees below each root, default 1), base (the directory that relative roots are in).
+parallel subtrees below each root, default 1), repos (skip leaves the inside of repositories below the roots out), base (the
+directory that relative roots are in).
 """
 
 from __future__ import annotations
 
 import datetime
 import os
+import stat as stat_of
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -34,6 +37,12 @@ def _join(folder: bytes, name: bytes) -> bytes:
     return name if folder in (b"", b".") else folder + (b"" if folder.endswith(b"/") else b"/") + name
 
 
+def _entry(base: bytes, path: bytes, is_dir: bool, link: bool, found: os.stat_result | None) -> tuple:
+    time = datetime.datetime.fromtimestamp(found.st_mtime, datetime.UTC) if found else None
+    repo = is_dir and os.path.exists(os.path.join(base, path, b".git"))
+    return path.decode("utf-8", "replace"), path, found.st_size if found else 0, is_dir, link, time, repo, None
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.roots = [os.fsencode(r) for r in options.get("roots", "").split("\n")]
@@ -43,6 +52,7 @@ class _Reader(DataSourceReader):
         self.skip = {os.fsencode(x) for x in options.get("skip", "").split("\n") if x}
         self.levels = int(options.get("levels", "0"))
         self.depth = int(options.get("depth", "1"))
+        self.closed = options.get("repos", "enter") == "skip"
 
     def partitions(self) -> list[InputPartition]:
         """Each root's upper directories one by one, and each subtree below them whole."""
@@ -67,7 +77,9 @@ class _Reader(DataSourceReader):
             return
 
     def _enter(self, path: bytes, e: os.DirEntry) -> bool:
-        return e.is_dir(follow_symlinks=False) or (self.follow and e.is_symlink() and os.path.isdir(self._at(path)))
+        if not (e.is_dir(follow_symlinks=False) or (self.follow and e.is_symlink() and os.path.isdir(self._at(path)))):
+            return False
+        return not (self.closed and os.path.exists(os.path.join(self._at(path), b".git")))
 
     def _row(self, path: bytes, e: os.DirEntry) -> tuple:
         link = e.is_symlink()
@@ -76,9 +88,7 @@ class _Reader(DataSourceReader):
             found = e.stat() if self.stat else None
         except OSError:
             is_dir, found = False, None
-        time = datetime.datetime.fromtimestamp(found.st_mtime, datetime.UTC) if found else None
-        size = found.st_size if found else 0
-        return path.decode("utf-8", "replace"), path, size, is_dir, link, time, is_dir and os.path.exists(os.path.join(self._at(path), b".git")), None
+        return _entry(self.base, path, is_dir, link, found)
 
     def read(self, partition: _Subtree) -> Iterator[tuple]:
         stack = [(partition.path, frozenset([os.path.realpath(self._at(partition.path))]), partition.level)]
@@ -109,13 +119,55 @@ class FsListing(DataSource):
         return _Reader(dict(self.options))
 
 
-def listing(spark: SparkSession, roots: list[str], stat: bool = True, follow: bool = False, skip: tuple[str, ...] = (), levels: int = 0) -> tuple[DataFrame, DataFrame]:
+def _entries(rows: DataFrame, stat: bool) -> DataFrame:
+    tokens = paths.tokens(F.col("size")) if stat else F.when(F.col("is_dir"), F.lit(0)).otherwise(paths.tokens_by_extension(F.col("path")))
+    kind = F.when(F.col("is_dir"), F.lit("unknown")).otherwise(paths.kind(F.col("path")))
+    return rows.select("path", "path_bytes", "size", tokens.alias("tokens_est"), "is_dir", "is_symlink", "modified", kind.alias("kind"), "repo")
+
+
+def listing(spark: SparkSession, roots: list[str], stat: bool = True, follow: bool = False, skip: tuple[str, ...] = (), levels: int = 0, repos: bool = True) -> tuple[DataFrame, DataFrame]:
     """(entries, errors) below the roots.  Without stat, tokens are guessed from the extension and sizes are 0."""
     ship(spark)
     spark.dataSource.register(FsListing)
-    options = {"base": os.getcwd(), "roots": "\n".join(roots), "stat": str(stat).lower(), "follow": str(follow).lower(), "skip": "\n".join(skip), "levels": str(levels)}
+    options = {
+        "base": os.getcwd(), "roots": "\n".join(roots), "stat": str(stat).lower(), "follow": str(follow).lower(), "skip": "\n".join(skip), "levels": str(levels),
+        "repos": "enter" if repos else "skip",
+    }
     rows = spark.read.format("fslisting").options(**options).load()
-    tokens = paths.tokens(F.col("size")) if stat else F.when(F.col("is_dir"), F.lit(0)).otherwise(paths.tokens_by_extension(F.col("path")))
-    kind = F.when(F.col("is_dir"), F.lit("unknown")).otherwise(paths.kind(F.col("path")))
-    good = rows.filter("error is null").select("path", "path_bytes", "size", tokens.alias("tokens_est"), "is_dir", "is_symlink", "modified", kind.alias("kind"), "repo")
-    return good, rows.filter("error is not null").select("path", F.lit("io").alias("kind"), F.col("error").alias("message"))
+    return _entries(rows.filter("error is null"), stat), rows.filter("error is not null").select("path", F.lit("io").alias("kind"), F.col("error").alias("message"))
+
+
+def named(spark: SparkSession, names: list[str], stat: bool = True) -> DataFrame:
+    """The entries of these paths, as `listing` gives them: one look at each, no directory is read.  What is not there has none."""
+    ship(spark)
+    base = os.fsencode(os.getcwd())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path in map(bytes, b["path_bytes"]):
+                at = os.path.join(base, path)
+                try:
+                    link = stat_of.S_ISLNK(os.lstat(at).st_mode)
+                    found = os.stat(at)
+                except OSError:
+                    if not os.path.lexists(at):
+                        continue
+                    link, found = True, None  # a link to nothing
+                out.append(_entry(base, path, bool(found and stat_of.S_ISDIR(found.st_mode)), link, found if stat else None))
+            yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in SCHEMA.split(", ")])
+
+    asked = spark.createDataFrame([(os.fsencode(n),) for n in dict.fromkeys(names)], "path_bytes binary")
+    return _entries(asked.mapInPandas(run, SCHEMA), stat)
+
+
+def real(df: DataFrame, path: str = "path_bytes") -> DataFrame:
+    """df with `real`: its path (text or bytes) without links, absolute, as bytes."""
+    ship(df.sparkSession)
+    base = os.fsencode(os.getcwd())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(real=[os.path.realpath(os.path.join(base, os.fsencode(p))) for p in b[path]])
+
+    return df.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", real binary")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filescope.functions.patterns import GlobError
@@ -14,14 +14,20 @@ def _number(s: Column) -> Column:
     return F.when(s.rlike(rf"^(?:{_NUMBER})\z"), s.try_cast("double"))
 
 
+def numbered(spark: SparkSession, text: str) -> DataFrame:
+    """(n, value) of the lines of a ranking, from 1."""
+    return spark.createDataFrame(list(enumerate(text.split("\n"), 1)), "n int, value string")
+
+
 def parse(df: DataFrame, line: str = "value") -> DataFrame:
-    """(path, score, line, ok) of each line that is not blank or a # comment.
+    """(path, score, line, ok), and n if df has it, of each line that is not blank or a # comment.
 
     A JSON line is one flat object with a string `path` and a number `score`; of a tab's two sides the second is the score if
     it is a number, else the first; else the score is the first word.
     """
     t = F.trim(F.regexp_replace(line, r"^\s+|\s+\z", ""))
-    rows = df.select(t.alias("line")).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
+    number = [c for c in df.columns if c == "n"]
+    rows = df.select(*number, t.alias("line")).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
     t = F.col("line")
     said = F.try_parse_json(t)
     flat = F.from_json(t, "map<string,string>", {"mode": "PERMISSIVE"})
@@ -35,15 +41,15 @@ def parse(df: DataFrame, line: str = "value") -> DataFrame:
     tab = t.contains("\t")
     path = F.when(is_json, F.when(good, json_path)).when(tab, F.when(_number(b).isNotNull(), a).otherwise(b)).otherwise(rest)
     score = F.when(is_json, F.when(good, json_score)).when(tab, F.coalesce(_number(b), _number(a))).otherwise(_number(first))
-    out = rows.select(F.regexp_replace(path, r"^\./", "").alias("path"), score.alias("score"), "line")
+    out = rows.select(*number, F.regexp_replace(path, r"^\./", "").alias("path"), score.alias("score"), "line")
     return out.withColumn("ok", F.col("path").isNotNull() & (F.col("path") != "") & F.col("score").isNotNull())
 
 
 def checked(df: DataFrame) -> DataFrame:
-    """(path, score) of parsed lines, the largest score of each path; an error names a line that is none."""
-    bad = df.filter("not ok").select("line").head(1)
+    """(path, score) of parsed lines, the largest score of each path; an error names the first line that is none, and its number."""
+    bad = df.filter("not ok").orderBy("n").select("n", "line").head(1)
     if bad:
-        raise GlobError(f"expected JSON, path<TAB>score or `score path`: {bad[0][0]!r}")
+        raise GlobError(f"line {bad[0]['n']}: expected JSON, path<TAB>score or `score path`: {bad[0]['line']!r}")
     return ranking(df)
 
 

@@ -4,6 +4,9 @@ import duckdb
 import pytest
 
 from filescope.plans import catalog_queries as cq
+from filescope.plans import surface_queries as sq
+
+QUERIES, SQL = cq.queries() | sq.queries(), cq.oracle_sql() | sq.oracle_sql()
 
 DIR = "/root/testdata/sf0.01"
 TABLES = "documents pages benchmark labels".split()
@@ -18,16 +21,25 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
-@pytest.mark.parametrize("name", sorted(cq.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, duck, name):
-    a = cq.queries()[name](spark, DIR).toPandas()
-    b = duck.sql(cq.oracle_sql()[name]).df()
+    a = QUERIES[name](spark, DIR).toPandas()
+    b = duck.sql(SQL[name]).df()
     cols = sorted(a.columns)
     assert cols == sorted(b.columns) and len(a) == len(b) > 0
     a, b = (x[cols].astype(str).sort_values(cols).reset_index(drop=True) for x in (a, b))
     assert (a == b).all().all()
 
 
+def test_families_are_the_same_as_columns(spark):
+    from pyspark.sql import functions as F
+
+    from filescope.functions.previews import family, family_of
+
+    names = ["a.rs", "Makefile", "x/Gemfile", ".gitignore", "a/.gitignore", "b.PY", "b.py/", "c", "c.", ".py", "d.tar.gz", "e.ps1", "f.json", ""]
+    assert {r[0]: r[1] for r in spark.createDataFrame([(n,) for n in names], "p string").select("p", family_of(F.col("p"))).collect()} == {n: family(n) for n in names}
+
+
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
 def test_preview_code(spark):
     from filescope.functions.previews import code_lines, family
@@ -42,7 +54,7 @@ def test_names_agree():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(entry.queries()) >= len(cq.queries())
+    assert len(entry.queries()) >= len(QUERIES)
 
 
 def test_entry(spark):

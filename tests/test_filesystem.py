@@ -139,6 +139,109 @@ def test_git_sources(spark, repo):
         run(spark, "**", git_changed="HEAD", root="/")
 
 
+@git
+def test_tracked_dot_names_are_not_hidden(spark, repo):
+    put(repo, **{".ci/build.yml": "x", ".loose/own.yml": "y"})
+    sh(repo, "add", ".ci")
+    sh(repo, "commit", "-qm", "ci")
+    r = run(spark, "**", git_files=True)
+    got = {x["path"] for x in r.entries.collect()}
+    assert {".ci/build.yml", ".gitignore", "src/.gitignore", ".hidden/secret.rs"} <= got and ".loose/own.yml" not in got
+    assert r.counts()["hidden"] == 1
+    assert ".loose/own.yml" in listed(spark, "**", git_files=True, hidden=True)
+    assert listed(spark, "**/*.yml", git_files=True) == [".ci/build.yml"] and listed(spark, "*/*.yml", git_files=True, root="") == [".ci/build.yml"]
+
+
+@git
+def test_submodules_and_names_that_are_not_text(spark, repo, monkeypatch):
+    other = repo / "other"
+    put(other, **{"in.rs": "", "new.log": ""})
+    sh(other, "init", "-q")
+    sh(other, "add", "in.rs")
+    sh(other, "commit", "-qm", "x")
+    sh(repo, "add", "other")
+    from filescope.sources import git as source
+
+    assert source.submodules("") == {"other"} and source.submodules("src") == set()
+    with open(b"odd\xff.rs", "w"):
+        pass
+    sh(repo, "add", "-A", "--", ":!other")
+    got = {bytes(x["path_bytes"]) for x in run(spark, "**/*.rs", git_files=True).entries.collect()}
+    assert {b"other/in.rs", b"odd\xff.rs", b"vendor/lib/a.rs"} <= got
+    assert not {p for p in map(os.fsdecode, got) if p.startswith("other/")} & set(listed(spark, "**/*.rs", git_files=True, skip_nested_repos=True))
+    assert {bytes(x["path_bytes"]) for x in run(spark, "*", exclude=["odd*"]).entries.collect()} >= {b"odd\xff.rs"}, "patterns of whole strings match text only"
+
+
+@git
+def test_changed_files_by_any_spelling(spark, repo, tmp_path_factory, monkeypatch):
+    (repo / "src/main.rs").write_text("changed")
+    (repo / "fresh.rs").write_text("")
+    sh(repo, "checkout", "-qb", "side")
+    sh(repo, "commit", "-qam", "side")
+    away = tmp_path_factory.mktemp("away")
+    os.symlink(repo, away / "link")
+    monkeypatch.chdir(away)
+    assert {"link/src/main.rs", "link/fresh.rs"} == set(listed(spark, "**/*.rs", git_changed="HEAD~1", root="link")) - {"link/vendor/lib/a.rs"}
+    monkeypatch.chdir(repo / "src")
+    assert listed(spark, "*.rs", git_changed="HEAD~1") == ["main.rs"]
+
+
+def test_rankings_of_other_spellings(spark, tree):
+    os.symlink(tree, tree / "self")
+    ranking = f"{tree}/src/lib.rs\t3\n{tree}/self/docs/api.md\t9\nsrc/main.rs\t5\n{tree}/nope\t8"
+    r = run(spark, "{src,docs}/*", ranking=ranking)
+    assert [(x["path"], x["score"]) for x in r.entries.collect()][:4] == [("docs/api.md", 9.0), ("src/main.rs", 5.0), ("src/lib.rs", 3.0), ("docs/guide.md", None)]
+    with pytest.raises(GlobError, match="line 3: expected JSON.*'no score'"):
+        run(spark, "*", ranking="a\t1\n\nno score\nworse")
+
+
+def test_literal_names_need_no_listing(spark, tree):
+    (tree / "shut").mkdir()
+    put(tree, **{"shut/a.rs": "x", "shut/b.rs": "y"})
+    os.symlink("nowhere", tree / "shut/dead")
+    (tree / "shut").chmod(0o111)
+    try:
+        r = run(spark, "shut/a.rs", "shut/missing", "shut/dead", "src", "src/*.rs", "src/lib.rs")
+        assert [(x["path"], x["size"], x["is_dir"], x["is_symlink"]) for x in r.entries.collect()] == [
+            ("shut/a.rs", 1, False, False), ("shut/dead", 0, False, True), ("src", os.stat("src").st_size, True, False), ("src/lib.rs", 14, False, False), ("src/main.rs", 15, False, False)
+        ]
+        assert r.errors.count() == 0 and r.counts() == {"keep": 5}
+    finally:
+        (tree / "shut").chmod(0o755)
+    assert listed(spark, "SRC/lib.rs", case_sensitive=False) == ["src/lib.rs"]
+
+
+@git
+def test_many_rules_are_a_table(spark, repo, monkeypatch):
+    """Past a number of rules entries are joined with them; what is ignored stays the same."""
+    put(repo, **{"src/util/.gitignore": "!deep/\n", "docs/.gitignore": "/guide.md\n", "vendor/lib/.gitignore": "a.*\n"})
+    for options in (dict(), dict(hidden=True), dict(skip_nested_repos=True)):
+        for patterns in (["**"], ["src/util/**", "docs/*"], ["src/**/*.rs", "**/*.log"]):
+            monkeypatch.setattr(query, "EXPRESSION_RULES", 10**6)
+            one = run(spark, *patterns, gitignore=True, **options)
+            monkeypatch.setattr(query, "EXPRESSION_RULES", 0)
+            two = run(spark, *patterns, gitignore=True, **options)
+            assert [x["path"] for x in one.entries.collect()] == [x["path"] for x in two.entries.collect()] and one.counts() == two.counts()
+
+
+def test_documents_read_no_more_than_fits(spark, tmp_path, monkeypatch):
+    """A listing far over the cap: the same text as from all rows, but few come to the driver."""
+    monkeypatch.chdir(tmp_path)
+    put(tmp_path, **{f"d{i % 7}/f{i:04}.py": f"x = {i}\n" * 5 for i in range(400)}, **{"z.bin": "a\0b"})
+    r, o = run(spark, "**"), query.Options(["**"])
+    whole = document.build(r, o, True, Preview("head", 3), cap=None)
+    for cap in (300, 900):
+        cut = document.build(r, o, True, Preview("head", 3), cap=cap)
+        assert len(cut.records) + cut.beyond == len(whole.records) and (cut.beyond > 0) == (cap == 300)
+        text = cut.fitted()
+        whole.cap = cap
+        assert text == whole.fitted() and document.tokens_of(text) <= cap
+        whole.cap = None
+    assert "preview_skipped_binary\t1\t" in whole.text()
+    began = __import__("time").monotonic() - 2
+    assert any(row[0] == "wall_time_ms" and int(row[1]) >= 2000 for row in document.build(r, o, True, cap=None, started=began).summary)
+
+
 def test_usage_errors():
     for bad in (dict(patterns=[]), dict(patterns=["*"], limit=0), dict(patterns=["*"], no_stat=True, prefer="size"), dict(patterns=["*"], kinds=["x"]), dict(patterns=["*"], git_files=True, only_dirs=True)):
         with pytest.raises(GlobError):

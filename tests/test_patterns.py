@@ -155,3 +155,27 @@ def test_null_stays_null(spark):
 
     row = spark.createDataFrame([(None,)], "t string").select(fnmatch(F.col("t"), "a*").alias("x"), fnmatch(F.col("t"), "*a*b*c*d*e*", DOT).alias("y")).first()
     assert row == (None, None)
+
+
+def test_batches_match_as_one_by_one():
+    """The automaton over whole batches against live positions on each string."""
+    import random
+
+    from filescope.functions.matching import Automaton, MatchOptions, all_matches, matches
+    from filescope.functions.patterns import Pattern, PatternError
+
+    rng = random.Random(3)
+    tried = 0
+    for _ in range(1500):
+        said = "".join(rng.choice(["a", "b", "/", "*", "?", "**/", "/**", "[ab]", "[!a]", ".", "*", "A", "é", "[[:alpha:]]", "\\*"]) for _ in range(rng.randint(0, 9)))
+        try:
+            p = Pattern.parse(said)
+        except PatternError:
+            continue
+        texts = ["".join(rng.choice("abA/..é*\0") for _ in range(rng.randint(0, 8))) for _ in range(20)]
+        o = MatchOptions(rng.random() < 0.5, rng.random() < 0.5, rng.random() < 0.5)
+        assert Automaton(p, o).matches(texts).tolist() == [matches(p, t, o) for t in texts], (said, o)
+        tried += 1
+    assert tried > 500 and len(Automaton(Pattern.parse("*"), MatchOptions()).matches([])) == 0
+    long = Pattern.parse("*a" * 40)
+    assert list(all_matches(long, MatchOptions(literal_dot=True))(["a" * 40, "a" * 39])) == [True, False]
