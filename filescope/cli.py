@@ -114,9 +114,11 @@ def _glob(argv: list[str]) -> int:
 
     spark = SparkSession.builder.config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     found = query.run(spark, options)
-    unread = found.errors.select("path", "message").limit(2).collect()
+    unread = found.errors.count()
     if unread:
-        print(f"warning: skipped unreadable directory: {unread[0][0]}: {unread[0][1]}", file=sys.stderr)
+        first = found.errors.orderBy("path").select("path", "message").first()
+        more = f" (and {unread - 1} more)" if unread > 1 else ""
+        print(f"warning: skipped unreadable directory: {first['path']}: {first['message']}{more}", file=sys.stderr)
     if not a.paths:
         cap = 25_000 if a.max_output_tokens is None else _positive(size)(a.max_output_tokens)
         source = "stdin" if a.prefer_from == "-" else a.prefer_from or "scores"

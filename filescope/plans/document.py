@@ -91,9 +91,11 @@ class Document:
     blocks: list[Block] | None = None
     binaries: int = 0
     cap: int | None = None
-    #: Records and excerpts that are over the cap in any case and were never read.
+    #: Records, excerpts and skipped rows that are over the cap in any case and were never read.
     beyond: int = 0
     blocks_beyond: int = 0
+    lines_beyond: int = 0
+    skipped_beyond: int = 0
 
     def _lost(self, n: int, more: str = "") -> list[str]:
         return [f"#truncated reason=output_budget{more} dropped={n} budget={self.cap or 0} {RECOVER}"]
@@ -114,8 +116,9 @@ class Document:
         if self.skipped_total and self.show_skipped:
             shown = len(self.skipped) - cuts.skipped
             out += ["---", "§skipped", f"#context Matched but left out to fit the budget, largest first ({shown} of {self.skipped_total})", f"#schema path:str:path{size} kind:{KIND_TYPE}{est}", "#sort tokens_est desc"]
-            out += [f"#limit {len(self.skipped)}"] if len(self.skipped) < self.skipped_total else []
-            out += (self._lost(cuts.skipped) if cuts.skipped else []) + self.skipped[:shown]
+            asked = len(self.skipped) + self.skipped_beyond
+            out += [f"#limit {asked}"] if asked < self.skipped_total else []
+            out += (self._lost(cuts.skipped + self.skipped_beyond) if cuts.skipped else []) + self.skipped[:shown]
         if self.deleted:
             out += ["---", "§deleted", f"#context Changed since {self.since} but deleted from the working tree", f"#schema path:str:path kind:{KIND_TYPE}", *self.deleted]
         said = "".join(f"{x}\n" for x in out)
@@ -132,6 +135,8 @@ class Document:
         cuts = Cuts()
         if fits(cuts):
             return self.text()
+        if self.blocks_beyond:
+            cuts = replace(cuts, lines=min(LEAST_LINES, self.lines_beyond))
         if self.blocks:
             longest = max(len(b.lines) for b in self.blocks)
             floor = min(LEAST_LINES, longest)
@@ -188,11 +193,12 @@ def build(found: Report, options: Options, summary: bool = False, preview: previ
     gone = [r[0] for r in found.deleted.orderBy("path").select(F.concat_ws("\t", paths.field(F.col("path")), "kind")).collect()]
     doc = Document(stat, order if options.sort or order != "path" else None, options.limit, found.stopped_early, [r["record"] for r in rows], cap=cap, deleted=gone, since=options.git_changed or "the ref", beyond=total - len(rows))
     doc.skipped, doc.skipped_total, doc.show_skipped = [r[0] for r in left.collect()] if lost["n"] and skipped_rows != 0 else [], lost["n"], skipped_rows != 0
+    doc.skipped_beyond = min(doc.skipped_total, doc.skipped_total if skipped_rows is None else skipped_rows) - len(doc.skipped)
     if preview is not None:
         read = excerpts(found.entries, preview, most)
         if doc.beyond:  # the listing alone is over the cap: of excerpts only their numbers are told
-            counts = read.agg(F.count_if("binary").alias("binaries"), F.count_if(~F.col("binary")).alias("blocks")).first()
-            doc.blocks, doc.binaries, doc.blocks_beyond = [], counts["binaries"], counts["blocks"]
+            counts = read.agg(F.count_if("binary").alias("binaries"), F.count_if(~F.col("binary")).alias("blocks"), F.coalesce(F.max(F.size("lines")), F.lit(0)).alias("lines")).first()
+            doc.blocks, doc.binaries, doc.blocks_beyond, doc.lines_beyond = [], counts["binaries"], counts["blocks"], counts["lines"]
         else:
             got = {r["path"]: r for r in read.collect()}
             doc.blocks = [Block(r["quoted"], r["language"], x["start"], tuple(x["lines"])) for r in rows if (x := got.get(r["path"])) and not x["binary"]]

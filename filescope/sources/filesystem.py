@@ -5,8 +5,8 @@
 
 Unlike Spark's file sources it lists directories, dot-names and names that are not UTF-8.  Options: roots (one a line, "" is
 the working directory), stat (false leaves sizes and times out), follow (true enters symbolic links to directories),
-skip (names that are neither listed nor entered, one a line), levels (how deep to list below a root, 0 for all), depth (of
-parallel subtrees below each root, default 1), repos (skip leaves the inside of repositories below the roots out), base (the
+skip (names that are neither listed nor entered, one a line), levels (how deep to list below a root, 0 for all), subtrees
+(directories are split up level by level until there are so many subtrees to walk in parallel, default 64), repos (skip leaves the inside of repositories below the roots out), base (the
 directory that relative roots are in).
 """
 
@@ -25,12 +25,15 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from filescope.functions import paths
 from filescope.session import ship
 
+#: Levels that are opened in search of subtrees to walk apart.
+SPLIT_LEVELS = 4
+
 SCHEMA = "path string, path_bytes binary, size bigint, is_dir boolean, is_symlink boolean, modified timestamp, repo boolean, error string"
 
 
 class _Subtree(InputPartition):
-    def __init__(self, path: bytes, deep: bool, level: int):
-        self.path, self.deep, self.level = path, deep, level
+    def __init__(self, path: bytes, above: frozenset[bytes], deep: bool, level: int):
+        self.path, self.above, self.deep, self.level = path, above, deep, level
 
 
 def _join(folder: bytes, name: bytes) -> bytes:
@@ -51,20 +54,27 @@ class _Reader(DataSourceReader):
         self.follow = options.get("follow", "false") == "true"
         self.skip = {os.fsencode(x) for x in options.get("skip", "").split("\n") if x}
         self.levels = int(options.get("levels", "0"))
-        self.depth = int(options.get("depth", "1"))
+        self.subtrees = int(options.get("subtrees", "64"))
         self.closed = options.get("repos", "enter") == "skip"
 
     def partitions(self) -> list[InputPartition]:
-        """Each root's upper directories one by one, and each subtree below them whole."""
+        """The upper directories one by one, and each subtree below them whole.  The upper ones are looked at here until there are
+        enough subtrees, and a level is split as a whole, so one large directory does not keep others from being walked apart."""
         out: list[InputPartition] = []
-        level = list(dict.fromkeys(self.roots))
-        for at in range(min(self.depth, self.levels or self.depth)):
-            below: list[bytes] = []
-            for folder in level:
-                out.append(_Subtree(folder, False, at))
-                below += [p for p, e in self._children(folder) if e is not None and self._enter(p, e)]
-            level = below
-        return out + [_Subtree(p, True, self.depth) for p in level if not self.levels or self.depth < self.levels]
+        level, at = [(r, frozenset([self._real(r)])) for r in dict.fromkeys(self.roots)], 0
+        while level and (at == 0 or (at < SPLIT_LEVELS and len(level) < self.subtrees)) and (not self.levels or at < self.levels):
+            out += [_Subtree(folder, above, False, at) for folder, above in level]
+            level = [(p, above | {real}) for folder, above in level for p, e in self._children(folder) if (real := self._entered(p, e, above)) is not None]
+            at += 1
+        return out + [_Subtree(folder, above, True, at) for folder, above in level if not self.levels or at < self.levels]
+
+    def _real(self, path: bytes) -> bytes:
+        return os.path.realpath(self._at(path)) if self.follow else path
+
+    def _entered(self, path: bytes, e: os.DirEntry, above: frozenset[bytes]) -> bytes | None:
+        """What tells the directory from those above it, if a walk enters it: a link back to one of these is a cycle."""
+        real = self._real(path) if self._enter(path, e) else None
+        return None if real in above else real
 
     def _at(self, path: bytes) -> bytes:
         return os.path.join(self.base, path or b".")
@@ -91,7 +101,7 @@ class _Reader(DataSourceReader):
         return _entry(self.base, path, is_dir, link, found)
 
     def read(self, partition: _Subtree) -> Iterator[tuple]:
-        stack = [(partition.path, frozenset([os.path.realpath(self._at(partition.path))]), partition.level)]
+        stack = [(partition.path, partition.above, partition.level)]
         while stack:
             folder, above, level = stack.pop()
             try:
@@ -101,10 +111,8 @@ class _Reader(DataSourceReader):
                 continue
             for path, e in self._children(folder):
                 yield self._row(path, e)
-                if partition.deep and self._enter(path, e) and (not self.levels or level + 1 < self.levels):
-                    real = os.path.realpath(self._at(path)) if self.follow else path
-                    if real not in above:  # a link back to a directory above is a cycle
-                        stack.append((path, above | {real}, level + 1))
+                if partition.deep and (not self.levels or level + 1 < self.levels) and (real := self._entered(path, e, above)) is not None:
+                    stack.append((path, above | {real}, level + 1))
 
 
 class FsListing(DataSource):

@@ -88,6 +88,24 @@ def test_links_and_odd_names(spark, tmp_path, monkeypatch):
     assert found == {b"bad\xff.rs"}
 
 
+def test_large_directories_are_split(spark, tmp_path, monkeypatch):
+    """Levels are opened until there are enough subtrees; the listing is the same for any number, also with links and levels."""
+    from filescope.sources import filesystem
+
+    monkeypatch.chdir(tmp_path)
+    put(tmp_path, **{f"all/in/one/d{i % 9}/e{i % 5}/f{i}": "" for i in range(60)}, top="")
+    os.symlink("..", "all/in/up")
+    for levels in (0, 2, 4):
+        for follow in (False, True):
+            seen = set()
+            for n in (1, 4, 64):
+                reader = filesystem._Reader({"roots": "", "base": str(tmp_path), "subtrees": str(n), "levels": str(levels), "follow": str(follow).lower()})
+                parts = reader.partitions()
+                seen.add(tuple(sorted((r[1], r[3]) for p in parts for r in reader.read(p))))
+                assert n < 64 or levels or sum(p.deep for p in parts) == 0 or sum(p.deep for p in parts) >= 9
+            assert len(seen) == 1 and (levels or len(next(iter(seen))) >= 60)
+
+
 def test_no_stat(spark, tree):
     r = run(spark, "src/*.rs", no_stat=True)
     assert [(x["size"], x["tokens_est"], x["modified"]) for x in r.entries.collect()] == [(0, 858, None)] * 2
@@ -230,7 +248,7 @@ def test_documents_read_no_more_than_fits(spark, tmp_path, monkeypatch):
     put(tmp_path, **{f"d{i % 7}/f{i:04}.py": f"x = {i}\n" * 5 for i in range(400)}, **{"z.bin": "a\0b"})
     r, o = run(spark, "**"), query.Options(["**"])
     whole = document.build(r, o, True, Preview("head", 3), cap=None)
-    for cap in (300, 900):
+    for cap in (300, 1500):
         cut = document.build(r, o, True, Preview("head", 3), cap=cap)
         assert len(cut.records) + cut.beyond == len(whole.records) and (cut.beyond > 0) == (cap == 300)
         text = cut.fitted()
@@ -238,6 +256,12 @@ def test_documents_read_no_more_than_fits(spark, tmp_path, monkeypatch):
         assert text == whole.fitted() and document.tokens_of(text) <= cap
         whole.cap = None
     assert "preview_skipped_binary\t1\t" in whole.text()
+    fit = query.Options(["**"], token_budget=50, fit=True)
+    r = query.run(spark, fit)
+    for rows in (None, 60, 7, 0):
+        whole, cut = (document.build(r, fit, True, None, rows, cap=c) for c in (None, 300))
+        whole.cap = 300
+        assert whole.fitted() == cut.fitted() and len(cut.skipped) <= 300 * 7 // 2 // 10 + 1
     began = __import__("time").monotonic() - 2
     assert any(row[0] == "wall_time_ms" and int(row[1]) >= 2000 for row in document.build(r, o, True, cap=None, started=began).summary)
 
