@@ -113,20 +113,21 @@ def run(spark: SparkSession, options: Options, catalog: DataFrame | None = None,
     none = spark.createDataFrame([], "path string, kind string, message string")
     ignores, nested, links, gone = None, 0, 0, spark.createDataFrame([], "path string, kind string")
     entries, errors = catalog, none
+    told = git.changed(options.root or ".", options.git_changed) if options.git_changed is not None and changed is None else None
     if entries is None:
         entries, errors, ignores, nested, links = _walked(spark, options, patterns)
         if options.stop_on_error and (first := errors.head(1)):
             raise RuntimeError(f"{first[0]['path']}: {first[0]['message']}")
-        if options.git_changed is not None and changed is None:
-            changed, gone = _changed(spark, options, entries)
     elif options.gitignore:
         ignores = []
+    if told is not None:
+        changed, gone = _changed(spark, options, told, entries)
     tracked = F.col("tracked") if "tracked" in entries.columns else None
     whole = F.encode("path", "UTF-8") == F.col("path_bytes") if "path_bytes" in entries.columns else None
     if ignores and sum(len(f.rules) for f in ignores) > EXPRESSION_RULES and (table := rule_table(spark, ignores)) is not None:
         hits = prune.matched(patterns, MatchOptions(options.case_sensitive), options.max_depth)
-        told = decide_by_table(entries.select("path", "is_dir").filter(prune.any_of(hits)), table, prune.spared_by(patterns, hits)).distinct()
-        entries, ignores = entries.join(told.withColumnRenamed("ignored", "__ignored"), "path", "left"), F.col("__ignored")
+        decided = decide_by_table(entries.select("path", "is_dir").filter(prune.any_of(hits)), table, prune.spared_by(patterns, hits)).distinct()
+        entries, ignores = entries.join(decided.withColumnRenamed("ignored", "__ignored"), "path", "left"), F.col("__ignored")
     flag = None
     if changed is not None:
         entries = entries.join(changed.select("path", F.lit(True).alias("__changed")).distinct(), "path", "left")
@@ -209,17 +210,19 @@ def _git_listed(spark: SparkSession, options: Options, roots: list[str]):
     return entries.join(listed, "path_bytes").cache(), spark.createDataFrame([], "path string, kind string, message string"), None, 0, 0
 
 
-def _changed(spark: SparkSession, options: Options, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(path) of entries that changed, spelled as the walk spells them, and (path, kind) of changed files that are gone."""
-    found = git.changed(options.root or ".", options.git_changed)
+def _changed(spark: SparkSession, options: Options, found: list[str], entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path) of entries among the changed files, spelled as the walk spells them, and (path, kind) of those that are gone."""
     here = os.path.realpath(".")
     absolute = any(options.rooted(p).startswith("/") for p in options.patterns)
-    there = [(os.path.basename(p).encode("utf-8", "replace").decode(), os.fsencode(os.path.realpath(p))) for p in found if os.path.lexists(p)]
-    files = spark.createDataFrame(there, "name string, real binary")
-    alike = entries.withColumn("name", F.substring_index("path", "/", -1)).join(files.select("name").distinct(), "name", "left_semi").select("path", "path_bytes")
-    same = filesystem.real(alike).join(files, "real", "left_semi").select("path")
-    lost = [p if absolute else os.path.relpath(p, here) for p in found if not os.path.lexists(p)]
-    gone = spark.createDataFrame([(p,) for p in lost], "path string")
+    spelled = {p: p if absolute else os.path.relpath(p, here) for p in found}
+    there = [p for p in found if os.path.lexists(p)]
+    if "path_bytes" in entries.columns:
+        files = spark.createDataFrame([(os.path.basename(p).encode("utf-8", "replace").decode(), os.fsencode(os.path.realpath(p))) for p in there], "name string, real binary")
+        alike = entries.withColumn("name", F.substring_index("path", "/", -1)).join(files.select("name").distinct(), "name", "left_semi").select("path", "path_bytes")
+        same = filesystem.real(alike).join(files, "real", "left_semi").select("path")
+    else:  # a catalog's paths are its own
+        same = spark.createDataFrame([(spelled[p],) for p in there], "path string")
+    gone = spark.createDataFrame([(spelled[p],) for p in found if p not in there], "path string")
     match = MatchOptions(literal_separator=True, literal_dot=not options.hidden)
     hit = prune.any_of([fnmatch(F.col("path"), Pattern.parse(options.rooted(x)), match) for p in options.patterns for x in expand(p)])
     gone = gone.filter(hit).select("path", report.paths.kind(F.col("path")).alias("kind"))

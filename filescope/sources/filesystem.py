@@ -25,15 +25,17 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from filescope.functions import paths
 from filescope.session import ship
 
-#: Levels that are opened in search of subtrees to walk apart.
-SPLIT_LEVELS = 4
+#: Levels that are opened in search of subtrees to walk apart, and opened directories that one task lists.
+SPLIT_LEVELS, TOGETHER = 4, 32
 
 SCHEMA = "path string, path_bytes binary, size bigint, is_dir boolean, is_symlink boolean, modified timestamp, repo boolean, error string"
 
 
-class _Subtree(InputPartition):
-    def __init__(self, path: bytes, above: frozenset[bytes], deep: bool, level: int):
-        self.path, self.above, self.deep, self.level = path, above, deep, level
+class _Share(InputPartition):
+    """Directories (path, what is above, level) that a task lists, and walks to the end if deep."""
+
+    def __init__(self, folders: list[tuple[bytes, frozenset[bytes], int]], deep: bool):
+        self.folders, self.deep = folders, deep
 
 
 def _join(folder: bytes, name: bytes) -> bytes:
@@ -60,13 +62,14 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         """The upper directories one by one, and each subtree below them whole.  The upper ones are looked at here until there are
         enough subtrees, and a level is split as a whole, so one large directory does not keep others from being walked apart."""
-        out: list[InputPartition] = []
+        upper: list[tuple[bytes, frozenset[bytes], int]] = []
         level, at = [(r, frozenset([self._real(r)])) for r in dict.fromkeys(self.roots)], 0
         while level and (at == 0 or (at < SPLIT_LEVELS and len(level) < self.subtrees)) and (not self.levels or at < self.levels):
-            out += [_Subtree(folder, above, False, at) for folder, above in level]
+            upper += [(folder, above, at) for folder, above in level]
             level = [(p, above | {real}) for folder, above in level for p, e in self._children(folder) if (real := self._entered(p, e, above)) is not None]
             at += 1
-        return out + [_Subtree(folder, above, True, at) for folder, above in level if not self.levels or at < self.levels]
+        deep = [_Share([(folder, above, at)], True) for folder, above in level if not self.levels or at < self.levels]
+        return [_Share(upper[i : i + TOGETHER], False) for i in range(0, len(upper), TOGETHER)] + deep
 
     def _real(self, path: bytes) -> bytes:
         return os.path.realpath(self._at(path)) if self.follow else path
@@ -100,8 +103,8 @@ class _Reader(DataSourceReader):
             is_dir, found = False, None
         return _entry(self.base, path, is_dir, link, found)
 
-    def read(self, partition: _Subtree) -> Iterator[tuple]:
-        stack = [(partition.path, partition.above, partition.level)]
+    def read(self, partition: _Share) -> Iterator[tuple]:
+        stack = partition.folders[::-1]
         while stack:
             folder, above, level = stack.pop()
             try:

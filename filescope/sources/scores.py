@@ -46,10 +46,12 @@ def parse(df: DataFrame, line: str = "value") -> DataFrame:
 
 
 def checked(df: DataFrame) -> DataFrame:
-    """(path, score) of parsed lines, the largest score of each path; an error names the first line that is none, and its number."""
-    bad = df.filter("not ok").orderBy("n").select("n", "line").head(1)
+    """(path, score) of parsed lines, the largest score of each path; an error names a line that is none: the first, and its
+    number, where lines are numbered."""
+    bad = df.filter("not ok")
+    bad = (bad.orderBy("n").select("line", F.concat(F.lit("line "), "n", F.lit(": ")).alias("at")) if "n" in df.columns else bad.select("line", F.lit("").alias("at"))).head(1)
     if bad:
-        raise GlobError(f"line {bad[0]['n']}: expected JSON, path<TAB>score or `score path`: {bad[0]['line']!r}")
+        raise GlobError(f"{bad[0]['at']}expected JSON, path<TAB>score or `score path`: {bad[0]['line']!r}")
     return ranking(df)
 
 
