@@ -15,7 +15,7 @@ from filescope.llm.sharding import OP1_SQL, op1_rendezvous_sharding
 from filescope.llm.suffix_dedup import OP10_SQL, op10_suffix_dedup
 from filescope.llm.token_store import op8_token_store
 from filescope.llm.toxicity import op9_toxicity
-from filescope.llm.wrapper import op4_html_wrapper
+from filescope.llm.wrapper import OP4_SQL, op4_html_wrapper
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_rendezvous_sharding": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_collision_counting": OP3_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_chat_format": OP7_SQL, "op10_suffix_dedup": OP10_SQL}
+    return {"op1_rendezvous_sharding": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_collision_counting": OP3_SQL, "op4_html_wrapper": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_chat_format": OP7_SQL, "op10_suffix_dedup": OP10_SQL}

@@ -476,3 +476,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
 def op4_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
+
+
+#: What the pages of the driver's tables say: text of their one article, by its tags; named references that they hold.
+OP4_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS h FROM pages),
+b AS (SELECT page_id, url, [regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g') for x in regexp_split_to_array(h, '</?(?:p|h1)>')] AS t FROM a),
+c AS (SELECT page_id, url, [trim(regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) for x in t] AS t FROM b),
+d AS (SELECT page_id, url, array_to_string(list_filter(t, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d
+"""

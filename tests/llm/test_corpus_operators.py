@@ -57,7 +57,7 @@ def test_shards_of_documents(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "embeddings"):
+    for t in ("documents", "benchmark", "conversations", "embeddings", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     a, b = queries.queries()[name](spark, DIR).toPandas(), con.sql(queries.oracle_sql()[name]).df()
     cols = sorted(a.columns)
