@@ -32,6 +32,13 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _places_at_most(phrases: DataFrame) -> int:
+    """How many places and items all phrases have together: what is made of them has no more rows, so one count bounds all
+    broadcasts."""
+    size = F.size("words") + (F.size("item_ids") if "item_ids" in phrases.columns else F.lit(0))
+    return phrases.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+
+
 def _phrase(w: Column) -> Column:
     return F.xxhash64(F.array_join(w, " "))
 
@@ -64,8 +71,8 @@ def phrases(items: DataFrame, n: int = PHRASE) -> DataFrame:
 class PositionalIndex:
     """Postings of the corpus for the vocabulary of the test items."""
 
-    def __init__(self, docs: DataFrame, vocabulary: DataFrame):
-        """docs (doc_id, text), vocabulary (word).  Null texts have no postings; ids may repeat (see `search` and `near`)."""
+    def __init__(self, docs: DataFrame, vocabulary: DataFrame, most: int | None = None):
+        """docs (doc_id, text), vocabulary (word), of `most` rows at most where that is known.  Null texts have no postings; ids may repeat (see `search` and `near`)."""
         self.spark, self.docs = docs.sparkSession, docs.select("doc_id", "text")
         self.path = fresh_path(self.spark, "postings")
         vocabulary = vocabulary.select("word").distinct()
@@ -77,7 +84,7 @@ class PositionalIndex:
         head = F.struct(F.lit(None).cast("long").alias("term"), F.col("text_id").alias("before"), F.lit(None).cast("long").alias("after"))
         tokens = hashed.select("doc_id", n.alias("n_words"), F.posexplode(F.concat(F.array(head), F.slice(zipped, 1, n))).alias("pos", "t"))
         tokens = tokens.select("doc_id", F.when(F.col("pos") == 0, F.col("n_words")).alias("n_words"), (F.col("pos") - 1).alias("pos"), "t.*")
-        known = _small(self.terms.select("term").distinct().withColumn("known", F.lit(True)), self.terms.count())
+        known = _small(self.terms.select("term").distinct().withColumn("known", F.lit(True)), self.terms.count() if most is None else most)
         postings = tokens.join(known, "term", "left").filter("known or n_words is not null").select("term", "doc_id", "pos", "before", "after", "n_words")
         postings.sortWithinPartitions("term").write.parquet(self.path)
         self.postings = self.spark.read.schema(postings.schema).parquet(self.path)
@@ -89,53 +96,53 @@ class PositionalIndex:
     def drop(self) -> None:
         removed(self.spark, self.path)
 
-    def _rarest(self, phrases: DataFrame) -> DataFrame:
+    def _rarest(self, phrases: DataFrame, most: int) -> DataFrame:
         """(phrase, words, offset, term, before, after): of each phrase the inner place whose triple is rarest in the corpus."""
         n = F.size("words")
         inner = F.when(n >= 3, F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)))).otherwise(F.array(F.lit(0)))
         places = stored(_places(phrases, inner), "places")
         key = ["term", "before", "after"]
         triples = places.filter("before is not null and after is not null").select(*key).distinct()
-        count = self.postings.join(_small(triples, triples.count()), key, "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+        count = self.postings.join(_small(triples, most), key, "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
         # a phrase of two words or one has a single place, and no triple to count
         ranked = places.join(count, key, "left").withColumn("n", F.when(F.size("words") < 3, F.lit(1)).otherwise(F.coalesce("n", F.lit(0))))
         first = ranked.groupBy("phrase").agg(F.min_by(F.struct("words", "offset", *key), F.struct("n", "offset")).alias("x"), F.min("n").alias("n"))
         return first.filter("n > 0").select("phrase", "x.*")  # a place that the corpus lacks: so is the phrase
 
-    def candidates(self, phrases: DataFrame) -> DataFrame:
+    def candidates(self, phrases: DataFrame, most: int | None = None) -> DataFrame:
         """(doc_id, start, phrase) where the rarest place of a phrase stands; start counts words from 0."""
-        places = stored(self._rarest(phrases), "rarest")
-        rows = places.count()
+        most = _places_at_most(phrases) if most is None else most
+        places = stored(self._rarest(phrases, most), "rarest")
         long = places.filter(F.size("words") >= 3).drop("words")
         short = places.filter(F.size("words") < 3).select("phrase", "offset", "term", F.col("after").alias("next"))
-        hit = self.postings.join(_small(long, rows), ["term", "before", "after"]).select("doc_id", "pos", "offset", "phrase")
-        brief = self.postings.join(_small(short, rows), "term").filter("next is null or next = after").select("doc_id", "pos", "offset", "phrase")
+        hit = self.postings.join(_small(long, most), ["term", "before", "after"]).select("doc_id", "pos", "offset", "phrase")
+        brief = self.postings.join(_small(short, most), "term").filter("next is null or next = after").select("doc_id", "pos", "offset", "phrase")
         return hit.unionByName(brief).select("doc_id", (F.col("pos") - F.col("offset")).alias("start"), "phrase").filter("start >= 0").distinct()
 
-    def intersected(self, phrases: DataFrame) -> DataFrame:
+    def intersected(self, phrases: DataFrame, most: int | None = None) -> DataFrame:
         """(doc_id, start, n, phrase) that all lists of a phrase, shifted by their places, have in common.
 
         Lists are narrowed to the triples that some place asks for and to documents with a candidate before they are shuffled.
         """
-        found = stored(self.candidates(phrases), "candidates")
+        most = _places_at_most(phrases) if most is None else most
+        found = stored(self.candidates(phrases, most), "candidates")
         n, key = F.size("words"), ["term", "before", "after"]
         cover = F.array_distinct(F.concat(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)), F.lit(3)), F.array(F.greatest(n - 2, F.lit(1)))))
         lists = _places(phrases.filter(n >= 3), cover).select("phrase", n.alias("n"), F.size(cover).alias("lists"), "offset", *key)
-        rows = lists.count()
-        wanted = found.join(_small(lists, rows), "phrase").withColumn("pos", F.col("start") + F.col("offset"))
+        wanted = found.join(_small(lists, most), "phrase").withColumn("pos", F.col("start") + F.col("offset"))
         ids = found.select("doc_id").distinct()
-        asked = self.postings.join(_small(lists.select(*key).distinct(), rows), key, "left_semi")
+        asked = self.postings.join(_small(lists.select(*key).distinct(), most), key, "left_semi")
         own = asked.join(_small(ids, ids.count()), "doc_id", "left_semi").select("doc_id", "pos", *key)
         met = own.join(wanted, ["doc_id", "pos", *key]).groupBy("doc_id", "start", "n", "phrase").agg(F.max("lists").alias("lists"), F.count_distinct("offset").alias("held"))
         # of phrases of one or two words the candidates' list is the only one
         brief = phrases.filter(n < 3).select("phrase", n.alias("n"))
-        whole = found.join(_small(brief, brief.count()), "phrase").select("doc_id", "start", "n", "phrase")
+        whole = found.join(_small(brief, most), "phrase").select("doc_id", "start", "n", "phrase")
         return met.filter("held = lists").select("doc_id", "start", "n", "phrase").unionByName(whole)
 
-    def search(self, phrases: DataFrame) -> DataFrame:
+    def search(self, phrases: DataFrame, most: int | None = None) -> DataFrame:
         """(doc_id, text_id, start, n, phrase): exactly the places where a phrase stands.  Rows of equal doc_id have hits of their
         own, by their texts; equal rows share them."""
-        found = stored(self.intersected(phrases).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "phrase")).alias("found")), "hits")
+        found = stored(self.intersected(phrases, most).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "phrase")).alias("found")), "hits")
         ids = found.select("doc_id")
         texts = self.docs.filter(F.col("text").isNotNull()).join(_small(ids, ids.count()), "doc_id", "left_semi").select("doc_id", _text_id().alias("text_id"), words(F.col("text")).alias("w"))
         both = texts.join(found, "doc_id")
@@ -153,14 +160,16 @@ class PositionalIndex:
         return left.join(own(b, "other"), ["doc_id", "cell"]).filter((F.abs(F.col("at") - F.col("other")) <= within) & (F.col("at") != F.col("other"))).select("doc_id", "at", "other")
 
 
-def matches(docs: DataFrame, items: DataFrame, n: int = PHRASE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(hits, runs, lengths): hits as `search` gives them, the items' phrases, and the words of each row of docs; all stored."""
+def matches(docs: DataFrame, items: DataFrame, n: int = PHRASE) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(hits, runs, lengths, most): hits as `search` gives them, the items' phrases, and the words of each row of docs, all
+    stored; and how many places the phrases have."""
     runs = stored(phrases(items, n), "phrases")
-    index = PositionalIndex(docs, runs.select(F.explode("words").alias("word")))
-    hits = stored(index.search(runs), "hits")
+    most = _places_at_most(runs)
+    index = PositionalIndex(docs, runs.select(F.explode("words").alias("word")), most)
+    hits = stored(index.search(runs, most), "hits")
     lengths = stored(index.lengths(), "lengths")
     index.drop()
-    return hits, runs, lengths
+    return hits, runs, lengths, most
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = PHRASE) -> DataFrame:
@@ -171,13 +180,13 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = PHRASE) -> DataFra
     smallest number inside.  Items with a null item_id hit words as others do, but are neither counted nor listed.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    hits, runs, lengths = matches(docs, items, n)
+    hits, runs, lengths, most = matches(docs, items, n)
     row = ["doc_id", "text_id"]
     end = F.col("start") + F.col("n")
     reached = F.max(end).over(Window.partitionBy(*row).orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1))
     spans = hits.select(*row, "start", "n").distinct().withColumn("reached", F.coalesce(reached, F.lit(0)))
     covered = spans.groupBy(*row).agg(F.sum(F.greatest(end - F.greatest("start", "reached"), F.lit(0))).cast("long").alias("n_hit"))
-    met = hits.select(*row, "phrase").distinct().join(_small(runs.select("phrase", "item_ids"), runs.count()), "phrase")
+    met = hits.select(*row, "phrase").distinct().join(_small(runs.select("phrase", "item_ids"), most), "phrase")
     listed = met.select(*row, F.explode("item_ids").alias("item")).groupBy(*row).agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
     per_doc = stored(covered.join(listed, row, "left"), "contaminated")
     sized = lengths.select(*row, F.col("n_words").cast("long").alias("n_words"))
