@@ -17,7 +17,7 @@ def put(root, **files):
         p.write_text(body)
 
 
-TREE = {p: f"// {p}\n" for p in "src/main.rs src/lib.rs src/util/helpers.rs src/util/deep/nested.rs tests/unit.rs docs/guide.md docs/api.md Cargo.toml README.md .hidden/secret.rs target/debug/build.rs".split()}
+TREE = {p: f"// {p}\n" for p in "src/init.rs src/api.rs src/parts/names.rs src/parts/inner/leaf.rs tests/cases.rs docs/intro.md docs/about.md Cargo.toml README.md .hidden/own.rs target/out/made.rs".split()}
 
 
 @pytest.fixture
@@ -36,17 +36,17 @@ def listed(spark, *patterns, **options):
 
 
 def test_listing(spark, tree):
-    assert listed(spark, "src/**/*.rs") == ["src/lib.rs", "src/main.rs", "src/util/deep/nested.rs", "src/util/helpers.rs"]
-    assert listed(spark, "./src/*.rs") == listed(spark, "*.rs", root="src") == ["src/lib.rs", "src/main.rs"]
-    assert listed(spark, "{src,tests}/*.rs", "src/*.rs") == ["src/lib.rs", "src/main.rs", "tests/unit.rs"]
-    assert listed(spark, f"{tree}/docs/*") == [f"{tree}/docs/api.md", f"{tree}/docs/guide.md"]
-    assert listed(spark, "src/main.rs", "nope.rs") == ["src/main.rs"] and listed(spark, "src") == ["src"]
-    assert listed(spark, "src/**", only_dirs=True) == ["src/util", "src/util/deep"] and listed(spark, "*/") == ["docs", "src", "target", "tests"]
-    assert listed(spark, "**/*.rs", max_depth=2) == ["src/lib.rs", "src/main.rs", "tests/unit.rs"]
-    assert ".hidden/secret.rs" in listed(spark, "**/*.rs", hidden=True) and listed(spark, ".hidden/*") == [".hidden/secret.rs"]
-    assert listed(spark, "**/*.rs", exclude=["util", "target/**"]) == ["src/lib.rs", "src/main.rs", "tests/unit.rs"]
-    assert listed(spark, "**", kinds=["doc"]) == ["README.md", "docs/api.md", "docs/guide.md"]
-    assert run(spark, "**/*.rs", exclude=["util"]).counts()["hidden"] == 1
+    assert listed(spark, "src/**/*.rs") == ["src/api.rs", "src/init.rs", "src/parts/inner/leaf.rs", "src/parts/names.rs"]
+    assert listed(spark, "./src/*.rs") == listed(spark, "*.rs", root="src") == ["src/api.rs", "src/init.rs"]
+    assert listed(spark, "{src,tests}/*.rs", "src/*.rs") == ["src/api.rs", "src/init.rs", "tests/cases.rs"]
+    assert listed(spark, f"{tree}/docs/*") == [f"{tree}/docs/about.md", f"{tree}/docs/intro.md"]
+    assert listed(spark, "src/init.rs", "nope.rs") == ["src/init.rs"] and listed(spark, "src") == ["src"]
+    assert listed(spark, "src/**", only_dirs=True) == ["src/parts", "src/parts/inner"] and listed(spark, "*/") == ["docs", "src", "target", "tests"]
+    assert listed(spark, "**/*.rs", max_depth=2) == ["src/api.rs", "src/init.rs", "tests/cases.rs"]
+    assert ".hidden/own.rs" in listed(spark, "**/*.rs", hidden=True) and listed(spark, ".hidden/*") == [".hidden/own.rs"]
+    assert listed(spark, "**/*.rs", exclude=["parts", "target/**"]) == ["src/api.rs", "src/init.rs", "tests/cases.rs"]
+    assert listed(spark, "**", kinds=["doc"]) == ["README.md", "docs/about.md", "docs/intro.md"]
+    assert run(spark, "**/*.rs", exclude=["parts"]).counts()["hidden"] == 1
 
 
 def test_order_and_budgets(spark, tmp_path, monkeypatch):
@@ -109,7 +109,7 @@ def test_large_directories_are_split(spark, tmp_path, monkeypatch):
 def test_no_stat(spark, tree):
     r = run(spark, "src/*.rs", no_stat=True)
     assert [(x["size"], x["tokens_est"], x["modified"]) for x in r.entries.collect()] == [(0, 858, None)] * 2
-    assert "src/lib.rs\tsource\tfalse\n" in document.build(r, query.Options(["src/*.rs"], no_stat=True)).fitted()
+    assert "src/api.rs\tsource\tfalse\n" in document.build(r, query.Options(["src/*.rs"], no_stat=True)).fitted()
 
 
 git = pytest.mark.skipif(shutil.which("git") is None, reason="no git")
@@ -122,7 +122,7 @@ def sh(root, *args):
 
 @pytest.fixture
 def repo(tmp_path, monkeypatch):
-    put(tmp_path, **TREE, **{".gitignore": "/target\n*.log\n!keep.log\n", "src/.gitignore": "!x.log\nutil/\n", "x.log": "", "keep.log": "", "src/x.log": "", "vendor/lib/a.rs": "", "vendor/lib/b.log": ""})
+    put(tmp_path, **TREE, **{".gitignore": "/target\n*.log\n!keep.log\n", "src/.gitignore": "!x.log\nparts/\n", "x.log": "", "keep.log": "", "src/x.log": "", "vendor/lib/a.rs": "", "vendor/lib/b.log": ""})
     sh(tmp_path, "init", "-q")
     sh(tmp_path, "add", "-A")
     sh(tmp_path, "commit", "-qm", "x")
@@ -134,23 +134,23 @@ def repo(tmp_path, monkeypatch):
 @git
 def test_gitignore(spark, repo):
     got = listed(spark, "**", gitignore=True)
-    assert not {"target", "x.log", "src/util", "src/util/helpers.rs"} & set(got) and {"keep.log", "src/x.log", "src/main.rs"} <= set(got)
+    assert not {"target", "x.log", "src/parts", "src/parts/names.rs"} & set(got) and {"keep.log", "src/x.log", "src/init.rs"} <= set(got)
     assert "vendor/lib/b.log" in got, "rules do not reach into another repository"
-    assert listed(spark, "src/util/*.rs", gitignore=True) == ["src/util/helpers.rs"], "what is named literally is not ignored"
-    assert listed(spark, "*.rs", root="src", gitignore=True) == ["src/lib.rs", "src/main.rs"]
+    assert listed(spark, "src/parts/*.rs", gitignore=True) == ["src/parts/names.rs"], "what is named literally is not ignored"
+    assert listed(spark, "*.rs", root="src", gitignore=True) == ["src/api.rs", "src/init.rs"]
     assert "vendor/lib/a.rs" not in listed(spark, "**", skip_nested_repos=True)
     assert run(spark, "**", gitignore=True).counts()["gitignore"] >= 3
 
 
 @git
 def test_git_sources(spark, repo):
-    assert "target/debug/build.rs" not in listed(spark, "**/*.rs", git_files=True) and "src/main.rs" in listed(spark, "**/*.rs", git_files=True)
-    (repo / "src/main.rs").write_text("changed")
+    assert "target/out/made.rs" not in listed(spark, "**/*.rs", git_files=True) and "src/init.rs" in listed(spark, "**/*.rs", git_files=True)
+    (repo / "src/init.rs").write_text("changed")
     (repo / "new.rs").write_text("")
-    (repo / "src/lib.rs").unlink()
+    (repo / "src/api.rs").unlink()
     r = run(spark, "**/*.rs", git_changed="HEAD")
-    assert {x["path"] for x in r.entries.collect()} >= {"src/main.rs", "new.rs"} and "tests/unit.rs" not in {x["path"] for x in r.entries.collect()}
-    assert [tuple(x) for x in r.deleted.collect()] == [("src/lib.rs", "source")]
+    assert {x["path"] for x in r.entries.collect()} >= {"src/init.rs", "new.rs"} and "tests/cases.rs" not in {x["path"] for x in r.entries.collect()}
+    assert [tuple(x) for x in r.deleted.collect()] == [("src/api.rs", "source")]
     with pytest.raises(GlobError, match="unknown git ref"):
         run(spark, "**", git_changed="nope")
     with pytest.raises(GlobError, match="not a git repository"):
@@ -164,7 +164,7 @@ def test_tracked_dot_names_are_not_hidden(spark, repo):
     sh(repo, "commit", "-qm", "ci")
     r = run(spark, "**", git_files=True)
     got = {x["path"] for x in r.entries.collect()}
-    assert {".ci/build.yml", ".gitignore", "src/.gitignore", ".hidden/secret.rs"} <= got and ".loose/own.yml" not in got
+    assert {".ci/build.yml", ".gitignore", "src/.gitignore", ".hidden/own.rs"} <= got and ".loose/own.yml" not in got
     assert r.counts()["hidden"] == 1
     assert ".loose/own.yml" in listed(spark, "**", git_files=True, hidden=True)
     assert listed(spark, "**/*.yml", git_files=True) == [".ci/build.yml"] and listed(spark, "*/*.yml", git_files=True, root="") == [".ci/build.yml"]
@@ -192,23 +192,23 @@ def test_submodules_and_names_that_are_not_text(spark, repo, monkeypatch):
 
 @git
 def test_changed_files_by_any_spelling(spark, repo, tmp_path_factory, monkeypatch):
-    (repo / "src/main.rs").write_text("changed")
+    (repo / "src/init.rs").write_text("changed")
     (repo / "fresh.rs").write_text("")
     sh(repo, "checkout", "-qb", "side")
     sh(repo, "commit", "-qam", "side")
     away = tmp_path_factory.mktemp("away")
     os.symlink(repo, away / "link")
     monkeypatch.chdir(away)
-    assert {"link/src/main.rs", "link/fresh.rs"} == set(listed(spark, "**/*.rs", git_changed="HEAD~1", root="link")) - {"link/vendor/lib/a.rs"}
+    assert {"link/src/init.rs", "link/fresh.rs"} == set(listed(spark, "**/*.rs", git_changed="HEAD~1", root="link")) - {"link/vendor/lib/a.rs"}
     monkeypatch.chdir(repo / "src")
-    assert listed(spark, "*.rs", git_changed="HEAD~1") == ["main.rs"]
+    assert listed(spark, "*.rs", git_changed="HEAD~1") == ["init.rs"]
 
 
 def test_rankings_of_other_spellings(spark, tree):
     os.symlink(tree, tree / "self")
-    ranking = f"{tree}/src/lib.rs\t3\n{tree}/self/docs/api.md\t9\nsrc/main.rs\t5\n{tree}/nope\t8"
+    ranking = f"{tree}/src/api.rs\t3\n{tree}/self/docs/about.md\t9\nsrc/init.rs\t5\n{tree}/nope\t8"
     r = run(spark, "{src,docs}/*", ranking=ranking)
-    assert [(x["path"], x["score"]) for x in r.entries.collect()][:4] == [("docs/api.md", 9.0), ("src/main.rs", 5.0), ("src/lib.rs", 3.0), ("docs/guide.md", None)]
+    assert [(x["path"], x["score"]) for x in r.entries.collect()][:4] == [("docs/about.md", 9.0), ("src/init.rs", 5.0), ("src/api.rs", 3.0), ("docs/intro.md", None)]
     with pytest.raises(GlobError, match="line 3: expected JSON.*'no score'"):
         run(spark, "*", ranking="a\t1\n\nno score\nworse")
 
@@ -219,22 +219,22 @@ def test_literal_names_need_no_listing(spark, tree):
     os.symlink("nowhere", tree / "shut/dead")
     (tree / "shut").chmod(0o111)
     try:
-        r = run(spark, "shut/a.rs", "shut/missing", "shut/dead", "src", "src/*.rs", "src/lib.rs")
+        r = run(spark, "shut/a.rs", "shut/missing", "shut/dead", "src", "src/*.rs", "src/api.rs")
         assert [(x["path"], x["size"], x["is_dir"], x["is_symlink"]) for x in r.entries.collect()] == [
-            ("shut/a.rs", 1, False, False), ("shut/dead", 0, False, True), ("src", os.stat("src").st_size, True, False), ("src/lib.rs", 14, False, False), ("src/main.rs", 15, False, False)
+            ("shut/a.rs", 1, False, False), ("shut/dead", 0, False, True), ("src", os.stat("src").st_size, True, False), ("src/api.rs", 14, False, False), ("src/init.rs", 15, False, False)
         ]
         assert r.errors.count() == 0 and r.counts() == {"keep": 5}
     finally:
         (tree / "shut").chmod(0o755)
-    assert listed(spark, "SRC/lib.rs", case_sensitive=False) == ["src/lib.rs"]
+    assert listed(spark, "SRC/api.rs", case_sensitive=False) == ["src/api.rs"]
 
 
 @git
 def test_many_rules_are_a_table(spark, repo, monkeypatch):
     """Past a number of rules entries are joined with them; what is ignored stays the same."""
-    put(repo, **{"src/util/.gitignore": "!deep/\n", "docs/.gitignore": "/guide.md\n", "vendor/lib/.gitignore": "a.*\n"})
+    put(repo, **{"src/parts/.gitignore": "!inner/\n", "docs/.gitignore": "/intro.md\n", "vendor/lib/.gitignore": "a.*\n"})
     for options in (dict(), dict(hidden=True), dict(skip_nested_repos=True)):
-        for patterns in (["**"], ["src/util/**", "docs/*"], ["src/**/*.rs", "**/*.log"]):
+        for patterns in (["**"], ["src/parts/**", "docs/*"], ["src/**/*.rs", "**/*.log"]):
             monkeypatch.setattr(query, "EXPRESSION_RULES", 10**6)
             one = run(spark, *patterns, gitignore=True, **options)
             monkeypatch.setattr(query, "EXPRESSION_RULES", 0)
@@ -285,7 +285,7 @@ def test_command_line(spark, tree, capfdbinary):
     assert cli.main(["match", "*.rs", "a.rs", "b.py"]) == 0 and out().out == b"a.rs\n"
     assert cli.main(["match", "--pathname", "*.rs", "a/b.rs"]) == 1 and cli.main(["match", "-i", "*.RS", "a.rs"]) == 0
     out()
-    assert cli.main(["src/*.rs", "-p"]) == 0 and out().out == b"src/lib.rs\nsrc/main.rs\n"
+    assert cli.main(["src/*.rs", "-p"]) == 0 and out().out == b"src/api.rs\nsrc/init.rs\n"
     assert cli.main(["**/*.rs", "-k", "source,test", "-S", "-P", "code:5", "--exclude=target"]) == 0
     said = out().out.decode()
     assert "§summary" in said and "kind_source\t4\n" in said and "pruned_exclude\t1\tmatched an -e pattern\n" in said and "#sort path\n" in said
@@ -293,23 +293,23 @@ def test_command_line(spark, tree, capfdbinary):
     for bad in ([["*", "-n", "0"]], [["*", "--nope"]], [["[", "-p"]], [["*", "--prefer", "size", "--prefer-from", "x"]], [["*", "-k", "x"]], [["*", "-P", "0"]], [["expand"]]):
         assert cli.main(*bad) == 2
     assert cli.main(["*", "--prefer-from", "/nope/nope"]) == 1
-    assert cli.main(["src/*.rs", "-p", "--max-output-tokens", "4"]) == 0 and out().out == b"src/lib.rs\n"
+    assert cli.main(["src/*.rs", "-p", "--max-output-tokens", "4"]) == 0 and out().out == b"src/api.rs\n"
 
 
 def test_ruleset_walk(spark, tree):
     from filescope.operators.ruleset import Ruleset
 
-    rules = Ruleset().include("**/*.rs").include("src/*.rs", 2.0).exclude("**/util/**")
+    rules = Ruleset().include("**/*.rs").include("src/*.rs", 2.0).exclude("**/parts/**")
     got = [(r["path"], r["relevance"]) for r in query.walk_rules(spark, rules, "").collect()]
-    assert got == [("src/lib.rs", 3.0), ("src/main.rs", 3.0), (".hidden/secret.rs", 1.0), ("target/debug/build.rs", 1.0), ("tests/unit.rs", 1.0)]
+    assert got == [("src/api.rs", 3.0), ("src/init.rs", 3.0), (".hidden/own.rs", 1.0), ("target/out/made.rs", 1.0), ("tests/cases.rs", 1.0)]
     assert query.walk_rules(spark, rules, "src", query.Options([], limit=1)).count() == 1
 
 
 def test_predicate_and_errors(spark, tree):
     from pyspark.sql import functions as F
 
-    r = query.run(spark, query.Options(["docs/*"]), predicate=F.col("path").endswith("api.md"))
-    assert [x["path"] for x in r.entries.collect()] == ["docs/api.md"] and r.counts() == {"keep": 1, "predicate": 1}
+    r = query.run(spark, query.Options(["docs/*"]), predicate=F.col("path").endswith("about.md"))
+    assert [x["path"] for x in r.entries.collect()] == ["docs/about.md"] and r.counts() == {"keep": 1, "predicate": 1}
     r = query.run(spark, query.Options(["missing/*"]))
     assert r.entries.count() == 0 and [tuple(x)[:2] for x in r.errors.collect()] == [("missing", "io")]
     with pytest.raises(RuntimeError, match="missing"):
